@@ -71,6 +71,16 @@ def _decode_reference(m: Column) -> Column:
     return let(F.regexp_replace(m, r"^&#[xX]?0*|;$", ""), lambda body: _decode_with_body(m, body))
 
 
+def _entity_maps():
+    exact, legacy = [], []
+    for ent, ch, is_legacy in NAMED_ENTITIES:
+        exact += [F.lit(ent + ";"), F.lit(ch)]
+        if is_legacy:
+            exact += [F.lit(ent), F.lit(ch)]
+            legacy += [F.lit(ent), F.lit(ch)]
+    return F.create_map(*exact), F.create_map(*legacy)
+
+
 def _decode_with_body(m: Column, body: Column) -> Column:
     is_hex = m.rlike(r"^&#[xX]")
     is_dec = m.startswith("&#") & ~is_hex
@@ -79,17 +89,15 @@ def _decode_with_body(m: Column, body: Column) -> Column:
         .when(is_dec & (F.length(body) <= 7), body.cast("int"))
         .otherwise(F.lit(0x110000)))
     name = F.substring(m, 2, 64)
-    named = F.when(F.lit(False), F.lit(None).cast("string"))
-    for ent, ch, legacy in NAMED_ENTITIES:
-        cond = name == F.lit(ent + ";")
-        if legacy:
-            cond = cond | (name == F.lit(ent))
-        named = named.when(cond, F.lit(ch))
-    # Legacy prefix: "&ampx" -> "&x" (longest legacy name first).
-    for ent, ch, legacy in sorted(NAMED_ENTITIES, key=lambda e: -len(e[0])):
-        if legacy:
-            named = named.when(name.startswith(ent), F.concat(F.lit(ch), F.substring(name, len(ent) + 1, 64)))
-    named = named.otherwise(m)
+    exact, legacy = _entity_maps()
+    # Legacy prefix: "&ampx" -> "&x" (longest legacy name that is a proper prefix).
+    longest = max(len(e) for e, _, lg in NAMED_ENTITIES if lg)
+    prefixed = F.lit(None).cast("string")
+    for k in range(2, longest + 1):
+        hit = F.try_element_at(legacy, F.substring(name, 1, k))
+        prefixed = F.when((F.length(name) > k) & hit.isNotNull(),
+                          F.concat(hit, F.substring(name, k + 1, 64))).otherwise(prefixed)
+    named = F.coalesce(F.try_element_at(exact, name), prefixed, m)
     return F.when(is_hex | is_dec, let(num, _codepoint_char)).otherwise(named)
 
 

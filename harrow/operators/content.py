@@ -40,7 +40,8 @@ def page_content(pages: DataFrame, with_links: bool = True) -> DataFrame:
     ``html`` is dropped so that everything downstream carries only the narrow
     derived columns.
     """
-    staged = pages.withColumn("_lex", T.strip_lexical(F.coalesce(F.col("html"), F.lit(""))))
+    staged = pages.withColumn("has_html", F.coalesce(F.length("html"), F.lit(0)) > 0) \
+        .withColumn("_lex", T.strip_lexical(F.coalesce(F.col("html"), F.lit(""))))
     staged = staged.withColumn("_clean", T.strip_removed_elements(F.col("_lex")))
     out = staged.withColumn("title", T.title_text(T.element_inner(F.col("_clean"), "title"))) \
         .withColumn("heading", heading(F.col("_lex"))) \

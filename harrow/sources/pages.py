@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import normalise_url
+from ..functions.urls import host, host_suffixes, normalise_url, scheme
 
 
 def with_capture_status(pages: DataFrame) -> DataFrame:
@@ -33,14 +33,30 @@ def with_capture_status(pages: DataFrame) -> DataFrame:
     )
 
 
-def pages_normalised(pages: DataFrame) -> DataFrame:
+def pages_normalised(pages: DataFrame, domains: DataFrame | None = None) -> DataFrame:
     """``(url, page_id, html, failure, is_html)`` with one row per normalised URL.
 
     Skew-safe: the winner per key is found on two narrow columns with map-side
     partial aggregation, then rows are kept with a semi join on the unique
     ``(url, page_id)`` pair, so a URL captured millions of times never lands in
-    one task.
+    one task.  With ``domains(domain)`` only pages whose host lies in one of the
+    domains are kept; the scope test runs on the same narrow key columns, as an
+    equi-join of the host's dot-suffixes against the domain list.
     """
     keyed = with_capture_status(pages).withColumn("url", normalise_url(F.col("url")))
-    winners = keyed.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    keys = keyed.select("url", "page_id")
+    if domains is not None:
+        keys = in_domains(keys, domains)
+    winners = keys.groupBy("url").agg(F.min("page_id").alias("page_id"))
     return keyed.join(winners, ["url", "page_id"], "left_semi")
+
+
+def in_domains(keys: DataFrame, domains: DataFrame) -> DataFrame:
+    """Rows of ``keys(url, ...)`` whose http(s) host is a domain or below one.
+
+    A row may match several nested domains; callers aggregate or semi-join.
+    """
+    sfx = keys.withColumn("_sfx", F.explode(host_suffixes(F.regexp_replace(host(F.col("url")), r"^www\.", "")))) \
+        .filter(scheme(F.col("url")).isin("http", "https"))
+    d = domains.select(F.col("domain").alias("_sfx")).distinct()
+    return sfx.join(d, "_sfx", "left_semi").drop("_sfx")
