@@ -87,7 +87,7 @@ def detail_reads(cands: DataFrame, detail: DataFrame, rules: DataFrame | None, c
 def run_job(targets: DataFrame, pages: DataFrame, cfg: MiningConfig = DEFAULT, *,
             robots: DataFrame | None = None, detail_pages: DataFrame | None = None,
             edges: DataFrame | None = None, run_ts: _dt.datetime | None = None,
-            similarity: bool = True, checkpoint: bool = True) -> JobResult:
+            end_ts: _dt.datetime | None = None, similarity: bool = True, checkpoint: bool = True) -> JobResult:
     """Run the mining job; ``targets`` as from :mod:`harrow.sources.targets`."""
     run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     start = F.lit(run_ts).cast("timestamp")
@@ -125,8 +125,8 @@ def run_job(targets: DataFrame, pages: DataFrame, cfg: MiningConfig = DEFAULT, *
         F.concat(F.col("_tname"), F.lit(": extraction failed for "), F.col("url"), F.lit(": "),
                  F.col("read_failure")).alias("text"))
     warnings = crawl_warn.unionByName(read_warn)
-    log = run_log(targets, visits, cands, reads, marked, warnings, cfg, start,
-                  F.current_timestamp())
+    end = F.lit(end_ts).cast("timestamp") if end_ts is not None else F.current_timestamp()
+    log = run_log(targets, visits, cands, reads, marked, warnings, cfg, start, end)
     summary = target_summary(targets, visits, cands, marked)
     return JobResult(content, visits, outcomes, cands, reads, rows, marked.select("row_idx", *PROGRAMME_OUT),
                      warnings, log, summary)
