@@ -58,7 +58,7 @@ def _job_ctes(cap: int = C.MAX_PAGES_PER_TARGET, fallback: bool = False) -> str:
     l = O.v()
     enq_l = O.should_enqueue(l, "domain", TEST)
     enq_e = O.should_enqueue("e.dst", "p.domain", TEST)
-    detail_src = "pages"
+    detail_src = "content"
     extra = ""
     if fallback:
         nurl = O.normalise_url("url")
@@ -113,7 +113,7 @@ dwin AS (SELECT url, min(page_id) AS page_id FROM dscope GROUP BY url),
 dc AS (SELECT c.* FROM {detail_src} c JOIN dwin w ON c.url = w.url AND c.page_id = w.page_id),
 tt AS (SELECT target_idx, name, country, {O.normalise_domain('allowed_domain')} AS domain, {O.normalise_url('seed_url')} AS url FROM targets),
 v0 AS (SELECT target_idx, domain, url, 0 AS depth, 1 AS visit_rank FROM tt WHERE NOT {O.should_skip('url', TEST)} AND {O.is_allowed('url', 'domain')}),
-vis0 AS (SELECT * FROM v0),{''.join(levels)},
+vis0 AS (SELECT * FROM v0),{','.join(levels)},
 visits AS (SELECT * FROM {prev_vis}),
 outcomes AS (SELECT v.*, c.page_id, c.title, c.candidate_score, c.matched_keywords, c.candidate_type, c.reason,
     c.page_id IS NOT NULL AS fetched FROM visits v LEFT JOIN jc c ON v.url = c.url),
