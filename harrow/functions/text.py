@@ -40,6 +40,23 @@ REMOVED_ELEMENTS = r"(?is)<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>|<form\
 TAG = r"<[A-Za-z/!?][^>]*>"
 
 
+_EXPRS: dict = {}
+
+
+def cached_expr(key, build):
+    """Build a (name-based, unresolved) Column once per SparkContext.
+
+    Constructing large expressions costs many Python->JVM calls; the result
+    only references columns by name, so it can be reused by every plan.
+    """
+    from pyspark import SparkContext
+
+    k = (id(SparkContext._active_spark_context), key)
+    if k not in _EXPRS:
+        _EXPRS[k] = build()
+    return _EXPRS[k]
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it (possibly many times) in ``body``.
 

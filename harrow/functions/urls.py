@@ -56,9 +56,12 @@ def parts(u: Column) -> Column:
 
 
 def _assemble(sch: Column, net: Column, pth: Column, qry: Column) -> Column:
-    with_authority = (net != "") | sch.isin(*[s for s in NETLOC_SCHEMES if s])
-    p = F.when(with_authority & (pth != "") & ~pth.startswith("/"), F.concat(F.lit("/"), pth)).otherwise(pth)
-    body = F.when(with_authority, F.concat(F.lit("//"), net, p)).otherwise(pth)
+    netloc_scheme = sch.isin(*[s for s in NETLOC_SCHEMES if s])
+    body = (F.when(net != "", F.concat(F.lit("//"), net, F.when((pth != "") & ~pth.startswith("/"),
+                                                               F.concat(F.lit("/"), pth)).otherwise(pth)))
+            .when(pth.startswith("//"), F.concat(F.lit("//"), pth))
+            .when(netloc_scheme & ((pth == "") | pth.startswith("/")), F.concat(F.lit("//"), pth))
+            .otherwise(pth))
     return F.concat(
         F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise(F.lit("")),
         body,
@@ -123,12 +126,16 @@ def should_enqueue(u: Column, domain: Column, cfg, max_slashes: int = 5, normali
     return let(F.lower(u), body) & is_allowed(u, domain, normalised_domain)
 
 
-def _dot_segments(segs: Column) -> Column:
-    """Remove '.' and '..' segments (empty middle segments dropped first)."""
+def _drop_empty_middle(segs: Column) -> Column:
+    """Drop empty inner segments (a relative merge must not double '/')."""
     n = F.size(segs)
     middle = F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != "")
-    return let(F.when(n >= 2, F.concat(F.slice(segs, 1, 1), middle, F.slice(segs, -1, 1))).otherwise(segs),
-               _dot_resolve)
+    return F.when(n >= 2, F.concat(F.slice(segs, 1, 1), middle, F.slice(segs, -1, 1))).otherwise(segs)
+
+
+def _dot_segments(segs: Column) -> Column:
+    """Remove '.' and '..' segments."""
+    return let(segs, _dot_resolve)
 
 
 def _dot_resolve(segs2: Column) -> Column:
@@ -168,7 +175,8 @@ def _merge(base, b, h, h_s, rp):
     r_n, r_p, r_q = rp["n"], rp["p"], rp["q"]
     base_dir = let(F.split(b_p, "/", -1), lambda d: F.when(
         F.get(d, F.size(d) - 1) != "", F.slice(d, 1, F.greatest(F.size(d) - 1, F.lit(0)))).otherwise(d))
-    segs = F.when(r_p.startswith("/"), F.split(r_p, "/", -1)).otherwise(F.concat(base_dir, F.split(r_p, "/", -1)))
+    segs = F.when(r_p.startswith("/"), F.split(r_p, "/", -1)).otherwise(
+        _drop_empty_middle(F.concat(base_dir, F.split(r_p, "/", -1))))
     return (
         F.when(h == "", base)
         .when((h_s != "") & (h_s != b_s), h)

@@ -43,9 +43,12 @@ def page_content(pages: DataFrame, with_links: bool = True) -> DataFrame:
     staged = pages.withColumn("has_html", F.coalesce(F.length("html"), F.lit(0)) > 0) \
         .withColumn("_lex", T.strip_lexical(F.coalesce(F.col("html"), F.lit(""))))
     staged = staged.withColumn("_clean", T.strip_removed_elements(F.col("_lex")))
-    out = staged.withColumn("title", T.title_text(T.element_inner(F.col("_clean"), "title"))) \
-        .withColumn("heading", heading(F.col("_lex"))) \
-        .withColumn("text", T.markup_text(F.col("_clean")))
-    if with_links:
-        out = out.withColumn("links", links(F.col("_clean"), F.col("url")))
+    exprs = T.cached_expr("page_content", lambda: {
+        "title": T.title_text(T.element_inner(F.col("_clean"), "title")),
+        "heading": heading(F.col("_lex")),
+        "text": T.markup_text(F.col("_clean")),
+        "links": links(F.col("_clean"), F.col("url")),
+    })
+    cols = ["title", "heading", "text"] + (["links"] if with_links else [])
+    out = staged.select("*", *[exprs[c].alias(c) for c in cols])
     return out.drop("_lex", "_clean", "html")

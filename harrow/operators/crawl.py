@@ -59,8 +59,11 @@ def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
     visited = _checkpoint(level, checkpoint)
     level = visited
     # Built once, reused at every level (expression construction is not free).
-    keep_link = F.filter("links", lambda l: should_enqueue(l, F.col("domain"), cfg, MAX_PATH_SLASHES, True))
-    keep_edge = should_enqueue(F.col("dst"), F.col("domain"), cfg, MAX_PATH_SLASHES, True)
+    from ..functions.text import cached_expr
+    keep_link = cached_expr(("keep_link", repr(cfg)), lambda: F.filter(
+        "links", lambda l: should_enqueue(l, F.col("domain"), cfg, MAX_PATH_SLASHES, True)))
+    keep_edge = cached_expr(("keep_edge", repr(cfg)), lambda: should_enqueue(
+        F.col("dst"), F.col("domain"), cfg, MAX_PATH_SLASHES, True))
     for depth in range(1, cfg.max_depth + 1):
         parents = level
         if robots is not None:

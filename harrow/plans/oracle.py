@@ -117,9 +117,9 @@ def host(u: str) -> str:
 
 def assemble(sch: str, net: str, pth: str, qry: str) -> str:
     schemes = ", ".join(q(s) for s in NETLOC_SCHEMES if s)
-    wa = f"({net} <> '' OR {sch} IN ({schemes}))"
-    p = f"(CASE WHEN {wa} AND {pth} <> '' AND NOT starts_with({pth}, '/') THEN '/' || {pth} ELSE {pth} END)"
-    body = f"(CASE WHEN {wa} THEN '//' || {net} || {p} ELSE {pth} END)"
+    body = (f"(CASE WHEN {net} <> '' THEN '//' || {net} || (CASE WHEN {pth} <> '' AND NOT starts_with({pth}, '/') "
+            f"THEN '/' || {pth} ELSE {pth} END) WHEN starts_with({pth}, '//') THEN '//' || {pth} "
+            f"WHEN {sch} IN ({schemes}) AND ({pth} = '' OR starts_with({pth}, '/')) THEN '//' || {pth} ELSE {pth} END)")
     return (f"((CASE WHEN {sch} <> '' THEN {sch} || ':' ELSE '' END) || {body} || "
             f"(CASE WHEN {qry} <> '' THEN '?' || {qry} ELSE '' END))")
 
@@ -173,10 +173,15 @@ def _dot_segments(segs: str) -> str:
                f"[]::VARCHAR[])")
         fixed = let(red, lambda r: f"CASE WHEN {s2}[len({s2})] IN ('.', '..') THEN list_append({r}, '') ELSE {r} END")
         return let(f"array_to_string({fixed}, '/')", lambda p: f"CASE WHEN {p} = '' THEN '/' ELSE {p} END")
-    x = v()
-    middle = f"list_filter({segs}[2:len({segs}) - 1], lambda {x}: {x} <> '')"
-    s2 = f"CASE WHEN len({segs}) >= 2 THEN list_concat([{segs}[1]], {middle}, [{segs}[len({segs})]]) ELSE {segs} END"
-    return let(s2, with_segs2)
+    return let(segs, with_segs2)
+
+
+def _drop_empty_middle(segs: str) -> str:
+    def body(sg):
+        x = v()
+        middle = f"list_filter({sg}[2:len({sg}) - 1], lambda {x}: {x} <> '')"
+        return f"CASE WHEN len({sg}) >= 2 THEN list_concat([{sg}[1]], {middle}, [{sg}[len({sg})]]) ELSE {sg} END"
+    return let(segs, body)
 
 
 def resolve(base: str, href: str) -> str:
@@ -202,7 +207,7 @@ def resolve(base: str, href: str) -> str:
                         base_dir = let(f"string_split({bp}, '/')", lambda d: (
                             f"CASE WHEN {d}[len({d})] <> '' THEN {d}[1:len({d}) - 1] ELSE {d} END"))
                         segs = (f"CASE WHEN starts_with({p_}, '/') THEN string_split({p_}, '/') "
-                                f"ELSE list_concat({base_dir}, string_split({p_}, '/')) END")
+                                f"ELSE {_drop_empty_middle(f'list_concat({base_dir}, string_split({p_}, {q(chr(47))}))')} END")
                         return (f"CASE WHEN {h} = '' THEN {base} "
                                 f"WHEN {hsv} <> '' AND {hsv} <> {bs} THEN {h} "
                                 f"WHEN {n_} <> '' THEN {assemble(bs, n_, p_, q_)} "
