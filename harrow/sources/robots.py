@@ -44,7 +44,8 @@ def robots_rules(robots: DataFrame, cfg: MiningConfig) -> DataFrame:
         .filter(F.col("kind") != "skip")
     w = Window.partitionBy("target_idx").orderBy("pos")
     prev_kind = F.lag("kind").over(w)
-    boundary = (F.col("kind") == "blank") | ((F.col("kind") == "agent") & prev_kind.isin("rule", "meta"))
+    boundary = (F.col("kind") == "blank") | ((F.col("kind") == "agent")
+                                             & F.coalesce(prev_kind.isin("rule", "meta"), F.lit(False)))
     seg = typed.withColumn("seg", F.sum(boundary.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ws = Window.partitionBy("target_idx", "seg").orderBy("pos")
     seg = seg.withColumn("agents_before", F.sum((F.col("kind") == "agent").cast("int"))
