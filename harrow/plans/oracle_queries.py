@@ -256,4 +256,57 @@ SELECT row_idx AS doc_id, CASE WHEN gsize > 1 THEN printf('DUP-%03d', group_no)
     coalesce((SELECT string_agg(text, ' | ' ORDER BY target_idx, phase, rnk) FROM
         (SELECT * FROM warn ORDER BY target_idx, phase, rnk LIMIT {C.WARNINGS_KEPT})), '') AS warnings,
     '' AS errors""")
+    out.update(build_robots())
     return out
+
+
+def _robots_ctes() -> str:
+    from ..sources.robots import LINE_BREAKS
+
+    nurl = O.normalise_url("url")
+    sec = f"regexp_extract({nurl}, '^[a-z]+://[^/]+(/[^/?#]*)', 1)"
+    body = ("'# robots' || chr(10) || 'User-agent: OtherBot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || "
+            "'User-agent: *' || chr(10) || 'Allow: ' || first_sec || chr(10) || 'Disallow: ' || last_sec || chr(10)")
+    token = TEST.user_agent.split("/")[0].lower()
+    stripped = "trim(regexp_replace(regexp_replace(raw, '#.*$', ''), '^\\s+|\\s+$', '', 'g'))"
+    return f"""
+rsite AS (SELECT site, arg_min(sec, page_id) AS first_sec, arg_max(sec, page_id) AS last_sec FROM
+    (SELECT page_id, lower({O.part(nurl, 2)}) AS site, {sec} AS sec FROM pages) GROUP BY site),
+tsite AS (SELECT target_idx, lower({O.part(O.normalise_url('seed_url'), 2)}) AS site FROM targets),
+robots AS (SELECT t.target_idx, CASE WHEN t.target_idx % 5 = 4 THEN 404 ELSE 200 END AS status, {body} AS body
+    FROM tsite t JOIN rsite r ON t.site = r.site),
+rlines AS (SELECT target_idx, i - 1 AS pos, arr[i] AS raw FROM (SELECT target_idx, arr, unnest(range(1, len(arr) + 1)) AS i
+    FROM (SELECT target_idx, regexp_split_to_array(body, {q(LINE_BREAKS)}) AS arr FROM robots WHERE status < 400 AND body IS NOT NULL))),
+rtyped0 AS (SELECT target_idx, pos, raw, {stripped} AS st FROM rlines),
+rtyped AS (SELECT target_idx, pos, kind, key, value FROM (SELECT target_idx, pos,
+    lower(trim(split_part(st, ':', 1))) AS key, trim(regexp_extract(st, '^[^:]*:(.*)$', 1)) AS value,
+    CASE WHEN raw = '' THEN 'blank'
+         WHEN strpos(st, ':') > 0 AND lower(trim(split_part(st, ':', 1))) = 'user-agent' THEN 'agent'
+         WHEN strpos(st, ':') > 0 AND lower(trim(split_part(st, ':', 1))) IN ('allow', 'disallow') THEN 'rule'
+         WHEN strpos(st, ':') > 0 AND lower(trim(split_part(st, ':', 1))) IN ('crawl-delay', 'request-rate') THEN 'meta'
+         ELSE 'skip' END AS kind FROM rtyped0) WHERE kind <> 'skip'),
+rb AS (SELECT *, (kind = 'blank' OR (kind = 'agent' AND coalesce(lag(kind) OVER (PARTITION BY target_idx ORDER BY pos) IN ('rule', 'meta'), FALSE)))::INTEGER AS bnd FROM rtyped),
+rseg AS (SELECT *, sum(bnd) OVER (PARTITION BY target_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM rb),
+rseg2 AS (SELECT *, sum((kind = 'agent')::INTEGER) OVER (PARTITION BY target_idx, seg ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS agents_before FROM rseg),
+rgroups AS (SELECT target_idx, seg,
+    max(CASE WHEN kind = 'agent' AND value = '*' THEN 1 ELSE 0 END) AS is_default,
+    max(CASE WHEN kind = 'agent' AND value <> '*' AND contains({q(token)}, lower(value)) THEN 1 ELSE 0 END) AS applies,
+    max(CASE WHEN kind IN ('rule', 'meta') AND agents_before > 0 THEN 1 ELSE 0 END) AS added
+    FROM rseg2 GROUP BY target_idx, seg HAVING added = 1),
+rchoice AS (SELECT g.target_idx, g.seg, CASE WHEN g.is_default = 1 THEN 1 ELSE 0 END AS prio FROM rgroups g
+    WHERE g.applies = 1 OR (g.is_default = 1 AND g.seg = (SELECT min(seg) FROM rgroups d WHERE d.target_idx = g.target_idx AND d.is_default = 1))),
+rchosen AS (SELECT target_idx, seg FROM (SELECT *, row_number() OVER (PARTITION BY target_idx ORDER BY prio, seg) AS rn FROM rchoice) WHERE rn = 1),
+rrules AS (SELECT s.target_idx, s.pos AS rule_pos, regexp_replace(s.value, '\\?$', '') AS rule_path,
+    (s.key = 'allow' OR s.value = '') AS allow FROM rseg2 s JOIN rchosen c ON s.target_idx = c.target_idx AND s.seg = c.seg
+    WHERE s.kind = 'rule' AND s.agents_before > 0)"""
+
+
+def build_robots() -> dict[str, str]:
+    rules_only = _with(_targets_cte() + "," + _robots_ctes(), "SELECT * FROM rrules")
+    req = (f"(CASE WHEN ({O.part('v.url', 3)} || CASE WHEN {O.part('v.url', 4)} <> '' THEN '?' || {O.part('v.url', 4)} ELSE '' END) = '' "
+           f"THEN '/' ELSE ({O.part('v.url', 3)} || CASE WHEN {O.part('v.url', 4)} <> '' THEN '?' || {O.part('v.url', 4)} ELSE '' END) END)")
+    gate = _job_query(f"""SELECT v.target_idx, v.url, coalesce((SELECT arg_min(r.allow, r.rule_pos) FROM rrules r
+    WHERE r.target_idx = v.target_idx AND (r.rule_path = '*' OR starts_with({req}, r.rule_path))), TRUE) AS allowed
+    FROM visits v""")
+    gate = gate.replace("\nSELECT v.target_idx", "," + _robots_ctes() + "\nSELECT v.target_idx", 1)
+    return {"robots_rules": rules_only, "robots_gate": gate}
