@@ -85,8 +85,8 @@ def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
             .withColumn("visit_rank", (F.col("_base") + F.row_number().over(order)).cast("int")) \
             .filter(F.col("visit_rank") <= cfg.max_pages) \
             .select("target_idx", "domain", "url", F.lit(depth).alias("depth"), "visit_rank")
-        level = _checkpoint(level, checkpoint)
         visited = _checkpoint(visited.unionByName(level), checkpoint)
+        level = visited.filter(F.col("depth") == depth)
     return visited
 
 

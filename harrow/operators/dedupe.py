@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DUPLICATE_STOP_WORDS
+from ..functions.ordinal import bucket_ordinal
 from ..functions.urls import block_path, netloc, normalise_url
 
 
@@ -50,22 +51,8 @@ def block_key(url: Column) -> Column:
 
 
 def global_ordinal(df: DataFrame, key: str, bucket_width: int, out: str = "ordinal") -> DataFrame:
-    """1-based rank of ``key`` (unique, ordered) over the whole frame.
-
-    Per-bucket counts -> prefix offsets over the (small) bucket table ->
-    row_number within each bucket.  Each bucket holds at most
-    ``bucket_width`` distinct keys, so no task sees more than that.
-    """
-    b = F.floor(F.col(key) / F.lit(bucket_width)).cast("long")
-    staged = df.withColumn("_bucket", b)
-    counts = staged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_bucket",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    ranked = staged.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
-    return ranked.join(offsets, "_bucket").withColumn(out, F.col("_off") + F.col("_rn")) \
-        .drop("_bucket", "_rn", "_off")
+    """1-based rank of a unique numeric ``key`` over the whole frame."""
+    return bucket_ordinal(df, key, out, width=bucket_width)
 
 
 def _leader_scan_fn(threshold: float):

@@ -12,22 +12,21 @@ identical column names.
 from __future__ import annotations
 
 import datetime as _dt
-from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import TEST
+from ..functions.ordinal import range_ordinal
 from ..functions.urls import is_allowed, netloc, normalise_domain, normalise_url, should_enqueue, should_skip
 from ..operators import extract as X
 from ..operators.content import page_content
 from ..operators.dedupe import assign_groups, block_key, name_key
 from ..operators.scoring import score_columns
-from ..sources.pages import in_domains, pages_normalised
+from ..sources.pages import pages_normalised
 from ..sources.robots import robots_flag, robots_rules
 from ..sources.sinks import candidate_report, row_highlight
-from . import oracle as O
 from .derived import derived_edges, derived_robots, derived_targets
 from .job import run_job
 
@@ -75,7 +74,7 @@ def _emptied_detail(pages: DataFrame) -> DataFrame:
     """Second read where every third site (by site order) returns empty HTML."""
     site = F.lower(netloc(normalise_url(F.col("url"))))
     ranked = pages.withColumn("_site", site)
-    sites = ranked.select("_site").distinct().withColumn("_rank", F.dense_rank().over(Window.orderBy("_site")) - 1)
+    sites = range_ordinal(ranked.select("_site").distinct(), "_site", "_rank").withColumn("_rank", F.col("_rank") - 1)
     return ranked.join(sites, "_site").withColumn(
         "html", F.when(F.col("_rank") % 3 == 0, F.lit("")).otherwise(F.col("html"))).drop("_site", "_rank")
 

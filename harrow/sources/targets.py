@@ -7,10 +7,11 @@ raised on the driver before anything is written, with a bounded probe
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import INPUT_COLUMNS
+from ..functions.ordinal import range_ordinal
 from ..functions.text import ustrip
 from ..functions.urls import netloc, normalise_domain, normalise_url, scheme
 
@@ -51,9 +52,7 @@ def clean_targets(df: DataFrame, order_col: str = "target_idx", validate: bool =
     t = t.withColumn("allowed_domain", F.when(F.col("allowed_domain") != "", F.col("allowed_domain"))
                      .otherwise(normalise_domain(F.col("seed_url"))))
     if order_col != "target_idx":
-        # Targets are a small table (one row per site); a global ordinal over it
-        # is bounded by the number of targets, not by the page data.
-        t = t.withColumn("target_idx", F.row_number().over(Window.orderBy(order_col)) - 1).drop(order_col)
+        t = range_ordinal(t, order_col, "target_idx").withColumn("target_idx", F.col("target_idx") - 1).drop(order_col)
     return t.select("target_idx", "name", "country", "seed_url", "allowed_domain", "notes")
 
 
@@ -66,8 +65,9 @@ def targets_from_pages(pages: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("site", F.lower(netloc(F.col("nurl"))))
     per_site = keyed.filter(scheme(F.col("nurl")).isin("http", "https")) \
         .groupBy("site").agg(F.min("url").alias("seed_url"))
+    per_site = range_ordinal(per_site, "site", "_ord")
     return per_site.select(
-        (F.row_number().over(Window.orderBy("site")) - 1).cast("long").alias("target_idx"),
+        (F.col("_ord") - 1).alias("target_idx"),
         F.concat(F.lit("Site "), F.col("site")).alias("name"),
         F.lit("Testland").alias("country"),
         F.col("seed_url"),
