@@ -51,7 +51,8 @@ def cached_expr(key, build):
     """
     from pyspark import SparkContext
 
-    k = (id(SparkContext._active_spark_context), key)
+    sc = SparkContext._active_spark_context
+    k = (sc.applicationId if sc is not None else None, key)
     if k not in _EXPRS:
         _EXPRS[k] = build()
     return _EXPRS[k]

@@ -51,12 +51,16 @@ def _memoised(key, fn):
     return _memo[key]
 
 
+def _app(spark) -> str:
+    return spark.sparkContext.applicationId
+
+
 def _content(spark, sf):
     def build():
         pages = _read(spark, sf, "pages")
         c = score_columns(page_content(pages.withColumn("url", normalise_url(F.col("url")))), TEST)
         return c.checkpoint(eager=True)
-    return _memoised((id(spark), sf, "content"), build)
+    return _memoised((_app(spark), sf, "content"), build)
 
 
 def _job(spark, sf, variant="main"):
@@ -67,7 +71,7 @@ def _job(spark, sf, variant="main"):
         detail = _emptied_detail(pages) if variant == "fallback" else None
         return run_job(targets, pages, cfg, edges=derived_edges(pages), detail_pages=detail, run_ts=RUN_TS,
                        end_ts=RUN_TS)
-    return _memoised((id(spark), sf, "job", variant), build)
+    return _memoised((_app(spark), sf, "job", variant), build)
 
 
 def _emptied_detail(pages: DataFrame) -> DataFrame:
