@@ -69,8 +69,17 @@ def _assemble(sch: Column, net: Column, pth: Column, qry: Column) -> Column:
     )
 
 
+# Schemes whose last path segment carries ';params'.
+PARAM_SCHEMES = ["", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu",
+                 "sip", "sips", "mms", "sftp", "tel"]
+EMPTY_PARAMS = r"^((?:.*/)?[^/;]*);$"
+
+
 def _assemble_parts(st: Column) -> Column:
-    return _assemble(st["scheme"], st["netloc"], st["path"], st["query"])
+    # An empty ';params' on the last segment is dropped on re-assembly.
+    p = F.when(st["scheme"].isin(*PARAM_SCHEMES), F.regexp_replace(st["path"], EMPTY_PARAMS, "$1")) \
+        .otherwise(st["path"])
+    return _assemble(st["scheme"], st["netloc"], p, st["query"])
 
 
 def normalise_url(u: Column) -> Column:
@@ -164,7 +173,8 @@ def _resolve_bound(base: Column, b: Column, h: Column) -> Column:
     def with_rest(r):
         r_n = F.regexp_extract(r, r"^//([^/?#]*)", 1)
         no_auth = F.regexp_replace(r, r"^//[^/?#]*", "")
-        r_p = F.regexp_extract(no_auth, r"^([^?#]*)", 1)
+        # An empty ';params' on the last segment is dropped before merging.
+        r_p = F.regexp_replace(F.regexp_extract(no_auth, r"^([^?#]*)", 1), EMPTY_PARAMS, "$1")
         r_q = F.regexp_extract(no_auth, r"^[^?#]*\?([^#]*)", 1)
         return let(F.struct(r_n.alias("n"), r_p.alias("p"), r_q.alias("q")), lambda rp: _merge(base, b, h, h_s, rp))
     return let(rest, with_rest)

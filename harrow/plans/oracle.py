@@ -12,7 +12,7 @@ import itertools
 from .. import config as C
 from ..operators.content import HREF
 from ..functions.text import ENTITY, LEXICAL_BLOCKS, NAMED_ENTITIES, REMOVED_ELEMENTS, TAG, WS
-from ..functions.urls import NETLOC_SCHEMES, SPLIT
+from ..functions.urls import EMPTY_PARAMS, NETLOC_SCHEMES, PARAM_SCHEMES, SPLIT
 
 _ids = itertools.count()
 
@@ -131,7 +131,13 @@ def parts(u: str):
 def normalise_url(u: str) -> str:
     cleaned_ = f"regexp_replace({ustrip(u)}, '[\\t\\r\\n]', '', 'g')"
     ws = let(cleaned_, lambda s: f"CASE WHEN regexp_matches({s}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {s} ELSE 'https://' || {s} END")
-    asm = let(ws, lambda s: let(parts(s), lambda x: assemble(f"{x}.s", f"{x}.n", f"{x}.p", f"{x}.q")))
+    pschemes = ", ".join(q(x) for x in PARAM_SCHEMES)
+
+    def reasm(x):
+        p = (f"(CASE WHEN {x}.s IN ({pschemes}) THEN regexp_replace({x}.p, {q(EMPTY_PARAMS)}, '\\1') "
+             f"ELSE {x}.p END)")
+        return assemble(f"{x}.s", f"{x}.n", p, f"{x}.q")
+    asm = let(ws, lambda s: let(parts(s), reasm))
     return f"regexp_replace({asm}, '/+$', '', 'g')"
 
 
@@ -199,7 +205,7 @@ def resolve(base: str, href: str) -> str:
                 def with_rest(r):
                     rn = f"regexp_extract({r}, '^//([^/?#]*)', 1)"
                     no_auth = f"regexp_replace({r}, '^//[^/?#]*', '', 'g')"
-                    rp = f"regexp_extract({no_auth}, '^([^?#]*)', 1)"
+                    rp = f"regexp_replace(regexp_extract({no_auth}, '^([^?#]*)', 1), {q(EMPTY_PARAMS)}, '\\1')"
                     rq = f"regexp_extract({no_auth}, '^[^?#]*\\?([^#]*)', 1)"
 
                     def merge(x):
