@@ -9,8 +9,14 @@ def op3_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark, sf_dir):
+    from .decontaminate import leak_report
+    return leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES = {}
