@@ -197,26 +197,28 @@ def blocks(benchmark: DataFrame, block_chars: int):
         yield [(r["item_id"], normal(r["text"])) for r in part.orderBy("item_id", "text").collect()]
 
 
+LEAKS = "array<struct<item_id:long,edits:int,start:int>>"
+
+
+def _leaks(index):
+    @F.pandas_udf(LEAKS)
+    def leaks(column: pd.Series) -> pd.Series:
+        texts = [normal(x) for x in column]
+        got: list = []
+        for part in runs([len(t) for t in texts], 1_000_000):
+            got += matches(texts[part], index.value)
+        return pd.Series(got, dtype=object)
+
+    return leaks
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, q: int = 8, common: int = 4,
                  block_chars: int = 4_000_000, out: str = "leaks") -> DataFrame:
     """``docs`` with ``out``: array of ``(item_id, edits, start)`` of the items found in its text."""
-    kind = "array<struct<item_id:long,edits:int,start:int>>"
-    found = docs.withColumn(out, F.array().cast(kind))
+    found = docs.withColumn(out, F.array().cast(LEAKS))
     for rows in blocks(benchmark, block_chars):
-        index = docs.sparkSession.sparkContext.broadcast(Index.build(rows, q, rate, common))
-
-        def run(batches, index=index):
-            for b in batches:
-                texts = [normal(x) if isinstance(x, str) else "" for x in b["text"]]
-                got: list = []
-                for part in runs([len(t) for t in texts], 1_000_000):
-                    got += matches(texts[part], index.value)
-                old = b[out].tolist()
-                b[out] = [[*(tuple(z.values()) if isinstance(z, dict) else z for z in (o if o is not None else ())), *g]
-                          for o, g in zip(old, got)]
-                yield b
-
-        found = found.mapInPandas(run, found.schema)
+        leaks = _leaks(docs.sparkSession.sparkContext.broadcast(Index.build(rows, q, rate, common)))
+        found = found.withColumn(out, F.concat(out, leaks(text_of())))
     return found
 
 

@@ -9,12 +9,18 @@ def op3_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    from .linededup import dedup_lines
+    return dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark, sf_dir):
     from .decontaminate import leak_report
     return leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op9_decontamination": op9_decontamination,
 }

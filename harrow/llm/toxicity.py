@@ -222,26 +222,21 @@ def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05) ->
     return float(w[0]), float(max(w[1], 1e-3))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, grammar: Grammar | None = None) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
-    g = grammar or learn(docs, labels)
+def _scores(grammar: Grammar):
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([grammar.score(x) for x in texts], dtype="float64")
 
-    def run(batches):
-        for b in batches:
-            s = np.array([g.score(x) for x in b["text"]], float)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s,
-                                "predicted": (s >= threshold).astype("int32")})
+    return score
 
-    rows = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), text_of().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, grammar: Grammar | None = None) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
+    score = _scores(grammar or learn(docs, labels))
+    return docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), score(text_of()).alias("score")) \
+        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, grammar: Grammar | None = None) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns kept."""
-    g = grammar or learn(docs, labels)
-
-    def keep(batches):
-        for b in batches:
-            yield b[[g.score(x or "") < threshold for x in b["text"].astype(object).where(b["text"].notna(), "")]]
-
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.filter(_scores(grammar or learn(docs, labels))(text_of()) < threshold)
