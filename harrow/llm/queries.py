@@ -14,6 +14,16 @@ def op2_line_dedup(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    from .packing import packed
+    return packed(read(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark, sf_dir):
+    from .tokencount import token_counts
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark, sf_dir):
     from .decontaminate import leak_report
     return leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -22,6 +32,8 @@ def op9_decontamination(spark, sf_dir):
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
 }
 
