@@ -4,6 +4,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,33 @@ def runs(sizes, most: int):
         yield slice(start, len(sizes))
 
 
+def member_test(keys: DataFrame, column: str, bits: int = 26):
+    """A function that tells whether a 64-bit hash may be among ``keys``.
+
+    One bit for each hash modulo ``2**bits``, gathered with the bitmap
+    aggregates: at most ``2**bits / 8`` bytes (8 MB) at any size.  It says yes
+    too often when there are very many keys, never no for a key, so it is for
+    keeping rows out of a shuffle, ahead of an exact join.
+    """
+    slot = F.pmod(F.col(column), F.lit(1 << bits))
+    rows = keys.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")) \
+        .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    table = np.zeros((1 << bits) // 8 + 4096, np.uint8)
+    for r in rows.toLocalIterator():
+        # Bucket 1 holds 1..32768 at positions 0..32767; 0 falls in bucket 0's last place.
+        at = (r["b"] - 1) * 4096 if r["b"] > 0 else len(table) - 4096
+        table[at:at + 4096] = np.frombuffer(r["m"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        v = np.mod(h.to_numpy(np.int64), 1 << bits)
+        at = np.where(v > 0, v - 1, len(shared.value) * 8 - 1)
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return among
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` -> ``(id, component)``.
 

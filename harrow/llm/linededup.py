@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, runs, staged
+from .common import member_test, mix64, runs, staged
 
-CONTEXT = 24
+CONTEXT = 8
 SUB_BATCH = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,32 +183,36 @@ def without(text: str, ranges: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 3, seeds: int = 2, min_lines: int = 2, min_words: int = 25) -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = 3, seeds: int = 1, min_lines: int = 2, min_words: int = 25) -> DataFrame:
     """``docs`` with later copies of repeated passages cut out of ``text``."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(sys.maxsize))
-    tx = F.xxhash64("text")
+    tx = F.hash("text")
     full = docs.filter("text is not null and text <> ''").select(did.alias("did"), tx.alias("tx"), "text")
-    chunks = staged(full.mapInPandas(_chunk_rows(divisor, seeds, min_lines), "did long, tx long, line int, n int, h long"), "chunks")
+    chunks = staged(full.mapInPandas(_chunk_rows(divisor, seeds, min_lines), "did long, tx int, line int, n int, h long"), "chunks")
     place = F.struct("did", "tx", "line", "n")
     repeated = chunks.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1") \
         .select("h", "first")
     later = staged(chunks.join(repeated, "h").filter(place != F.col("first")).select("h", "did", "tx", "line", "n", "first"), "later")
-    refs = later.groupBy("h").agg(F.min("first").alias("first")) \
-        .groupBy(F.col("first.did").alias("did"), F.col("first.tx").alias("tx")) \
+    # Only documents with a repeated chunk are shuffled; the others pass straight through.
+    firsts = later.select("h", "first").distinct()
+    refs = firsts.groupBy(F.col("first.did").alias("did"), F.col("first.tx").alias("tx")) \
         .agg(F.collect_list(F.struct("h", F.col("first.line").alias("line"), F.col("first.n").alias("n"))).alias("refs"))
-    texts = full.join(refs, ["did", "tx"]).select("text", "refs") \
-        .mapInPandas(_firsts, "h long, chunk string, before array<long>, after array<long>") \
-        .groupBy("h").agg(F.first("chunk").alias("chunk"), F.first("before").alias("before"), F.first("after").alias("after"))
-    found = later.join(texts, "h").groupBy("did", "tx") \
+    has_first = member_test(firsts.select(F.xxhash64("first.did", "first.tx").alias("k")), "k")
+    has_later = member_test(later.select(F.xxhash64("did", "tx").alias("k")), "k")
+    texts = full.filter(has_first(F.xxhash64("did", "tx"))).dropDuplicates(["did", "tx"]).join(refs, ["did", "tx"]) \
+        .select("text", "refs").mapInPandas(_firsts, "h long, chunk string, before array<long>, after array<long>")
+    found = later.select("h", "did", "tx", "line", "n").join(texts, "h").groupBy("did", "tx") \
         .agg(F.collect_list(F.struct("line", "n", "chunk", "before", "after")).alias("_refs")) \
         .select(F.col("did").alias("_did"), F.col("tx").alias("_tx"), "_refs")
-    keyed = docs.withColumn("_did", did).withColumn("_tx", tx).join(found, ["_did", "_tx"], "left")
+    keyed = docs.withColumn("_did", did).withColumn("_tx", tx) \
+        .withColumn("_hit", F.col("text").isNotNull() & has_later(F.xxhash64("_did", "_tx")))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, refs: pd.Series) -> pd.Series:
         return pd.Series([t if r is None else without(t, cuts(t, r, min_words)) for t, r in zip(texts, refs)], dtype=object)
 
-    out = keyed.withColumn("text", F.when(F.col("_refs").isNull(), F.col("text")).otherwise(cut("text", "_refs")))
+    out = keyed.filter("_hit").join(found, ["_did", "_tx"], "left") \
+        .withColumn("text", F.when(F.col("_refs").isNull(), F.col("text")).otherwise(cut("text", "_refs")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_refs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    return keyed.filter("not _hit").select(*docs.columns).unionByName(out.select(*docs.columns))
