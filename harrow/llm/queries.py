@@ -9,6 +9,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    from .minhash import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark, sf_dir):
     from .linededup import dedup_lines
     return dedup_lines(read(spark, sf_dir, "documents"))
@@ -30,6 +35,7 @@ def op9_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
