@@ -36,11 +36,12 @@ from .common import staged, text_of
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-CACHE = 700_000
-#: Python's split() takes these as white space, the tokenizer doesn't.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Beyond these, str.lower() may differ from the tokenizer's lower case.
-NOT_LATIN = re.compile("[^\0-\u012f\u0131-\u017f]")
+CACHE = 400_000
+# How the tokenizer cuts a text, for Latin letters (its rule for others is left to it).
+LATIN = "a-zªµºß-öø-ſ"
+TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9²³¹¼½¾]|[^\\s{LATIN}0-9²³¹¼½¾]+")
+#: Other scripts, marks, the dotted I, control characters and special tokens.
+OTHER = re.compile("[^\t-\r -~\x85\xa0-\u012f\u0131-\u017f]|<\\|")
 
 
 @lru_cache(maxsize=2)
@@ -52,29 +53,44 @@ def _encoder(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
 
 
-class Words:
-    """Token ids of whole texts, as little-endian 32-bit bytes, from a cache of words.
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary: itself if it prints, else one from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    extra = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(extra)) for b in range(256)]
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn.
+
+BYTE = _byte_letters()
+
+
+class Words(dict):
+    """Token ids, as little-endian 32-bit bytes, of the words met so far.
+
+    The tokenizer cuts a text into words by a fixed pattern and encodes each on
+    its own, so a text's ids are those of its words in turn.  Words go straight
+    to the tokenizer's model.
     """
 
     def __init__(self, name: str):
-        self.encoder, self.cache = _encoder(name), {}
+        super().__init__()
+        self.encoder = _encoder(name)
+        self.model = self.encoder.model
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join([BYTE[b] for b in word.encode()])
+        ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids
+        return ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+    def plain(self, text: str) -> bytes:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[] if ODD_SPACE.search(t) else (t if NOT_LATIN.search(t) else t.lower()).split() for t in texts]
-        new = list({w for words in split for w in words} - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            self.cache.update(zip(new[i:i + 20_000], self._ids(new[i:i + 20_000])))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) if w or not t else self._ids([t])[0] for t, w in zip(texts, split)]
+    def encode(self, text: str) -> bytes:
+        if OTHER.search(text):
+            return self.plain(text)
+        return b"".join(map(self.__getitem__, TOKEN.findall(text.lower())))
 
 
 def _pieces(name: str, capacity: int):
@@ -83,12 +99,10 @@ def _pieces(name: str, capacity: int):
     @F.pandas_udf("array<struct<length:long,crc:long>>")
     def pieces(texts: pd.Series) -> pd.Series:
         words, out = _words(name), []
-        all_texts = texts.tolist()
-        for i in range(0, len(all_texts), 256):
-            for ids in words.encode(all_texts[i:i + 256]):
-                ids += tail
-                cut = [ids[k:k + 4 * capacity] for k in range(0, len(ids), 4 * capacity)]
-                out.append([(len(c) // 4, zlib.crc32(c)) for c in cut])
+        for text in texts:
+            ids = words.encode(text) + tail
+            cut = [ids[k:k + 4 * capacity] for k in range(0, len(ids), 4 * capacity)]
+            out.append([(len(c) // 4, zlib.crc32(c)) for c in cut])
         return pd.Series(out, dtype=object)
 
     return pieces
