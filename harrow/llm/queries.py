@@ -19,6 +19,11 @@ def op2_line_dedup(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    from .warc import round_trip
+    return round_trip(read(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     from .packing import packed
     return packed(read(spark, sf_dir, "documents"))
@@ -38,9 +43,23 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
 }
 
-ORACLES = {}
+# SHA-1 in hexadecimal to base32: 5 digits are 20 bits, that is 4 letters.
+_BASE32 = """array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5))::BIGINT
+        >> CAST(5 * (3 - i % 4) AS INT)) & 31 AS INT), 1)), '')"""
+
+ORACLES = {
+    "op4_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (SELECT h, max(page_id) AS best FROM p GROUP BY h)
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to, url
+        FROM p JOIN b USING (h)""",
+}
