@@ -39,6 +39,11 @@ def op9_decontamination(spark, sf_dir):
     return leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_html_text(spark, sf_dir):
+    from .htmltext import main_text
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -47,6 +52,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_html_text": op10_html_text,
 }
 
 # SHA-1 in hexadecimal to base32: 5 digits are 20 bits, that is 4 letters.
@@ -62,4 +68,13 @@ ORACLES = {
             CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to, url
         FROM p JOIN b USING (h)""",
+    # The pages hold one article each, of headings and paragraphs; their references are &amp and &quot, some cut short.
+    "op10_html_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
+        b AS (SELECT page_id, url, list_filter(list_transform(
+            string_split(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?(p|h1)>', chr(1), 'g'), chr(1)),
+            lambda t: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
+                                          '\s+', ' ', 'g'))), lambda t: t <> '') AS l FROM a),
+        c AS (SELECT page_id, url, coalesce(array_to_string(l, chr(10)), '') AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c""",
 }
