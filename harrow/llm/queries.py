@@ -24,6 +24,11 @@ def op4_warc(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "pages"))
 
 
+def op5_embedding_dedup(spark, sf_dir):
+    from .flatgraph import near_vectors
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op6_lm_score(spark, sf_dir):
     from .pitmanyor import lm_scores
     return lm_scores(read(spark, sf_dir, "documents"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_lm_score": op6_lm_score,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
