@@ -253,7 +253,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int
     unit = ["cell", "low", "high"]
     near = units.groupBy(*unit).applyInPandas(_build(degree, candidates, alpha), "id long, near array<long>")
     graph = staged(near.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    lists = units.select("id", *unit).join(graph, "id")
+    lists = staged(units.select("id", *unit).join(graph, "id"), "lists")
     found = staged(units.groupBy(*unit).cogroup(lists.groupBy(*unit)).applyInPandas(
         _search(threshold), "id long, links long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
