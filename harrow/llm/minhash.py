@@ -10,14 +10,13 @@ dart.  Two documents agree in a coordinate with the probability of their
 weighted Jaccard similarity (sum of minima over sum of maxima).
 
 Signatures are cut into bands; documents that agree in a whole band meet in a
-bucket.  No bucket is expanded into pairs.  First every document is compared
-with the hub of its buckets, the one that shares most.  Then, in rounds, each
-bucket whose members are not yet one class makes a few of them pivots (the hub,
-then members of its rarest classes; more each round); a pivot is compared with
-the members of other classes in all its buckets and leaves them, until every
-bucket that is left is of one class; so every pair that shares a band is either in
-one class or has been compared.  Pairs whose signatures agree too little
-(far below the threshold) are dropped, the rest are verified on the shingles.
+bucket.  First every document is compared with the hub of its buckets, the one
+that shares most, which joins most copies to their source.  Buckets whose
+members are then of several classes are compared on the shingles: split into
+blocks of bounded size, each pair of blocks is a unit of work, in which the
+members of different classes are compared by products of 0/1 matrices and only a
+spanning forest of the links found is written.  So every pair that shares a band
+is in one class or has been compared, and no list of pairs is made.
 
 Exact copies are collapsed first, so large groups of them cost one document.
 
@@ -113,105 +112,152 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / either) if either else 1.0
 
 
-def _signatures(bands: int, rows: int):
+def _buckets(bands: int, rows: int):
     def run(batches):
         for b in batches:
-            sigs, keys = [], []
+            out = []
             for text in b["text"]:
                 e, w = shingles(text)
                 if not len(e):
-                    sigs.append(b"")
-                    keys.append([])
+                    out.append([])
                     continue
                 s = dart_minhash(e, w, bands * rows).reshape(bands, rows)
                 h = np.zeros(bands, np.uint64)
                 for c in range(rows):
                     h = mix64(h * _A + s[:, c])
-                keys.append(mix64(h + np.arange(bands, dtype=np.uint64) * _B).view(np.int64))
-                sigs.append((s.ravel() >> np.uint64(40)).astype(np.uint16).tobytes())
-            yield pd.DataFrame({"id": b["id"], "copy": b["copy"], "buckets": keys, "sig": sigs})
+                out.append(mix64(h + np.arange(bands, dtype=np.uint64) * _B).view(np.int64))
+            yield pd.DataFrame({"id": b["id"], "copy": b["copy"], "buckets": out})
     return run
 
 
-@F.pandas_udf(T.FloatType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), -1)
-    return pd.Series((x == y).mean(axis=1).astype(np.float32))
-
-
 @F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     cached = lru_cache(maxsize=256)(shingles)
     return pd.Series([similarity(cached(x), cached(y)) for x, y in zip(a, b)], dtype="float64")
 
 
-def _ends(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of ``table`` whose id occurs in ``pairs``, and perhaps a few more."""
-    among = member_test(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("k")), "k")
-    return table.filter(among(F.xxhash64("id")))
+def _ends(docs: DataFrame, *ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id occurs in a column of ``ids``, and perhaps a few more."""
+    keys = ids[0].select(F.xxhash64(ids[0].columns[0]).alias("k"))
+    for d in ids[1:]:
+        keys = keys.unionByName(d.select(F.xxhash64(d.columns[0]).alias("k")))
+    return docs.filter(member_test(keys, "k")(F.xxhash64("id")))
+
+
+def overlaps(docs: list[tuple[np.ndarray, np.ndarray]], columns: int = 8192) -> np.ndarray:
+    """Sums of minima of all pairs of multisets: products of 0/1 matrices, a slice of the elements at a time.
+
+    An element that occurs three times counts as three: its first, second and third.
+    """
+    sizes = [int(w.sum()) for _, w in docs]
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    element = np.concatenate([np.repeat(e, w) for e, w in docs])
+    nth = np.concatenate([np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) for _, w in docs])
+    _, col, n = np.unique(mix64(element + nth.astype(np.uint64) * _B), return_inverse=True, return_counts=True)
+    # Elements of one document alone add nothing.
+    shared = np.flatnonzero(n > 1)
+    new = np.full(len(n), -1)
+    new[shared] = np.arange(len(shared))
+    col = new[col]
+    owner, col = owner[col >= 0], col[col >= 0]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    both = np.zeros((len(docs), len(docs)), np.float32)
+    for c in range(0, len(shared), columns):
+        a, z = np.searchsorted(col, [c, c + columns])
+        x = np.zeros((len(docs), min(columns, len(shared) - c)), np.float32)
+        x[owner[a:z], col[a:z] - c] = 1.0
+        both += x @ x.T
+    return both
+
+
+def links(ids: np.ndarray, classes: np.ndarray, texts: list[str], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members of different classes."""
+    docs = [shingles(t) for t in texts]
+    total = np.array([w.sum() for _, w in docs], float)
+    both = overlaps(docs)
+    either = total[:, None] + total[None, :] - both
+    a, b = np.nonzero(np.triu(both >= threshold * either - 1e-6, 1) & (classes[:, None] != classes[None, :]))
+    root = {c: c for c in classes.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
 
+    out = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = find(classes[i]), find(classes[j])
+        if x != y and similarity(docs[i], docs[j]) >= threshold:
+            root[y] = x
+            out.append((int(ids[i]), int(ids[j])))
+    return out
 
-def verified(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """Of ``pairs(a, b)``, those that are similar enough: by signature with slack, then exactly."""
-    pairs = staged(pairs, "candidates")
-    sig = _ends(sigs, pairs)
-    near = staged(pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-                  .join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-                  .filter(_agreement("sa", "sb") >= threshold - slack).select("a", "b"), "near")
-    texts = _ends(docs, near)
-    return near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b") \
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a") \
-        .filter(_similarity("ta", "tb") >= threshold).select("a", "b")
+
+def _compare(threshold: float):
+    """Links inside each unit; the units of a partition come one after another."""
+    unit = ["bucket", "low", "high"]
+
+    def run(batches):
+        held, last = [], None
+
+        def flush():
+            pdf = pd.concat(held)
+            got = links(pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["text"].tolist(), threshold)
+            return pd.DataFrame(got, columns=["a", "b"]) if got else None
+
+        for b in batches:
+            if not len(b):
+                continue
+            change = np.flatnonzero((b[unit].to_numpy()[1:] != b[unit].to_numpy()[:-1]).any(axis=1)) + 1
+            for a, z in zip(np.r_[0, change], np.r_[change, len(b)]):
+                key = tuple(b[unit].iloc[a])
+                if held and key != last:
+                    if (out := flush()) is not None:
+                        yield out
+                    held = []
+                held.append(b.iloc[a:z])
+                last = key
+        if held and (out := flush()) is not None:
+            yield out
+    return run
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
-                    max_rounds: int = 60) -> DataFrame:
+                    block: int = 256) -> DataFrame:
     """``doc_id, component_id, kept`` for every row; ``component_id`` is the smallest id of its class."""
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
-    sigs = staged(known.withColumn("copy", F.unhex(F.md5("text"))).mapInPandas(
-        _signatures(bands, rows), "id long, copy binary, buckets array<long>, sig binary"), "signatures")
-    heads = sigs.groupBy("copy").agg(F.min("id").alias("id"))
-    slack = 5.0 * float(np.sqrt(threshold * (1 - threshold) / (bands * rows)))
-    members = staged(sigs.select("id", "copy", "buckets").join(heads, ["id", "copy"], "left_semi")
-                     .select("id", F.explode("buckets").alias("bucket")), "members")
+    signed = staged(known.withColumn("copy", F.unhex(F.md5("text"))).mapInPandas(
+        _buckets(bands, rows), "id long, copy binary, buckets array<long>"), "signatures")
+    heads = signed.groupBy("copy").agg(F.min("id").alias("id"))
+    members = staged(signed.join(heads, ["id", "copy"], "left_semi").select("id", F.explode("buckets").alias("bucket")), "members")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = staged(members.join(shared, "bucket"), "members")
     # How much a document shares with others; the text that others were made from has most.
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
     members = staged(members.join(degree, "id").withColumn("hub", F.struct("degree", (-F.col("id")).alias("minus"))), "members")
     hubs = members.groupBy("bucket").agg(F.max("hub").alias("top"))
-    best = members.join(hubs, "bucket").filter("top.minus <> -id").groupBy("id").agg((-F.max("top").getField("minus")).alias("a"))
-    edges = staged(verified(best.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(),
-                            known, sigs, threshold, slack), "links")
-    active = members.select("bucket", "id", "degree")
-    for n in range(max_rounds):
-        label = components(edges)
-        active = active.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-            .filter("lo < hi").select("bucket")
-        active = staged(active.join(mixed, "bucket"), "active")
-        if active.isEmpty():
-            break
-        # Pivots: first the hub of each bucket, then the members of the classes that are rarest in it.
-        if n == 0:
-            order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "id")
-            ranked = active
-        else:
-            order = Window.partitionBy("bucket").orderBy("size", "id")
-            ranked = active.join(active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size")), ["bucket", "component"])
-        chosen = staged(ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 4 ** n).select("id").distinct(), "pivots")
-        # A pivot meets the other classes of all its buckets at once and is then done.
-        p = active.join(chosen, "id").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-        pairs = active.join(p, "bucket").filter("component <> ca") \
-            .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        edges = staged(edges.unionByName(verified(pairs, known, sigs, threshold, slack)).distinct(), "links")
-        active = active.select("bucket", "id", "degree").join(chosen, "id", "left_anti")
-    else:
-        raise RuntimeError("buckets are left after the last round; raise max_rounds")
+    near = staged(members.join(hubs, "bucket").filter("top.minus <> -id").groupBy("id")
+                  .agg((-F.max("top").getField("minus")).alias("a")).withColumnRenamed("id", "b"), "near")
+    texts = _ends(known, near.select("a"), near.select("b"))
+    edges = staged(near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+                   .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+                   .filter(_similarity("ta", "tb") >= threshold).select("a", "b"), "links")
+
+    active = members.select("bucket", "id").join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = active.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")) \
+        .filter("lo < hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    active = active.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    active = staged(active.select("bucket", "id", "component", F.least("part", "other").alias("low"),
+                                  F.greatest("part", "other").alias("high")), "active")
+    unit = ["bucket", "low", "high"]
+    units = active.join(_ends(known, active.select("id")), "id").repartition(*unit).sortWithinPartitions(*unit)
+    edges = staged(edges.unionByName(units.mapInPandas(_compare(threshold), "a long, b long")), "links")
 
     # Links between texts, and from the first of the exact copies to the others.
-    copies = sigs.select(F.col("id").alias("b"), "copy").join(heads.withColumnRenamed("id", "a"), "copy").select("a", "b")
+    copies = signed.select(F.col("id").alias("b"), "copy").join(heads.withColumnRenamed("id", "a"), "copy").select("a", "b")
     label = components(edges.unionByName(copies)).withColumnRenamed("id", "doc_id")
     own = F.col("doc_id").cast("long")
     return docs.select(own.alias("doc_id")).join(label, "doc_id", "left") \
