@@ -68,6 +68,18 @@ def runs(sizes, most: int):
         yield slice(start, len(sizes))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def member_test(keys: DataFrame, column: str, bits: int = 26):
     """A function that tells whether a 64-bit hash may be among ``keys``.
 
@@ -76,20 +88,18 @@ def member_test(keys: DataFrame, column: str, bits: int = 26):
     too often when there are very many keys, never no for a key, so it is for
     keeping rows out of a shuffle, ahead of an exact join.
     """
-    slot = F.pmod(F.col(column), F.lit(1 << bits))
+    slot = F.pmod(F.col(column), F.lit(1 << bits)) + 1  # buckets count from 1, each of 32768 bits
     rows = keys.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")) \
         .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
-    table = np.zeros((1 << bits) // 8 + 4096, np.uint8)
+    table = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows.toLocalIterator():
-        # Bucket 1 holds 1..32768 at positions 0..32767; 0 falls in bucket 0's last place.
-        at = (r["b"] - 1) * 4096 if r["b"] > 0 else len(table) - 4096
+        at = (r["b"] - 1) * 4096
         table[at:at + 4096] = np.frombuffer(r["m"], np.uint8)
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def among(h: pd.Series) -> pd.Series:
-        v = np.mod(h.to_numpy(np.int64), 1 << bits)
-        at = np.where(v > 0, v - 1, len(shared.value) * 8 - 1)
+        at = np.mod(h.to_numpy(np.int64), 1 << bits)
         return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     return among

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, text_of
+from .common import fresh, runs, text_of
 
 BASE = np.uint64(0x100000001B3)
 BITS = 22
@@ -233,4 +233,5 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, all columns kept."""
-    return contaminated(docs, benchmark, out="_leaks", **options).filter(F.size("_leaks") == 0).drop("_leaks")
+    (out,) = fresh(docs, "_leaks")
+    return contaminated(docs, benchmark, out=out, **options).filter(F.size(out) == 0).drop(out)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import member_test, mix64, runs, staged
+from .common import fresh, member_test, mix64, runs, staged
 
 CONTEXT = 8
 SUB_BATCH = 1_000_000
@@ -201,18 +201,20 @@ def dedup_lines(docs: DataFrame, divisor: int = 3, seeds: int = 1, min_lines: in
     has_later = member_test(later.select(F.xxhash64("did", "tx").alias("k")), "k")
     texts = full.filter(has_first(F.xxhash64("did", "tx"))).dropDuplicates(["did", "tx"]).join(refs, ["did", "tx"]) \
         .select("text", "refs").mapInPandas(_firsts, "h long, chunk string, before array<long>, after array<long>")
+    _did, _tx, _hit, _refs = fresh(docs, "_did", "_tx", "_hit", "_refs")
     found = later.select("h", "did", "tx", "line", "n").join(texts, "h").groupBy("did", "tx") \
-        .agg(F.collect_list(F.struct("line", "n", "chunk", "before", "after")).alias("_refs")) \
-        .select(F.col("did").alias("_did"), F.col("tx").alias("_tx"), "_refs")
-    keyed = docs.withColumn("_did", did).withColumn("_tx", tx) \
-        .withColumn("_hit", F.col("text").isNotNull() & has_later(F.xxhash64("_did", "_tx")))
+        .agg(F.collect_list(F.struct("line", "n", "chunk", "before", "after")).alias(_refs)) \
+        .select(F.col("did").alias(_did), F.col("tx").alias(_tx), _refs)
+    keyed = docs.withColumn(_did, did).withColumn(_tx, tx) \
+        .withColumn(_hit, F.col("text").isNotNull() & has_later(F.xxhash64(_did, _tx)))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, refs: pd.Series) -> pd.Series:
         return pd.Series([t if r is None else without(t, cuts(t, r, min_words)) for t, r in zip(texts, refs)], dtype=object)
 
-    out = keyed.filter("_hit").join(found, ["_did", "_tx"], "left") \
-        .withColumn("text", F.when(F.col("_refs").isNull(), F.col("text")).otherwise(cut("text", "_refs")))
+    same = F.col(_refs).isNull()
+    out = keyed.filter(F.col(_hit)).join(found, [_did, _tx], "left") \
+        .withColumn("text", F.when(same, F.col("text")).otherwise(cut("text", _refs)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_refs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return keyed.filter("not _hit").select(*docs.columns).unionByName(out.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return keyed.filter(~F.col(_hit)).select(*docs.columns).unionByName(out.select(*docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, member_test, mix64, staged, text_of
+from .common import components, fresh, member_test, mix64, staged, text_of
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -269,11 +269,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` for each class: that with the smallest id, all columns kept."""
     found = staged(near_duplicates(docs, **options), "classes")
     n = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("kept").alias("kept"))
-    spare = staged(n.filter("n > 1 or not kept").select(F.col("doc_id").alias("_id"), "kept"), "spare")
-    among = member_test(spare.select(F.xxhash64("_id").alias("k")), "k")
-    marked = docs.withColumn("_id", F.col("doc_id").cast("long")) \
-        .withColumn("_hit", F.col("doc_id").isNotNull() & among(F.xxhash64("_id")))
+    _id, _hit, _kept = fresh(docs, "_id", "_hit", "_kept")
+    spare = staged(n.filter("n > 1 or not kept").select(F.col("doc_id").alias(_id), F.col("kept").alias(_kept)), "spare")
+    among = member_test(spare.select(F.xxhash64(_id).alias("k")), "k")
+    marked = docs.withColumn(_id, F.col("doc_id").cast("long")) \
+        .withColumn(_hit, F.col("doc_id").isNotNull() & among(F.xxhash64(_id)))
     # Only rows that may go are shuffled.
-    checked = marked.filter("_hit").join(spare, "_id", "left").filter(F.coalesce("kept", F.lit(True))) \
-        .dropDuplicates(["_id"]).select(*docs.columns)
-    return marked.filter("not _hit").select(*docs.columns).unionByName(checked)
+    checked = marked.filter(F.col(_hit)).join(spare, _id, "left").filter(F.coalesce(F.col(_kept), F.lit(True))) \
+        .dropDuplicates([_id]).select(*docs.columns)
+    return marked.filter(~F.col(_hit)).select(*docs.columns).unionByName(checked)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import fresh, staged, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -191,7 +191,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 100_000) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; ``length`` is 1 to ``capacity``."""
     spark = pieces.sparkSession
-    rows = staged(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    _row, _bucket, _n, _before, _in, _place = fresh(pieces, "_row", "_bucket", "_n", "_before", "_in", "_place")
+    rows = staged(pieces.withColumn(_row, F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     length, first, seq, offset, _ = plan(counts, capacity)
     shared = spark.sparkContext.broadcast(((length << 42) + first, seq - first, offset))
@@ -203,14 +204,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 100_000
         return pd.DataFrame({"sequence_id": shift[i] + rank.to_numpy(np.int64), "offset": at[i]})
 
     n = 16 + max(counts.values(), default=0) // bucket_rows
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(n)))
-    sizes = bucketed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_bucket").orderBy("_row")
-    ranked = bucketed.withColumn("_in", F.row_number().over(inside)).join(sizes, ["length", "_bucket"]) \
-        .withColumn("_place", place("length", F.col("_before") + F.col("_in")))
-    return ranked.select(*pieces.columns, "_place.sequence_id", "_place.offset")
+    bucketed = rows.withColumn(_bucket, F.pmod(F.xxhash64(_row), F.lit(n)))
+    sizes = bucketed.groupBy("length", _bucket).agg(F.count(F.lit(1)).alias(_n))
+    before = Window.partitionBy("length").orderBy(_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", _bucket, F.coalesce(F.sum(_n).over(before), F.lit(0)).alias(_before))
+    inside = Window.partitionBy("length", _bucket).orderBy(_row)
+    ranked = bucketed.withColumn(_in, F.row_number().over(inside)).join(sizes, ["length", _bucket]) \
+        .withColumn(_place, place("length", F.col(_before) + F.col(_in)))
+    return ranked.select(*pieces.columns, f"{_place}.sequence_id", f"{_place}.offset")
 
 
 def packed(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:

@@ -50,6 +50,7 @@ INSULTS = ("idiot moron clown worthless pathetic scum trash loser disgusting stu
            "dummkopf arschloch imbécile connard idiota imbécil").split()
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+ANY = re.compile(r"\w+")
 CLAUSE = re.compile(r"[.,;:!?|\n\r\"()\[\]]+")
 PREFIXES = (4, 5, 6)
 
@@ -138,7 +139,7 @@ def _families(batches):
     for b in batches:
         keys = []
         for text in b["text"].tolist():
-            w = WORD.findall(text.lower())
+            w = ANY.findall(text.lower())
             keys.append(min((zlib.crc32(" ".join(w[i:i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0))
         yield b[["text", "toxic"]].assign(family=keys)
 

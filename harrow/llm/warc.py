@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, staged
+from .common import member_test, scratch, staged
 
 CRLF = "\r\n"
 TERMINATOR = CRLF * 2
@@ -62,16 +62,22 @@ def classified(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     payload = F.col("html").cast("binary")
     rows = rows.withColumn("row", F.monotonically_increasing_id()) \
-        .withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("sha1", F.sha1(payload))
-    slim = staged(rows.select("row", "page_id", "payload_bytes", "sha1"), "payloads")
+        .withColumn("payload_bytes", F.octet_length(F.col("html").cast("binary")).cast("long")) \
+        .withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    slim = staged(rows.drop("html"), "payloads")
     best = slim.filter(F.col("payload_bytes") >= min_revisit).groupBy("sha1", "payload_bytes") \
         .agg(F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")) \
         .filter("n > 1").select("sha1", "payload_bytes", "best")
-    kind = staged(slim.join(best, ["sha1", "payload_bytes"]).filter("row <> best.row")
-                  .select("row", F.col("best.page_id").alias("refers_to")), "revisits")
-    return rows.join(kind.withColumn("revisit", F.lit(True)), "row", "left") \
-        .withColumn("record_type", F.when(F.col("revisit"), "revisit").otherwise("response")) \
-        .withColumn("payload_digest", base32(F.col("sha1"))).drop("revisit", "sha1")
+    again = staged(slim.join(best, ["sha1", "payload_bytes"]).filter("row <> best.row")
+                   .withColumn("refers_to", F.col("best.page_id")).drop("best"), "revisits")
+    # Payloads stay where they were read: responses pass by, and revisits need none.
+    maybe = member_test(again.select(F.xxhash64("row").alias("k")), "k")
+    marked = rows.withColumn("maybe", maybe(F.xxhash64("row")))
+    response = marked.filter("not maybe").drop("maybe") \
+        .unionByName(marked.filter("maybe").drop("maybe").join(again.select("row"), "row", "left_anti"))
+    return response.withColumns({"refers_to": F.lit(None).cast("long"), "record_type": F.lit("response")}) \
+        .unionByName(again.withColumns({"html": F.lit(""), "record_type": F.lit("revisit")})) \
+        .withColumn("payload_digest", base32(F.col("sha1"))).drop("sha1")
 
 
 def _record(c=F.col):
@@ -148,52 +154,60 @@ def _compress(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
-MEMBER = ("archive string, seq long, offset long, length long, record_id string, record_type string, url string, "
-          "page_id long, payload_digest string, member binary")
+INDEX = ("archive string, seq long, offset long, length long, record_id string, record_type string, url string, "
+          "page_id long, payload_digest string")
 
 
 def _rewrite(batches):
     for b in batches:
-        for path, content in zip(b["path"], b["content"]):
-            name = path.rsplit("/", 1)[-1].split(".")[0]
-            offset, rows = 0, []
-            for seq, record in enumerate(members(content)):
-                fields, _ = headers(record)
-                member = _compress(record)
-                page = fields.get("X-Page-ID", "")
-                rows.append((name, seq, offset, len(member), fields["WARC-Record-ID"], fields["WARC-Type"],
-                             fields.get("WARC-Target-URI", ""), int(page) if page else None,
-                             fields["WARC-Payload-Digest"].removeprefix("sha1:"), member))
-                offset += len(member) + len(EMPTY_MEMBER)
+        for content in b["content"]:
+            rows = []
+            for record in members(content):
+                rows.append(_compress(record))
                 if len(rows) == 2000:
-                    yield _frame(rows)
+                    yield pd.DataFrame({"member": rows})
                     rows = []
             if rows:
-                yield _frame(rows)
+                yield pd.DataFrame({"member": rows})
 
 
-def _frame(rows):
-    out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER.split(", ")])
-    return out.astype({"page_id": "Int64"})
+def _entries(batches):
+    """Offset, length and headers of every record of normalised archives."""
+    for b in batches:
+        for path, content in zip(b["path"], b["content"]):
+            name, view, at, rows = path.rsplit("/", 1)[-1], memoryview(content), 0, []
+            while at < len(view):
+                stream, k, record = zlib.decompressobj(wbits=31), at, bytearray()
+                while not stream.eof:
+                    record += stream.decompress(view[k:k + 65536])
+                    k += 65536
+                length = min(k, len(view)) - at - len(stream.unused_data)
+                fields, _ = headers(bytes(record))
+                page = fields.get("X-Page-ID", "")
+                rows.append((name, len(rows), at, length, fields["WARC-Record-ID"], fields["WARC-Type"],
+                             fields.get("WARC-Target-URI", ""), int(page) if page else None,
+                             fields["WARC-Payload-Digest"].removeprefix("sha1:")))
+                at += length + len(EMPTY_MEMBER)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64"})
 
 
 def normalise(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """Rewrite the archives at ``source`` with a member for each record; returns the index.
+    """Rewrite the archives at ``source`` with a member for each record, to ``path``.
 
-    Archives go to ``path/archive=<name>/``, the index to ``path-index``.
+    Returns the index, which is also written to ``path-index``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source) \
-        .select("path", "content")
-    rows = staged(files.mapInPandas(_rewrite, MEMBER), "members")
-    # Rows of an archive lie in one partition in their order; sorting keeps that through the partitioned write.
-    rows.select("archive", "offset", "member").repartition("archive").sortWithinPartitions("archive", "offset") \
-        .select(F.col("member").cast("string").alias("value"), "archive") \
-        .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").partitionBy("archive").text(path)
-    index = rows.drop("member")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("content")
+    files.mapInPandas(_rewrite, "member binary").select(F.col("member").cast("string").alias("value")) \
+        .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    index = _files(spark, path).mapInPandas(_entries, INDEX)
     index.write.parquet(path + "-index")
     return spark.read.schema(index.schema).parquet(path + "-index")
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("path", "content")
+
+
 def _slices(batches):
     for b in batches:
         for archive, content, places in zip(b["archive"], b["content"], b["places"]):
@@ -225,8 +239,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     Responses: length and digest of the payload that was read; revisits: as their headers say.
     """
     places = index.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path) \
-        .select(F.regexp_extract("path", r"archive=([^/]+)/", 1).alias("archive"), "content")
+    files = _files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     return files.join(places, "archive").mapInPandas(_slices, RECORD)
 
 
