@@ -8,7 +8,7 @@ by row in Python.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from typing import Dict, List, Tuple
+from typing import Dict, List, Optional, Tuple
 
 # ---------------------------------------------------------------------------
 # Fixed values.  These must equal the behaviour being reproduced, so they are
@@ -81,7 +81,8 @@ IMPORTANT_REVIEW_FIELDS = [
     "Housing", "Eligibility", "Source URL",
 ]
 FALLBACK_MISSING = ["Programme Dates", "Application Deadline", "Programme Fee", "Housing", "Eligibility"]
-USER_AGENT = "GenericProgrammeCandidateCrawler/1.0 (+https://example.local; polite educational crawler)"
+#: Name that robots rules are matched with; a job passes its own.
+USER_AGENT = "harrow"
 INPUT_COLUMNS = ["University Name", "Country", "Seed URL", "Allowed Domain", "Notes"]
 CANDIDATE_COLUMNS = [
     "University Name", "Country", "URL", "Page Title", "Candidate Score",
@@ -116,20 +117,19 @@ HIGHLIGHT_COLOURS = [
     ("Low confidence", "FCE4D6"),
     ("Duplicate", "D9EAF7"),
 ]
-# Limits and weights.
+# Weights and thresholds.
 CRAWL_DEPTH_LIMIT = 2
-MAX_PAGES_PER_TARGET = 50
 MIN_CANDIDATE_SCORE = 20
 HIGH_WEIGHT, LOW_WEIGHT, URL_WEIGHT, ACTION_BONUS = 15, 5, 3, 10
-SCORE_TEXT_CHARS = 10000
-MATCH_CHARS = 500
-NAME_CHARS = 200
 MIN_NAME_CHARS = 4
 DUPLICATE_RATIO = 0.88
-FALLBACK_TOP = 5
 FALLBACK_CONFIDENCE_CAP = 45
-WARNINGS_KEPT = 20
 MAX_PATH_SLASHES = 5
+# Limits of a polite live crawl.  Over captured pages there are none unless a
+# job asks for them: ``DEFAULT.with_(**CRAWL_LIMITS)``.
+CRAWL_LIMITS = {
+    "max_pages": 50, "score_text_chars": 10000, "match_chars": 500, "name_chars": 200, "fallback_top": 5, "warnings_kept": 20,
+}
 
 
 @dataclass(frozen=True)
@@ -146,12 +146,20 @@ class MiningConfig:
     language_words: List[Tuple[str, str]] = field(default_factory=lambda: list(LANGUAGE_WORDS))
     housing_words: List[str] = field(default_factory=lambda: list(HOUSING_WORDS))
     name_suffix_pattern: str = NAME_SUFFIX_PATTERN
-    max_depth: int = CRAWL_DEPTH_LIMIT
-    max_pages: int = MAX_PAGES_PER_TARGET
+    #: Links followed from the seed; None: until no new page is found.
+    max_depth: Optional[int] = CRAWL_DEPTH_LIMIT
+    #: Pages visited per target; None: all.
+    max_pages: Optional[int] = None
+    #: Characters of a page's text that are scored; None: all.
+    score_text_chars: Optional[int] = None
+    #: Characters kept of a field's value, and of a programme's name; None: all.
+    match_chars: Optional[int] = None
+    name_chars: Optional[int] = None
     min_score: int = MIN_CANDIDATE_SCORE
     duplicate_ratio: float = DUPLICATE_RATIO
-    fallback_top: int = FALLBACK_TOP
-    warnings_kept: int = WARNINGS_KEPT
+    #: Fallback rows per target, and warnings in the run log's text; None: all.
+    fallback_top: Optional[int] = None
+    warnings_kept: Optional[int] = None
     user_agent: str = USER_AGENT
 
     def with_(self, **kw) -> "MiningConfig":

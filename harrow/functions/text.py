@@ -193,3 +193,8 @@ def is_missing(c: Column) -> Column:
     """Blank, NULL, or one of the missing tokens (trimmed, case-insensitive)."""
     from ..config import MISSING_TOKENS
     return let(F.lower(ustrip(c)), lambda v: F.coalesce((v == "") | v.isin(*MISSING_TOKENS), F.lit(True)))
+
+
+def clipped(c: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; all of them for None."""
+    return c if chars is None else F.substring(c, 1, chars)

@@ -2,17 +2,16 @@
 
 The FIFO queue of a serial crawler visits, at depth d+1, the links of the
 depth-d pages in (parent visit order, link order), skipping URLs already
-visited, until the per-target cap is reached.  Per level that is:
+visited, until the limit of pages per target, if there is one.  Per level that is:
 
     links of fetched depth-d pages  (filtered *before* explode)
       -> anti join with everything visited so far   (target_idx, url)
       -> min(parent rank) per (target_idx, url)     (first enqueue wins)
-      -> row_number over (target_idx) by (parent rank, url) + visited so far
-      -> keep rank <= cap
+      -> rank inside target by (parent rank, url) + visited so far
+      -> keep rank <= max_pages, where a job sets that limit
 
-The visit set is bounded by ``cap x targets``; it is checkpointed after each
-level into the session's checkpoint directory, so lineage stays flat and a lost
-executor never replays earlier levels.  The page side is the persisted,
+The visit set is written to the shared checkpoint folder after each level, so
+lineage stays flat and a lost executor never replays earlier levels.  The page side is the persisted,
 parsed content; AQE chooses broadcast or shuffle for each level's join from the
 measured size of the visit set.
 """
@@ -22,9 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MAX_PATH_SLASHES, MiningConfig
+from ..functions.ordinal import rank_in_pieces
+from ..functions.staging import staged
 from ..functions.urls import is_allowed, normalise_domain, normalise_url, should_enqueue, should_skip
 
 VISIT_COLS = ["target_idx", "domain", "url", "depth", "visit_rank"]
+PARENTS_PER_PIECE = 1 << 10
+PAGES_PER_PIECE = 1 << 16
 
 
 def seeds(targets: DataFrame, cfg: MiningConfig) -> DataFrame:
@@ -37,8 +40,8 @@ def seeds(targets: DataFrame, cfg: MiningConfig) -> DataFrame:
         .select("target_idx", "domain", "url", F.lit(0).alias("depth"), F.lit(1).alias("visit_rank"))
 
 
-def _checkpoint(df: DataFrame, enabled: bool) -> DataFrame:
-    return df.checkpoint(eager=True) if enabled else df
+def _stage(df: DataFrame, enabled: bool) -> DataFrame:
+    return staged(df, "visits") if enabled else df
 
 
 def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
@@ -56,7 +59,7 @@ def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
     if edges is not None:
         extra = edges.select(normalise_url(F.col("src")).alias("src"), normalise_url(F.col("dst")).alias("dst"))
     level = seeds(targets, cfg)
-    visited = _checkpoint(level, checkpoint)
+    visited = _stage(level, checkpoint)
     level = visited
     # Built once, reused at every level (expression construction is not free).
     from ..functions.text import cached_expr
@@ -64,7 +67,9 @@ def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
         "links", lambda l: should_enqueue(l, F.col("domain"), cfg, MAX_PATH_SLASHES, True)))
     keep_edge = cached_expr(("keep_edge", repr(cfg)), lambda: should_enqueue(
         F.col("dst"), F.col("domain"), cfg, MAX_PATH_SLASHES, True))
-    for depth in range(1, cfg.max_depth + 1):
+    depth = 0
+    while cfg.max_depth is None or depth < cfg.max_depth:
+        depth += 1
         parents = level
         if robots is not None:
             parents = robots_allowed(parents, robots, cfg)
@@ -80,16 +85,32 @@ def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
         fresh = frontier.join(visited.select("target_idx", "url"), ["target_idx", "url"], "left_anti") \
             .groupBy("target_idx", "domain", "url").agg(F.min("parent_rank").alias("parent_rank"))
         base = visited.groupBy("target_idx").agg(F.max("visit_rank").alias("_base"))
-        order = Window.partitionBy("target_idx").orderBy("parent_rank", "url")
-        level = fresh.join(base, "target_idx") \
-            .withColumn("visit_rank", (F.col("_base") + F.row_number().over(order)).cast("int")) \
-            .filter(F.col("visit_rank") <= cfg.max_pages) \
-            .select("target_idx", "domain", "url", F.lit(depth).alias("depth"), "visit_rank")
-        visited = _checkpoint(visited.unionByName(level), checkpoint)
+        level = _ranked(fresh, cfg.max_pages).join(base, "target_idx") \
+            .withColumn("visit_rank", (F.col("_base") + F.col("_rank")).cast("int"))
+        if cfg.max_pages is not None:
+            level = level.filter(F.col("visit_rank") <= cfg.max_pages)
+        level = level.select("target_idx", "domain", "url", F.lit(depth).alias("depth"), "visit_rank")
+        visited = _stage(visited.unionByName(level), checkpoint)
         level = visited.filter(F.col("depth") == depth)
+        if cfg.max_depth is None and level.isEmpty():
+            break
     return visited
 
 
+def _ranked(fresh: DataFrame, limit: int | None) -> DataFrame:
+    """``_rank`` of the new pages of each target by (parent's rank, URL).
+
+    With a limit the window keeps that many rows of a target (a partial limit
+    runs before the shuffle).  Without one, pages are ranked in pieces of a
+    few parents each, so that a large frontier is spread over tasks.
+    """
+    order = ["parent_rank", "url"]
+    if limit is not None:
+        w = Window.partitionBy("target_idx").orderBy(*order)
+        return fresh.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit)
+    return rank_in_pieces(fresh, ["target_idx"], [F.floor(F.col("parent_rank") / PARENTS_PER_PIECE)], order, "_rank")
+
+
 def visit_outcomes(visits: DataFrame, content: DataFrame, robots: DataFrame | None, cfg: MiningConfig) -> DataFrame:
     """Visits joined with their page: ``fetched``, ``failure`` and content columns.
 
@@ -113,9 +134,8 @@ def visit_outcomes(visits: DataFrame, content: DataFrame, robots: DataFrame | No
 
 def candidates(outcomes: DataFrame, targets: DataFrame, cfg: MiningConfig) -> DataFrame:
     """Pages scoring at least the threshold, ranked by score desc then visit order."""
-    order = Window.partitionBy("target_idx").orderBy(F.desc("candidate_score"), "visit_rank")
     t = targets.select("target_idx", F.col("name").alias("university_name"), "country")
-    return outcomes.filter(F.col("fetched") & (F.col("candidate_score") >= cfg.min_score)) \
-        .join(t, "target_idx") \
-        .withColumn("candidate_rank", F.row_number().over(order)) \
-        .withColumn("needs_review", F.lit("Yes"))
+    kept = outcomes.filter(F.col("fetched") & (F.col("candidate_score") >= cfg.min_score)).join(t, "target_idx")
+    piece = [-F.col("candidate_score"), F.floor(F.col("visit_rank") / PAGES_PER_PIECE)]
+    return rank_in_pieces(kept, ["target_idx"], piece, ["visit_rank"], "candidate_rank") \
+        .withColumn("candidate_rank", F.col("candidate_rank").cast("int")).withColumn("needs_review", F.lit("Yes"))

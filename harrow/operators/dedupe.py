@@ -12,16 +12,16 @@ Spark plan:
 2. equal ``(block, key)`` rows collapse to their first row (``min(row_idx)``,
    partially aggregated map-side, so thousands of copies of one row never reach
    a single task) — equal keys always end in the same group;
-3. a block with one distinct key needs no comparison; blocks with several
-   distinct keys run the ordered leader scan in ``applyInPandas`` over their
-   *distinct keys only*, with exact upper bounds (length, character multiset)
-   pruning before the ratio is computed;
+3. a block with one distinct key needs no comparison; the keys of other blocks
+   find their leaders in rounds of bounded batches (:func:`leaders_of`), with
+   upper bounds (length, characters) before the ratio is computed;
 4. leaders get their global ordinal from per-bucket counts and offsets (no
    single-partition window over the rows); a group's first row is its leader,
    so Primary/Duplicate needs no window over a (possibly huge) group.
 """
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..config import DUPLICATE_STOP_WORDS
 from ..functions.ordinal import bucket_ordinal
+from ..functions.staging import staged
 from ..functions.urls import block_path, netloc, normalise_url
 
 
@@ -55,45 +56,84 @@ def global_ordinal(df: DataFrame, key: str, bucket_width: int, out: str = "ordin
     return bucket_ordinal(df, key, out, width=bucket_width)
 
 
-def _leader_scan_fn(threshold: float):
+def _similar(key: str, counts: Counter, leader: str, matcher: SequenceMatcher, leader_counts: Counter, threshold: float) -> bool:
+    """``matcher`` holds ``leader`` as its second string; cheap upper bounds of the ratio come first."""
+    total = len(key) + len(leader)
+    if 2.0 * min(len(key), len(leader)) < threshold * total:
+        return False
+    if 2.0 * (counts & leader_counts).total() < threshold * total:
+        return False
+    matcher.set_seq1(key)
+    return matcher.ratio() >= threshold
+
+
+def _prepared(leader: str) -> tuple[str, SequenceMatcher, Counter]:
+    return leader, SequenceMatcher(None, "", leader), Counter(leader)
+
+
+def _scan(threshold: float):
+    """Leaders of the first keys of a block, in order, among themselves."""
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
-        leaders: list[tuple[str, int, SequenceMatcher, dict]] = []
-        out = []
+        leaders: list = []
+        found = []
         for key, rep in zip(pdf["key"].tolist(), pdf["rep"].tolist()):
-            lk = len(key)
-            found = None
-            counts = None
-            for lkey, lrep, matcher, lcounts in leaders:
-                total = lk + len(lkey)
-                # Upper bound 1: matches <= min(len).
-                if 2.0 * min(lk, len(lkey)) / total < threshold:
-                    continue
-                # Upper bound 2: matches <= common character multiset.
-                if counts is None:
-                    counts = {}
-                    for ch in key:
-                        counts[ch] = counts.get(ch, 0) + 1
-                common = sum(min(c, lcounts.get(ch, 0)) for ch, c in counts.items())
-                if 2.0 * common / total < threshold:
-                    continue
-                matcher.set_seq1(key)
-                if matcher.ratio() >= threshold:
-                    found = lrep
-                    break
-            if found is None:
-                found = rep
-                lc = {}
-                for ch in key:
-                    lc[ch] = lc.get(ch, 0) + 1
-                leaders.append((key, rep, SequenceMatcher(None, "", key), lc))
-            out.append(found)
-        return pd.DataFrame({"bnet": pdf["bnet"].tolist(), "bpath": pdf["bpath"].tolist(),
-                             "key": pdf["key"].tolist(), "leader": out})
+            counts = Counter(key)
+            hit = next((r for r, x in leaders if _similar(key, counts, *x, threshold)), None)
+            if hit is None:
+                leaders.append((rep, _prepared(key)))
+            found.append(rep if hit is None else hit)
+        return pdf[["bnet", "bpath", "key", "rep"]].assign(leader=found)
     return scan
 
 
-def assign_groups(rows: DataFrame, threshold: float | None, bucket_width: int = 1 << 16) -> DataFrame:
+def _match(threshold: float):
+    """The smallest of the given leaders (sorted) that each key is similar to; null if none."""
+    @F.pandas_udf("long")
+    def match(keys: pd.Series, leaders: pd.Series) -> pd.Series:
+        out, last, ready = [], None, []
+        for key, own in zip(keys, leaders):
+            if own is None:
+                out.append(None)
+                continue
+            names = tuple((r["rep"], r["key"]) for r in own)
+            if names != last:
+                last, ready = names, [(rep, _prepared(k)) for rep, k in names]
+            counts = Counter(key)
+            out.append(next((rep for rep, x in ready if _similar(key, counts, *x, threshold)), None))
+        return pd.Series(out, dtype="Int64")
+    return match
+
+
+def leaders_of(keys: DataFrame, threshold: float, batch: int = 256) -> DataFrame:
+    """``keys(bnet, bpath, key, rep)``, distinct keys of each block -> the same with ``leader``.
+
+    In rounds: the first ``batch`` open keys of each block are settled among
+    themselves by one ordered scan, as all earlier leaders have been tried on
+    them; then the open keys of the block, spread over all tasks, try the new
+    leaders (at most ``batch`` to a block).  A key's leader is so always the
+    first of the earlier leaders that it is similar to, and no task sees more
+    of a block than a batch.
+    """
+    block = ["bnet", "bpath"]
+    first = Window.partitionBy(*block).orderBy("rep")
+    done, left = None, keys
+    while True:
+        batch_rows = staged(left.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= batch).drop("_n"), "batch")
+        settled = staged(batch_rows.groupBy(*block).applyInPandas(
+            _scan(threshold), "bnet string, bpath string, key string, rep long, leader long"), "settled")
+        done = settled if done is None else done.unionByName(settled)
+        rest = left.join(batch_rows.select("rep"), "rep", "left_anti").select("bnet", "bpath", "key", "rep")
+        fresh = settled.filter("rep = leader").groupBy(*block).agg(
+            F.sort_array(F.collect_list(F.struct("rep", "key"))).alias("_leaders"))
+        tried = staged(rest.join(fresh, block, "left").withColumn("leader", _match(threshold)("key", "_leaders")).drop("_leaders"), "tried")
+        done = done.unionByName(tried.filter("leader is not null"))
+        left = tried.filter("leader is null").drop("leader")
+        if left.isEmpty():
+            return done.select("bnet", "bpath", "key", "rep", "leader")
+
+
+def assign_groups(rows: DataFrame, threshold: float | None, bucket_width: int = 1 << 16, batch: int = 256) -> DataFrame:
     """``rows(row_idx, name, url, ...)`` -> adds ``duplicate_group, duplicate_status``.
 
     ``threshold=None`` is the native variant: only equal name keys in a block
@@ -103,16 +143,18 @@ def assign_groups(rows: DataFrame, threshold: float | None, bucket_width: int =
     keyed = keyed.withColumn("_eligible", (F.col("_key") != "") & F.col("_blk").isNotNull())
     elig = keyed.filter("_eligible").select(
         "row_idx", F.col("_key").alias("key"), F.col("_blk.netloc").alias("bnet"), F.col("_blk.path").alias("bpath"))
+    if threshold is None or threshold >= 1.0:
+        elig = elig.withColumn("key", F.sha2("key", 256))  # equality alone: keys can be whole texts
     reps = elig.groupBy("bnet", "bpath", "key").agg(F.min("row_idx").alias("rep"))
     if threshold is None or threshold >= 1.0:
         leader_of = reps.withColumnRenamed("rep", "leader")
     else:
-        nkeys = reps.withColumn("_nk", F.count(F.lit(1)).over(Window.partitionBy("bnet", "bpath")))
-        single = nkeys.filter(F.col("_nk") == 1).select("bnet", "bpath", "key", F.col("rep").alias("leader"))
-        multi = nkeys.filter(F.col("_nk") > 1).select("bnet", "bpath", "key", "rep")
-        scanned = multi.groupBy("bnet", "bpath").applyInPandas(
-            _leader_scan_fn(threshold), "bnet string, bpath string, key string, leader long")
-        leader_of = single.unionByName(scanned)
+        # A block with one key needs no comparison.
+        sizes = reps.groupBy("bnet", "bpath").agg(F.count(F.lit(1)).alias("_nk"))
+        reps = staged(reps.join(sizes, ["bnet", "bpath"]), "keys")
+        single = reps.filter("_nk = 1").select("bnet", "bpath", "key", F.col("rep").alias("leader"))
+        multi = reps.filter("_nk > 1").drop("_nk")
+        leader_of = single.unionByName(leaders_of(multi, threshold, batch).drop("rep"))
     member = elig.join(leader_of, ["bnet", "bpath", "key"]).select("row_idx", "leader")
     with_leader = keyed.join(member, "row_idx", "left") \
         .withColumn("_leader", F.coalesce(F.col("leader"), F.col("row_idx"))).drop("leader")

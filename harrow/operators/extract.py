@@ -17,13 +17,13 @@ from ..functions.urls import path_tail
 JAVA_FLAGS = "(?iu)"
 
 
-def first_match(text: Column, patterns) -> Column:
+def first_match(text: Column, patterns, chars: int | None = None) -> Column:
     """Group 1 of the first matching pattern, cleaned; ``Unknown`` if none."""
     out = F.lit("Unknown")
     for pat in reversed(list(patterns)):
         jp = JAVA_FLAGS + pat
-        val = F.substring(T.strip_chars(F.regexp_replace(F.regexp_extract(text, jp, 1), rf"{T.WS}+", " "),
-                                        C.MATCH_STRIP_CHARS), 1, C.MATCH_CHARS)
+        val = T.clipped(T.strip_chars(F.regexp_replace(F.regexp_extract(text, jp, 1), rf"{T.WS}+", " "),
+                                      C.MATCH_STRIP_CHARS), chars)
         out = F.when(text.rlike(jp), val).otherwise(out)
     return out
 
@@ -67,9 +67,9 @@ def infer_name(title: Column, heading: Column, url: Column, cfg: C.MiningConfig)
     """``struct(name, inferred)``: heading, then title, then URL tail."""
     def pick(h, t):
         from_url = T.let(url_name(url), lambda n: F.when(n != "", n).otherwise(F.lit("Unknown Programme")))
-        return F.when(F.length(h) >= C.MIN_NAME_CHARS, F.struct(F.substring(h, 1, C.NAME_CHARS).alias("name"),
+        return F.when(F.length(h) >= C.MIN_NAME_CHARS, F.struct(T.clipped(h, cfg.name_chars).alias("name"),
                                                                  F.lit(False).alias("inferred"))) \
-            .when(F.length(t) >= C.MIN_NAME_CHARS, F.struct(F.substring(t, 1, C.NAME_CHARS).alias("name"),
+            .when(F.length(t) >= C.MIN_NAME_CHARS, F.struct(T.clipped(t, cfg.name_chars).alias("name"),
                                                              F.lit(True).alias("inferred"))) \
             .otherwise(F.struct(from_url.alias("name"), F.lit(True).alias("inferred")))
     return T.let(clean_name(F.coalesce(heading, F.lit("")), cfg),
@@ -98,7 +98,7 @@ def extract_programmes(cands: DataFrame, cfg: C.MiningConfig, run_date: Column)
     d = d.withColumn("_title", F.when(F.col("detail_title") != "", F.col("detail_title")).otherwise(F.col("page_title")))
     d = d.withColumn("_name", infer_name(F.col("_title"), F.col("detail_heading"), F.col("url"), cfg))
     text = F.col("detail_text")
-    fields = {f: first_match(text, cfg.field_patterns.get(f, [])) for f in FIELD_ORDER}
+    fields = {f: first_match(text, cfg.field_patterns.get(f, []), cfg.match_chars) for f in FIELD_ORDER}
     d = d.select(
         "*",
         programme_type(text, F.col("url"), cfg).alias("programme_type"),
@@ -141,7 +141,8 @@ def extract_programmes(cands: DataFrame, cfg: C.MiningConfig, run_date: Column)
 def fallback_rows(cands: DataFrame, programmes: DataFrame, cfg: C.MiningConfig, run_date: Column) -> DataFrame:
     """Top candidates of targets that produced no heuristic row."""
     produced = programmes.select("target_idx").distinct()
-    top = cands.filter(F.col("candidate_rank") <= cfg.fallback_top).join(produced, "target_idx", "left_anti")
+    top = cands if cfg.fallback_top is None else cands.filter(F.col("candidate_rank") <= cfg.fallback_top)
+    top = top.join(produced, "target_idx", "left_anti")
     name = infer_name(F.col("page_title"), F.lit(""), F.col("url"), cfg)
     unknown = F.lit("Unknown")
     return top.select(

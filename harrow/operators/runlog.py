@@ -18,18 +18,21 @@ def target_summary(targets: DataFrame, visits: DataFrame, cands: DataFrame, rows
         .fillna(0, ["pages_visited", "candidate_pages", "programme_rows", "fallback_rows"])
 
 
-def warnings_text(warnings: DataFrame, keep: int) -> DataFrame:
-    """First ``keep`` warnings in (target, phase, rank) order, ' | '-joined.
+def warnings_text(warnings: DataFrame, keep: int | None) -> DataFrame:
+    """``n_warnings`` and their text for the run log.
 
+    With ``keep``, the first ones in (target, phase, rank) order, ' | '-joined:
     ``orderBy().limit()`` is a per-partition top-k followed by a merge, so only
-    ``keep`` rows per partition ever move; the collect is of ``keep`` rows.
+    ``keep`` rows per partition ever move.  Without, the text says how many
+    there are; all of them are in the warnings table.
     """
+    n = warnings.agg(F.count(F.lit(1)).alias("n_warnings"))
+    if keep is None:
+        return n.withColumn("warnings", F.when(F.col("n_warnings") > 0, F.concat(F.col("n_warnings"), F.lit(" in the warnings table")))
+                            .otherwise(F.lit("")))
     first = warnings.orderBy("target_idx", "phase", "rank").limit(keep)
-    return first.agg(
-        F.count(F.lit(1)).alias("n_warnings"),
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("target_idx", "phase", "rank", "text"))),
-            lambda s: s["text"]), " | ").alias("warnings"))
+    return _side_by_side(n, first.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("target_idx", "phase", "rank", "text"))), lambda s: s["text"]), " | ").alias("warnings")))
 
 
 def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -38,11 +41,12 @@ def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def run_log(targets: DataFrame, visits: DataFrame, cands: DataFrame, reads: DataFrame, rows: DataFrame,
-            warnings: DataFrame, cfg: MiningConfig, start_ts: Column, end_ts: Column) -> DataFrame:
+            warnings: DataFrame, cfg: MiningConfig, start_ts: Column, end_ts: Column, error: str = "") -> DataFrame:
     """One-row run log with the counters of the reference report.
 
     ``reads`` has one row per candidate with ``read_ok`` (second read did not
-    fail); ``rows`` are the programme rows after duplicate marking.
+    fail); ``rows`` are the programme rows after duplicate marking; ``error``
+    is what ended the run early, if anything did.
     """
     fmt = "yyyy-MM-dd HH:mm:ss 'UTC'"
     t = targets.agg(F.count(F.lit(1)).alias("universities_processed"))
@@ -67,7 +71,8 @@ def run_log(targets: DataFrame, visits: DataFrame, cands: DataFrame, reads: Data
             "universities_processed", "universities_with_candidates", "universities_with_extracted_programmes",
             "total_pages_visited", "total_candidate_pages", "candidate_pages_read", "total_programme_rows",
             "fallback_rows", "duplicate_rows"]],
-        F.when(F.col("n_warnings") > 0, F.lit("Completed with warnings")).otherwise(F.lit("Completed")).alias("status"),
+        F.when(F.lit(error != ""), F.lit("Failed")).when(F.col("n_warnings") > 0, F.lit("Completed with warnings"))
+        .otherwise(F.lit("Completed")).alias("status"),
         F.coalesce(F.col("warnings"), F.lit("")).alias("warnings"),
-        F.lit("").alias("errors"),
+        F.lit(error).alias("errors"),
     )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import TEST
 from ..functions.ordinal import range_ordinal
+from ..functions.staging import staged
 from ..functions.urls import is_allowed, netloc, normalise_domain, normalise_url, should_enqueue, should_skip
 from ..operators import extract as X
 from ..operators.content import page_content
@@ -26,52 +27,58 @@ from ..operators.dedupe import assign_groups, block_key, name_key
 from ..operators.scoring import score_columns
 from ..sources.pages import pages_normalised
 from ..sources.robots import robots_flag, robots_rules
-from ..sources.sinks import candidate_report, row_highlight
+from ..sources.sinks import candidate_report, row_highlight, warnings_report
 from .derived import derived_edges, derived_robots, derived_targets
 from .job import run_job
 
 RUN_TS = _dt.datetime(2026, 1, 2, 3, 4, 5)
 RUN_DATE = "2026-01-02"
 CAP_SMALL = 4
-DOC_NAME_CHARS = 60
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# Results shared by several queries are memoised per (session, sf, variant):
-# the driver runs the queries one after another in one session.
+# Results shared by several queries are kept per session, folder and state of
+# its files: the driver runs the queries one after another in one session.
 _memo: dict = {}
 
 
-def _memoised(key, fn):
+def _memoised(spark, sf, name, fn):
+    files = tuple(sorted(read_files(spark, sf, "pages")))
+    key = (spark.sparkContext.applicationId, sf, files, name)
     if key not in _memo:
         _memo[key] = fn()
     return _memo[key]
 
 
-def _app(spark) -> str:
-    return spark.sparkContext.applicationId
+def read_files(spark, sf, name):
+    """``(path, length, time)`` of a table's files, from the file system that Spark reads."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path)]
 
 
 def _content(spark, sf):
     def build():
         pages = _read(spark, sf, "pages")
         c = score_columns(page_content(pages.withColumn("url", normalise_url(F.col("url")))), TEST)
-        return c.checkpoint(eager=True)
-    return _memoised((_app(spark), sf, "content"), build)
+        return staged(c, "content")
+    return _memoised(spark, sf, "content", build)
 
 
 def _job(spark, sf, variant="main"):
     def build():
         pages = _read(spark, sf, "pages")
         targets = derived_targets(pages)
-        cfg = TEST.with_(max_pages=CAP_SMALL) if variant == "cap4" else TEST
+        cfg = TEST.with_(max_pages=CAP_SMALL) if variant == "limit4" else TEST
         detail = _emptied_detail(pages) if variant == "fallback" else None
-        return run_job(targets, pages, cfg, edges=derived_edges(pages), detail_pages=detail, run_ts=RUN_TS,
-                       end_ts=RUN_TS)
-    return _memoised((_app(spark), sf, "job", variant), build)
+        robots = derived_robots(pages) if variant == "robots" else None
+        return run_job(targets, pages, cfg, edges=derived_edges(pages), detail_pages=detail, robots=robots,
+                       run_ts=RUN_TS, end_ts=RUN_TS)
+    return _memoised(spark, sf, ("job", variant), build)
 
 
 def _emptied_detail(pages: DataFrame) -> DataFrame:
@@ -170,7 +177,7 @@ def q_programme_type(spark, sf):
 
 def _docs(spark, sf):
     d = _read(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("row_idx"), F.substring("text", 1, DOC_NAME_CHARS).alias("name"),
+    return d.select(F.col("doc_id").alias("row_idx"), F.col("text").alias("name"),
                     F.concat(F.lit("https://"), F.col("source")).alias("url"))
 
 
@@ -188,17 +195,34 @@ def q_near_dup_exact(spark, sf):
         F.col("row_idx").alias("doc_id"), "duplicate_group", "duplicate_status")
 
 
+def _named_pages(spark, sf):
+    """Programme name and address of every page; the address is its site and its language section."""
+    c = _content(spark, sf)
+    return c.select(F.col("page_id").alias("row_idx"),
+                    X.infer_name(F.col("title"), F.col("heading"), F.col("url"), TEST)["name"].alias("name"),
+                    F.regexp_extract("url", r"^([a-z]+://[^/]*(?:/[^/?#]*)?)", 1).alias("url"))
+
+
 def q_near_dup_difflib(spark, sf):
-    return assign_groups(_docs(spark, sf), C.DUPLICATE_RATIO).select(
-        F.col("row_idx").alias("doc_id"), "duplicate_group", "duplicate_status")
+    return assign_groups(_named_pages(spark, sf), C.DUPLICATE_RATIO).select(
+        F.col("row_idx").alias("page_id"), "duplicate_group", "duplicate_status")
+
+
+def q_warnings(spark, sf):
+    return warnings_report(_job(spark, sf, "robots").warnings)
+
+
+def q_crawl_visits_robots(spark, sf):
+    return _job(spark, sf, "robots").visits.select("target_idx", "visit_rank", "depth", "url")
 
 
 def q_crawl_visits(spark, sf):
     return _job(spark, sf).visits.select("target_idx", "visit_rank", "depth", "url")
 
 
-def q_crawl_visits_cap4(spark, sf):
-    return _job(spark, sf, "cap4").visits.select("target_idx", "visit_rank", "depth", "url")
+def q_crawl_visits_limit4(spark, sf):
+    """The limit is the feature: at most four pages per target."""
+    return _job(spark, sf, "limit4").visits.select("target_idx", "visit_rank", "depth", "url")
 
 
 def q_candidates(spark, sf):
@@ -258,7 +282,7 @@ QUERIES = {
     "pages_per_target": q_pages_per_target, "programme_name": q_programme_name, "first_match": q_first_match,
     "language_flag": q_language_flag, "housing_flag": q_housing_flag, "programme_type": q_programme_type,
     "dup_name_key": q_dup_name_key, "dup_block_key": q_dup_block_key, "near_dup_exact": q_near_dup_exact,
-    "near_dup_difflib": q_near_dup_difflib, "crawl_visits": q_crawl_visits, "crawl_visits_cap4": q_crawl_visits_cap4,
+    "near_dup_difflib": q_near_dup_difflib, "crawl_visits": q_crawl_visits, "crawl_visits_limit4": q_crawl_visits_limit4, "crawl_visits_robots": q_crawl_visits_robots, "warnings": q_warnings,
     "candidates": q_candidates, "candidate_report": q_candidate_report, "programmes": q_programmes,
     "programme_rows": q_programme_rows, "fallback_rows": q_fallback_rows, "row_highlight": q_row_highlight,
     "target_summary": q_target_summary, "run_log": q_run_log, "robots_rules": q_robots_rules,

@@ -1,7 +1,7 @@
-"""The whole mining job: targets + captured pages -> three report tables.
+"""The whole mining job: targets + captured pages -> report tables.
 
     targets ──► domains ─┐
-    pages ──► normalise + scope (narrow keys) ─► parse HTML once ─► score ─► [persist]
+    pages ──► scope (narrow keys, bitmap) ─► parse HTML where read ─► score ─► [write]
                                                              │
     robots ─► rules ─────────────► crawl (3 unrolled levels) ┤
                                                              ▼
@@ -9,7 +9,7 @@
                                                    fallback rows ─┘   │
                                                   duplicate marking ◄─┘
                                                         ▼
-                                   candidate / programme / run-log tables
+                                   candidate / programme / warnings / run-log tables
 
 Every arrow is a DataFrame transformation; the only Python worker code is the
 similarity scan inside duplicate marking.
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MiningConfig
+from ..functions.ordinal import grouped_ordinal
+from ..functions.staging import staged
 from ..operators.content import page_content
 from ..operators.crawl import candidates as rank_candidates
 from ..operators.crawl import crawl_visits, visit_outcomes
@@ -32,7 +34,7 @@ from ..operators.runlog import run_log, target_summary
 from ..operators.scoring import score_columns
 from ..sources.pages import pages_normalised
 from ..sources.robots import robots_flag, robots_rules
-from ..sources.targets import target_domains
+from ..sources.targets import seed_faults, target_domains
 
 
 @dataclass
@@ -53,14 +55,14 @@ def parsed_content(pages: DataFrame, targets: DataFrame | None, cfg: MiningConfi
                    persist: bool = True) -> DataFrame:
     """Normalised, in-scope, parsed and scored pages (one row per URL).
 
-    The parse is the expensive step and its result feeds every crawl level,
-    the detail read and the reports, so it is checkpointed (reliable, into the
-    session's checkpoint directory): later stages read the narrow result and a
-    lost executor never re-parses HTML.
+    The parse runs where the pages are read, on the rows that may count; only
+    its result is shuffled.  It feeds every crawl level, the detail read and the
+    reports, so it is written once to the shared folder, in columns: a crawl
+    level reads URLs and links alone, and a lost executor never re-parses HTML.
     """
     domains = target_domains(targets) if targets is not None else None
-    content = score_columns(page_content(pages_normalised(pages, domains), with_links), cfg)
-    return content.checkpoint(eager=True) if persist else content
+    content = score_columns(pages_normalised(pages, domains, lambda p: page_content(p, with_links)), cfg)
+    return staged(content, "content") if persist else content
 
 
 def detail_reads(cands: DataFrame, detail: DataFrame, rules: DataFrame | None, cfg: MiningConfig) -> DataFrame:
@@ -87,46 +89,65 @@ def detail_reads(cands: DataFrame, detail: DataFrame, rules: DataFrame | None, c
 def run_job(targets: DataFrame, pages: DataFrame, cfg: MiningConfig = DEFAULT, *,
             robots: DataFrame | None = None, detail_pages: DataFrame | None = None,
             edges: DataFrame | None = None, run_ts: _dt.datetime | None = None,
-            end_ts: _dt.datetime | None = None, similarity: bool = True, checkpoint: bool = True) -> JobResult:
-    """Run the mining job; ``targets`` as from :mod:`harrow.sources.targets`."""
+            end_ts: _dt.datetime | None = None, similarity: bool = True, checkpoint: bool = True,
+            strict: bool = False) -> JobResult:
+    """Run the mining job; ``targets`` as from :mod:`harrow.sources.targets`.
+
+    A target whose seed URL is malformed is skipped with a warning.  With
+    ``strict`` it ends the run instead: targets before it are processed, the run
+    log says ``Failed`` and why, and the tables hold what was found until then.
+    """
     run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     start = F.lit(run_ts).cast("timestamp")
     run_date = F.date_format(start, "yyyy-MM-dd")
-    targets = targets.checkpoint(eager=True) if checkpoint else targets
-    content = parsed_content(pages, targets, cfg)
-    # Small per-target tables are checkpointed once: every later stage reads
-    # them several times, and the checkpoint keeps their plans flat.
-    cp = (lambda df: df.checkpoint(eager=True)) if checkpoint else (lambda df: df)
-    rules = cp(robots_rules(robots, cfg)) if robots is not None else None
-    visits = crawl_visits(targets, content, cfg, edges=edges, robots=rules, checkpoint=checkpoint)
-    outcomes = cp(visit_outcomes(visits, content, rules, cfg).drop("links"))
-    cands = cp(rank_candidates(outcomes, targets, cfg).select(
+    # Tables that several stages read are written once to the shared folder.
+    cp = (lambda df, name: staged(df, name)) if checkpoint else (lambda df, name: df)
+    targets = cp(targets, "targets")
+    faults = cp(seed_faults(targets), "faults")
+    error = ""
+    tried = targets
+    if strict:
+        first = faults.orderBy("target_idx").limit(1).collect()
+        if first:
+            error = first[0]["fault"]
+            tried = targets.filter(F.col("target_idx") <= first[0]["target_idx"])
+    good = tried.join(faults, "target_idx", "left_anti")
+    content = parsed_content(pages, good, cfg)
+    rules = cp(robots_rules(robots, cfg), "rules") if robots is not None else None
+    visits = crawl_visits(good, content, cfg, edges=edges, robots=rules, checkpoint=checkpoint)
+    outcomes = cp(visit_outcomes(visits, content, rules, cfg).drop("links"), "outcomes")
+    cands = cp(rank_candidates(outcomes, good, cfg).select(
         "target_idx", "university_name", "country", "url", F.col("title").alias("page_title"),
         "candidate_score", "matched_keywords", "candidate_type", "reason", "needs_review", "visit_rank",
-        "candidate_rank"))
+        "candidate_rank"), "candidates")
     if detail_pages is None:
         detail = content
     else:
-        detail = parsed_content(detail_pages, targets, cfg, with_links=False)
-    reads = cp(detail_reads(cands, detail, rules, cfg))
-    heur = extract_programmes(reads, cfg, run_date)
+        detail = parsed_content(detail_pages, good, cfg, with_links=False)
+    reads = cp(detail_reads(cands, detail, rules, cfg), "reads")
+    heur = cp(extract_programmes(reads, cfg, run_date), "extracted")
     fb = fallback_rows(cands, heur, cfg, run_date)
-    slot = cfg.max_pages + 1
-    rows = heur.unionByName(fb).withColumn(
-        "row_idx", F.col("target_idx") * F.lit(slot) + F.col("candidate_rank"))
-    marked = cp(mark_duplicates(rows, cfg.duplicate_ratio if similarity else None,
-                                bucket_width=slot * 1024))
+    rows = cp(grouped_ordinal(heur.unionByName(fb), "target_idx", "candidate_rank", "row_idx"), "rows")
+    marked = cp(mark_duplicates(rows, cfg.duplicate_ratio if similarity else None), "programmes")
     names = targets.select("target_idx", F.col("name").alias("_tname"))
-    crawl_warn = outcomes.filter(F.col("failure").isNotNull()).join(names, "target_idx").select(
-        "target_idx", F.lit(0).alias("phase"), F.col("visit_rank").alias("rank"),
-        F.concat(F.col("_tname"), F.lit(": "), F.col("failure")).alias("text"))
-    read_warn = reads.filter(~F.col("read_ok")).join(names, "target_idx").select(
-        "target_idx", F.lit(1).alias("phase"), F.col("candidate_rank").alias("rank"),
-        F.concat(F.col("_tname"), F.lit(": extraction failed for "), F.col("url"), F.lit(": "),
-                 F.col("read_failure")).alias("text"))
+
+    def warning(df, phase, rank, *text):
+        return df.join(names, "target_idx").select(
+            "target_idx", F.lit(phase).alias("phase"), F.col(rank).cast("int").alias("rank") if isinstance(rank, str) else F.lit(rank).alias("rank"),
+            F.concat(F.col("_tname"), *text).alias("text"))
+
+    crawl_warn = warning(outcomes.filter(F.col("failure").isNotNull()), 1, "visit_rank", F.lit(": "), F.col("failure"))
+    read_warn = warning(reads.filter(~F.col("read_ok")), 2, "candidate_rank", F.lit(": extraction failed for "),
+                        F.col("url"), F.lit(": "), F.col("read_failure"))
     warnings = crawl_warn.unionByName(read_warn)
+    if not strict:
+        unvisited = good.join(visits.filter("depth = 0").select("target_idx"), "target_idx", "left_anti")
+        warnings = warnings.unionByName(warning(faults, 0, 0, F.lit(": seed skipped: "), F.col("fault"))) \
+            .unionByName(warning(unvisited.select("target_idx", "seed_url"), 0, 0,
+                                 F.lit(": seed skipped: "), F.col("seed_url"), F.lit(" is not in the allowed domain or is on the skip list")))
+    warnings = cp(warnings, "warnings")
     end = F.lit(end_ts).cast("timestamp") if end_ts is not None else F.current_timestamp()
-    log = run_log(targets, visits, cands, reads, marked, warnings, cfg, start, end)
-    summary = target_summary(targets, visits, cands, marked)
+    log = run_log(tried, visits, cands, reads, marked, warnings, cfg, start, end, error)
+    summary = target_summary(tried, visits, cands, marked)
     return JobResult(content, visits, outcomes, cands, reads, rows, marked.select("row_idx", *PROGRAMME_OUT),
                      warnings, log, summary)

@@ -273,7 +273,7 @@ def hits(hay: str, terms) -> str:
 
 def score_cols(title: str, url: str, text: str, cfg: C.MiningConfig) -> str:
     """SELECT-list fragment: candidate_score, matched_keywords(list), candidate_type, reason."""
-    hay = f"lower(concat_ws(' ', coalesce({title}, ''), {url}, substring(coalesce({text}, ''), 1, {C.SCORE_TEXT_CHARS})))"
+    hay = f"lower(concat_ws(' ', coalesce({title}, ''), {url}, coalesce({text}, '')))"
     def body(h):
         lurl = f"lower({url})"
         nh, nl, nu = contains_count(h, cfg.high_keywords), contains_count(h, cfg.low_keywords), contains_count(lurl, cfg.url_hints)
@@ -298,7 +298,7 @@ def first_match(text: str, patterns) -> str:
     for pat in reversed(list(patterns)):
         rp = "(?i)" + pat
         grp = f"regexp_replace(regexp_extract({text}, {q(rp)}, 1), {q(WS + '+')}, ' ', 'g')"
-        val = f"substring({strip_chars(grp, C.MATCH_STRIP_CHARS)}, 1, {C.MATCH_CHARS})"
+        val = strip_chars(grp, C.MATCH_STRIP_CHARS)
         out = f"(CASE WHEN regexp_matches({text}, {q(rp)}) THEN {val} ELSE {out} END)"
     return out
 
@@ -347,8 +347,8 @@ def infer_name(title: str, heading_: str, url: str, cfg: C.MiningConfig) -> str:
     """struct(name, inferred)"""
     def pick(h, t):
         from_url = let(url_name(url), lambda n: f"CASE WHEN {n} <> '' THEN {n} ELSE 'Unknown Programme' END")
-        return (f"CASE WHEN length({h}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := substring({h}, 1, {C.NAME_CHARS}), inferred := FALSE) "
-                f"WHEN length({t}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := substring({t}, 1, {C.NAME_CHARS}), inferred := TRUE) "
+        return (f"CASE WHEN length({h}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := {h}, inferred := FALSE) "
+                f"WHEN length({t}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := {t}, inferred := TRUE) "
                 f"ELSE struct_pack(name := {from_url}, inferred := TRUE) END")
     return let(clean_name(f"coalesce({heading_}, '')", cfg),
                lambda h: let(clean_name(f"coalesce({title}, '')", cfg), lambda t: pick(h, t)))
@@ -365,3 +365,56 @@ def name_key(e: str) -> str:
     stops = ", ".join(q(s) for s in C.DUPLICATE_STOP_WORDS)
     return (f"array_to_string(list_filter(string_split(trim({spaced}), ' '), lambda {w}: {w} <> '' AND "
             f"{w} NOT IN ({stops})), ' ')")
+
+
+# -- similarity ----------------------------------------------------------------
+def _longest_block(a: str, b: str) -> str:
+    """struct(k, i, j): longest common substring, earliest in ``a``, then in ``b``; k = 0 if none."""
+    i, k = v(), v()
+    best = (f"list_sort(list_transform(range(1, length({a}) + 1), lambda {i}: struct_pack(neg := -coalesce(list_max(list_filter("
+            f"range(1, length({a}) - {i} + 2), lambda {k}: strpos({b}, substring({a}, {i}, {k})) > 0)), 0), i := {i})))[1]")
+    return let(best, lambda m: f"struct_pack(k := -{m}.neg, i := {m}.i, j := strpos({b}, substring({a}, {m}.i, -{m}.neg)))")
+
+
+def leader_ctes(src: str, ratio: float, p: str) -> str:
+    """CTEs over ``src(row_idx, nkey, bnet, bpath, elig)``; the last, ``{p}leader``, adds ``leader``.
+
+    The ratio is twice the characters in matching blocks over all characters:
+    the longest common block, then the same left and right of it.  Keys shorter
+    than 200 characters are assumed, as longer ones are compared differently.
+    """
+    c = v()
+    common = (f"list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', ''), lambda {c}: least("
+              f"length(x.nkey) - length(replace(x.nkey, {c}, '')), length(y.nkey) - length(replace(y.nkey, {c}, '')))))")
+    left, right = "substring(a, 1, m.i - 1), b := substring(b, 1, m.j - 1)", "substring(a, m.i + m.k), b := substring(b, m.j + m.k)"
+    h = v()
+    return f"""
+{p}keys AS (SELECT bnet, bpath, nkey, min(row_idx) AS rep FROM {src} WHERE elig GROUP BY bnet, bpath, nkey),
+{p}order AS (SELECT *, row_number() OVER (PARTITION BY bnet, bpath ORDER BY rep) AS n FROM {p}keys),
+{p}pairs AS (SELECT x.bnet, x.bpath, x.n AS ln, y.n AS rn, y.nkey AS a, x.nkey AS b, length(x.nkey) + length(y.nkey) AS total
+    FROM {p}order x JOIN {p}order y ON x.bnet = y.bnet AND x.bpath = y.bpath AND x.n < y.n
+    WHERE 2.0 * least(length(x.nkey), length(y.nkey)) >= {ratio} * (length(x.nkey) + length(y.nkey))
+      AND 2.0 * {common} >= {ratio} * (length(x.nkey) + length(y.nkey))),
+{p}steps AS (SELECT bnet, bpath, ln, rn, total, a, b, {_longest_block('a', 'b')} AS m FROM {p}pairs
+    UNION ALL SELECT bnet, bpath, ln, rn, total, c.a AS a, c.b AS b, {_longest_block('c.a', 'c.b')} AS m FROM (
+        SELECT bnet, bpath, ln, rn, total, unnest([struct_pack(a := {left}), struct_pack(a := {right})]) AS c
+        FROM {p}steps WHERE m.k > 0) WHERE c.a <> '' AND c.b <> ''),
+{p}like AS (SELECT bnet, bpath, ln, rn FROM {p}steps GROUP BY bnet, bpath, ln, rn, total HAVING 2.0 * sum(m.k) / total >= {ratio}),
+{p}known AS (SELECT o.bnet, o.bpath, o.n, o.nkey, o.rep, coalesce(l.ls, []::BIGINT[]) AS ls FROM {p}order o LEFT JOIN
+    (SELECT bnet, bpath, rn, list(ln) AS ls FROM {p}like GROUP BY bnet, bpath, rn) l ON o.bnet = l.bnet AND o.bpath = l.bpath AND o.n = l.rn),
+{p}scan AS (SELECT bnet, bpath, n, [n] AS leaders, n AS lead FROM {p}known WHERE n = 1
+    UNION ALL SELECT bnet, bpath, n, CASE WHEN hit IS NULL THEN list_append(leaders, n) ELSE leaders END AS leaders, coalesce(hit, n) AS lead
+    FROM (SELECT k.bnet, k.bpath, k.n, s.leaders, list_filter(s.leaders, lambda {h}: list_contains(k.ls, {h}))[1] AS hit
+          FROM {p}scan s JOIN {p}known k ON k.bnet = s.bnet AND k.bpath = s.bpath AND k.n = s.n + 1)),
+{p}lead AS (SELECT k.bnet, k.bpath, k.nkey, d.rep AS leader FROM {p}known k
+    JOIN {p}scan s ON s.bnet = k.bnet AND s.bpath = k.bpath AND s.n = k.n
+    JOIN {p}order d ON d.bnet = k.bnet AND d.bpath = k.bpath AND d.n = s.lead),
+{p}leader AS (SELECT r.*, coalesce(l.leader, r.row_idx) AS leader FROM {src} r LEFT JOIN {p}lead l
+    ON r.elig AND l.bnet = r.bnet AND l.bpath = r.bpath AND l.nkey = r.nkey)"""
+
+
+def marks(src: str, out: str) -> str:
+    """CTEs that number the groups of ``src(row_idx, leader, ...)``: ``{out}`` adds ``group_no, gsize``."""
+    return f"""
+{out}_l AS (SELECT row_idx AS leader, row_number() OVER (ORDER BY row_idx) AS group_no FROM {src} WHERE leader = row_idx),
+{out} AS (SELECT r.*, l.group_no, count(*) OVER (PARTITION BY r.leader) AS gsize FROM {src} r JOIN {out}_l l ON r.leader = l.leader)"""

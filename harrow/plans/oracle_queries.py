@@ -1,15 +1,11 @@
-"""DuckDB oracle SQL for every catalog query that SQL can express.
-
-``near_dup_difflib`` has none (difflib's ratio is not a SQL function); it is
-checked against a plain-Python scan in the tests instead.
-"""
+"""DuckDB oracle SQL for every catalog query."""
 from __future__ import annotations
 
 from .. import config as C
 from ..config import TEST
 from ..operators.extract import FIELD_ORDER
 from . import oracle as O
-from .catalog import CAP_SMALL, DOC_NAME_CHARS, PROG_COLS, RUN_DATE, RUN_TS
+from .catalog import CAP_SMALL, PROG_COLS, RUN_DATE, RUN_TS
 
 q = O.q
 
@@ -54,7 +50,7 @@ edges_raw AS (SELECT src, n1 AS dst FROM nexts WHERE n1 IS NOT NULL UNION ALL
 edges AS (SELECT {O.normalise_url('src')} AS src, {O.normalise_url('dst')} AS dst FROM edges_raw)"""
 
 
-def _job_ctes(cap: int = C.MAX_PAGES_PER_TARGET, fallback: bool = False) -> str:
+def _job_ctes(cap: int | None = None, fallback: bool = False, robots: bool = False) -> str:
     l = O.v()
     enq_l = O.should_enqueue(l, "domain", TEST)
     enq_e = O.should_enqueue("e.dst", "p.domain", TEST)
@@ -74,7 +70,7 @@ pages_emptied AS (SELECT p.page_id, p.url, CASE WHEN s.rk % 3 = 0 THEN '' ELSE p
     for depth in range(1, C.CRAWL_DEPTH_LIMIT + 1):
         levels.append(f"""
 par{depth} AS (SELECT v.target_idx, v.domain, v.url, v.visit_rank AS parent_rank, c.links
-    FROM {prev_lvl} v JOIN jc c ON v.url = c.url),
+    FROM {prev_lvl} v JOIN jc c ON v.url = c.url{f" WHERE {_allowed('v.')}" if robots else ""}),
 fr{depth} AS (SELECT target_idx, domain, parent_rank, unnest(list_filter(links, lambda {l}: {enq_l})) AS url FROM par{depth}
     UNION ALL SELECT p.target_idx, p.domain, p.parent_rank, e.dst AS url FROM par{depth} p JOIN edges e ON p.url = e.src
     WHERE {enq_e}),
@@ -84,10 +80,9 @@ fresh{depth} AS (SELECT target_idx, domain, url, min(parent_rank) AS parent_rank
 base{depth} AS (SELECT target_idx, max(visit_rank) AS b FROM {prev_vis} GROUP BY target_idx),
 v{depth} AS (SELECT * FROM (SELECT f.target_idx, f.domain, f.url, {depth} AS depth,
     (b.b + row_number() OVER (PARTITION BY f.target_idx ORDER BY f.parent_rank, f.url))::INTEGER AS visit_rank
-    FROM fresh{depth} f JOIN base{depth} b ON f.target_idx = b.target_idx) WHERE visit_rank <= {cap}),
+    FROM fresh{depth} f JOIN base{depth} b ON f.target_idx = b.target_idx){f" WHERE visit_rank <= {cap}" if cap else ""}),
 vis{depth} AS (SELECT * FROM {prev_vis} UNION ALL SELECT * FROM v{depth})""")
         prev_vis, prev_lvl = f"vis{depth}", f"v{depth}"
-    slot = cap + 1
     fields = ",\n    ".join(f"{O.first_match('detail_text', TEST.field_patterns.get(f, []))} AS {f}" for f in FIELD_ORDER)
     review = [("Programme Name", "nm.name"), ("Programme Dates", "programme_dates"),
               ("Application Deadline", "application_deadline"), ("Programme Fee", "programme_fee"),
@@ -102,7 +97,7 @@ vis{depth} AS (SELECT * FROM {prev_vis} UNION ALL SELECT * FROM v{depth})""")
     return f"""
 {_content_cte()[1:]},
 {_targets_cte()[1:]},
-{_edges_cte()[1:]}{extra},
+{_edges_cte()[1:]}{extra},{_robots_ctes()[1:] + "," if robots else ""}
 scope_keys AS (SELECT DISTINCT c.url, c.page_id FROM content c, (SELECT DISTINCT {O.normalise_domain('allowed_domain')} AS d FROM targets) t
     WHERE {O.scheme('c.url')} IN ('http', 'https') AND {O.host_suffix_match(f"regexp_replace({O.host('c.url')}, '^www\\.', '', 'g')", 't.d')}),
 winners AS (SELECT url, min(page_id) AS page_id FROM scope_keys GROUP BY url),
@@ -116,7 +111,8 @@ v0 AS (SELECT target_idx, domain, url, 0 AS depth, 1 AS visit_rank FROM tt WHERE
 vis0 AS (SELECT * FROM v0),{','.join(levels)},
 visits AS (SELECT * FROM {prev_vis}),
 outcomes AS (SELECT v.*, c.page_id, c.title, c.candidate_score, c.matched_keywords, c.candidate_type, c.reason,
-    c.page_id IS NOT NULL AS fetched FROM visits v LEFT JOIN jc c ON v.url = c.url),
+    {_allowed('v.') if robots else 'TRUE'} AS allowed, c.page_id IS NOT NULL AND {_allowed('v.') if robots else 'TRUE'} AS fetched
+    FROM visits v LEFT JOIN jc c ON v.url = c.url),
 cands AS (SELECT o.target_idx, t.name AS university_name, t.country, o.url, o.title AS page_title, o.candidate_score,
     o.matched_keywords, o.candidate_type, o.reason, 'Yes' AS needs_review, o.visit_rank,
     row_number() OVER (PARTITION BY o.target_idx ORDER BY o.candidate_score DESC, o.visit_rank) AS candidate_rank
@@ -146,26 +142,33 @@ fb AS (SELECT target_idx, university_name, country, ({fb_name}).name AS programm
     url AS source_url, page_title AS source_page_title, least(candidate_score, {C.FALLBACK_CONFIDENCE_CAP})::INTEGER AS confidence_score,
     {q(', '.join(C.FALLBACK_MISSING))} AS missing_fields, 'Needs human review' AS review_status, {q(RUN_DATE)} AS last_checked,
     'fallback' AS extraction_method, {q(C.FALLBACK_NOTE)} AS notes, candidate_rank
-    FROM cands WHERE candidate_rank <= {C.FALLBACK_TOP} AND target_idx NOT IN (SELECT DISTINCT target_idx FROM heur)),
-rows0 AS (SELECT *, target_idx * {slot} + candidate_rank AS row_idx FROM (SELECT * FROM heur UNION ALL BY NAME SELECT * FROM fb)),
+    FROM cands WHERE target_idx NOT IN (SELECT DISTINCT target_idx FROM heur)),
+rows0 AS (SELECT *, row_number() OVER (ORDER BY target_idx, candidate_rank) AS row_idx FROM (SELECT * FROM heur UNION ALL BY NAME SELECT * FROM fb)),
 rows1 AS (SELECT *, {O.name_key('programme_name')} AS nkey,
     CASE WHEN coalesce(source_url, '') <> '' THEN {O.normalise_url('source_url')} ELSE '' END AS ukey FROM rows0),
 rows2 AS (SELECT *, {O.part('ukey', 2)} AS bnet, {O.block_path('ukey')} AS bpath, (nkey <> '' AND ukey <> '') AS elig FROM rows1),
-rows3 AS (SELECT *, CASE WHEN elig THEN min(row_idx) OVER (PARTITION BY elig, bnet, bpath, nkey) ELSE row_idx END AS leader FROM rows2),
-leaders AS (SELECT row_idx AS leader, row_number() OVER (ORDER BY row_idx) AS group_no FROM rows3 WHERE leader = row_idx),
-rows4 AS (SELECT r.*, l.group_no, count(*) OVER (PARTITION BY r.leader) AS gsize FROM rows3 r JOIN leaders l ON r.leader = l.leader),
+{O.leader_ctes('rows2', C.DUPLICATE_RATIO, 'g')[1:]},{O.marks('gleader', 'rows4')},
 marked AS (SELECT * EXCLUDE (review_status, nkey, ukey, bnet, bpath, elig, leader, group_no, gsize),
     CASE WHEN gsize > 1 THEN printf('DUP-%03d', group_no) ELSE '' END AS duplicate_group,
     CASE WHEN gsize = 1 THEN 'Unique' WHEN row_idx = leader THEN 'Primary' ELSE 'Duplicate' END AS duplicate_status,
     CASE WHEN gsize > 1 AND row_idx <> leader THEN 'Needs human review' ELSE review_status END AS review_status FROM rows4),
-warn AS (SELECT o.target_idx, 0 AS phase, o.visit_rank AS rnk, t.name || ': ' || o.url || ': page not captured' AS text
-    FROM outcomes o JOIN targets t ON o.target_idx = t.target_idx WHERE NOT o.fetched
-    UNION ALL SELECT r.target_idx, 1, r.candidate_rank, t.name || ': extraction failed for ' || r.url || ': page not captured'
-    FROM reads r JOIN targets t ON r.target_idx = t.target_idx WHERE NOT r.read_ok)"""
+warn AS (SELECT o.target_idx, 1 AS phase, o.visit_rank AS rnk, t.name || ': ' || o.url || ': page not captured' AS text
+    FROM outcomes o JOIN targets t ON o.target_idx = t.target_idx WHERE NOT o.fetched AND o.allowed
+    UNION ALL SELECT r.target_idx, 2, r.candidate_rank, t.name || ': extraction failed for ' || r.url || ': page not captured'
+    FROM reads r JOIN targets t ON r.target_idx = t.target_idx WHERE NOT r.read_ok
+    UNION ALL SELECT t.target_idx, 0, 0, t.name || ': seed skipped: ' || t.seed_url || ' is not in the allowed domain or is on the skip list'
+    FROM targets t WHERE target_idx NOT IN (SELECT target_idx FROM v0))"""
+
+
+def _allowed(p: str) -> str:
+    """Whether the robots rules let the visit be read (``p`` prefixes its columns)."""
+    path = f"({O.part(p + 'url', 3)} || CASE WHEN {O.part(p + 'url', 4)} <> '' THEN '?' || {O.part(p + 'url', 4)} ELSE '' END)"
+    return (f"coalesce((SELECT arg_min(r.allow, r.rule_pos) FROM rrules r WHERE r.target_idx = {p}target_idx AND (r.rule_path = '*' "
+            f"OR starts_with(CASE WHEN {path} = '' THEN '/' ELSE {path} END, r.rule_path))), TRUE)")
 
 
 def _with(ctes: str, body: str) -> str:
-    return f"WITH {ctes[1:] if ctes.startswith(chr(10)) else ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes[1:] if ctes.startswith(chr(10)) else ctes}\n{body}"
 
 
 def _job_query(body: str, **kw) -> str:
@@ -203,7 +206,7 @@ c AS (SELECT *, {O.cleaned('lex')} AS clean FROM l)"""
     out["language_flag"] = _with(cnt, f"SELECT page_id, {O.language('text', TEST)} AS language FROM content")
     out["housing_flag"] = _with(cnt, f"SELECT page_id, {O.housing('text', TEST)} AS housing FROM content")
     out["programme_type"] = _with(cnt, f"SELECT page_id, {O.programme_type('text', 'url', TEST)} AS programme_type FROM content")
-    docs = f"(SELECT doc_id, substring(text, 1, {DOC_NAME_CHARS}) AS name, 'https://' || source AS url FROM documents)"
+    docs = "(SELECT doc_id, text AS name, 'https://' || source AS url FROM documents)"
     out["dup_name_key"] = f"SELECT doc_id, {O.name_key('name')} AS name_key FROM {docs}"
     bk = O.normalise_url("url")
     out["dup_block_key"] = (f"SELECT page_id, CASE WHEN k <> '' THEN {O.part('k', 2)} END AS block_netloc, "
@@ -218,7 +221,18 @@ d4 AS (SELECT d3.*, ld.group_no, count(*) OVER (PARTITION BY d3.leader) AS gsize
 SELECT row_idx AS doc_id, CASE WHEN gsize > 1 THEN printf('DUP-%03d', group_no) ELSE '' END AS duplicate_group,
     CASE WHEN gsize = 1 THEN 'Unique' WHEN row_idx = leader THEN 'Primary' ELSE 'Duplicate' END AS duplicate_status FROM d4"""
     out["crawl_visits"] = _job_query("SELECT target_idx, visit_rank, depth, url FROM visits")
-    out["crawl_visits_cap4"] = _job_query("SELECT target_idx, visit_rank, depth, url FROM visits", cap=CAP_SMALL)
+    out["crawl_visits_limit4"] = _job_query("SELECT target_idx, visit_rank, depth, url FROM visits", cap=CAP_SMALL)
+    out["crawl_visits_robots"] = _job_query("SELECT target_idx, visit_rank, depth, url FROM visits", robots=True)
+    out["warnings"] = _job_query("SELECT target_idx, phase, rnk::BIGINT AS rank, text FROM warn", robots=True)
+    near = f""",
+named AS (SELECT page_id AS row_idx, ({O.infer_name('title', 'heading', 'url', TEST)}).name AS name,
+    regexp_extract(url, '^([a-z]+://[^/]*(?:/[^/?#]*)?)', 1) AS addr FROM content),
+named1 AS (SELECT row_idx, {O.name_key('name')} AS nkey, CASE WHEN addr <> '' THEN {O.normalise_url('addr')} ELSE '' END AS ukey FROM named),
+named2 AS (SELECT *, {O.part('ukey', 2)} AS bnet, {O.block_path('ukey')} AS bpath, (nkey <> '' AND ukey <> '') AS elig FROM named1),
+{O.leader_ctes('named2', C.DUPLICATE_RATIO, 'g')[1:]},{O.marks('gleader', 'numbered')}"""
+    out["near_dup_difflib"] = _with(cnt + near, """SELECT row_idx AS page_id,
+    CASE WHEN gsize > 1 THEN printf('DUP-%03d', group_no) ELSE '' END AS duplicate_group,
+    CASE WHEN gsize = 1 THEN 'Unique' WHEN row_idx = leader THEN 'Primary' ELSE 'Duplicate' END AS duplicate_status FROM numbered""")
     out["candidates"] = _job_query("SELECT target_idx, candidate_rank, url, candidate_score, visit_rank FROM cands")
     out["candidate_report"] = _job_query(
         "SELECT target_idx, candidate_rank, university_name, country, url, page_title, candidate_score, "
@@ -253,8 +267,7 @@ SELECT row_idx AS doc_id, CASE WHEN gsize > 1 THEN printf('DUP-%03d', group_no)
     (SELECT count(*) FROM marked WHERE extraction_method = 'fallback')::BIGINT AS fallback_rows,
     (SELECT count(*) FROM marked WHERE duplicate_status = 'Duplicate')::BIGINT AS duplicate_rows,
     CASE WHEN (SELECT count(*) FROM warn) > 0 THEN 'Completed with warnings' ELSE 'Completed' END AS status,
-    coalesce((SELECT string_agg(text, ' | ' ORDER BY target_idx, phase, rnk) FROM
-        (SELECT * FROM warn ORDER BY target_idx, phase, rnk LIMIT {C.WARNINGS_KEPT})), '') AS warnings,
+    CASE WHEN (SELECT count(*) FROM warn) > 0 THEN (SELECT count(*) FROM warn) || ' in the warnings table' ELSE '' END AS warnings,
     '' AS errors""")
     out.update(build_robots())
     return out
@@ -303,10 +316,6 @@ rrules AS (SELECT s.target_idx, s.pos AS rule_pos, regexp_replace(s.value, '\\?$
 
 def build_robots() -> dict[str, str]:
     rules_only = _with(_targets_cte() + "," + _robots_ctes(), "SELECT * FROM rrules")
-    req = (f"(CASE WHEN ({O.part('v.url', 3)} || CASE WHEN {O.part('v.url', 4)} <> '' THEN '?' || {O.part('v.url', 4)} ELSE '' END) = '' "
-           f"THEN '/' ELSE ({O.part('v.url', 3)} || CASE WHEN {O.part('v.url', 4)} <> '' THEN '?' || {O.part('v.url', 4)} ELSE '' END) END)")
-    gate = _job_query(f"""SELECT v.target_idx, v.url, coalesce((SELECT arg_min(r.allow, r.rule_pos) FROM rrules r
-    WHERE r.target_idx = v.target_idx AND (r.rule_path = '*' OR starts_with({req}, r.rule_path))), TRUE) AS allowed
-    FROM visits v""")
+    gate = _job_query(f"SELECT v.target_idx, v.url, {_allowed('v.')} AS allowed FROM visits v")
     gate = gate.replace("\nSELECT v.target_idx", "," + _robots_ctes() + "\nSELECT v.target_idx", 1)
     return {"robots_rules": rules_only, "robots_gate": gate}

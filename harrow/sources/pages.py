@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import member_test, staged
 from ..functions.urls import host, host_suffixes, normalise_url, scheme
 
 
@@ -33,22 +34,35 @@ def with_capture_status(pages: DataFrame) -> DataFrame:
     )
 
 
-def pages_normalised(pages: DataFrame, domains: DataFrame | None = None) -> DataFrame:
-    """``(url, page_id, html, failure, is_html)`` with one row per normalised URL.
+def first_captures(pages: DataFrame, domains: DataFrame | None = None) -> DataFrame:
+    """``(url, page_id)`` of the capture that counts for each URL, from narrow columns only.
 
-    Skew-safe: the winner per key is found on two narrow columns with map-side
-    partial aggregation, then rows are kept with a semi join on the unique
-    ``(url, page_id)`` pair, so a URL captured millions of times never lands in
-    one task.  With ``domains(domain)`` only pages whose host lies in one of the
-    domains are kept; the scope test runs on the same narrow key columns, as an
-    equi-join of the host's dot-suffixes against the domain list.
+    ``pages`` holds normalised URLs.  The minimum is aggregated partially where
+    the rows are read, so a URL captured millions of times never lands in one
+    task.  With ``domains(domain)`` only URLs whose host lies in one of the
+    domains are kept, by an equi-join of the host's dot-suffixes.
     """
-    keyed = with_capture_status(pages).withColumn("url", normalise_url(F.col("url")))
-    keys = keyed.select("url", "page_id")
+    keys = pages.select("url", "page_id")
     if domains is not None:
         keys = in_domains(keys, domains)
-    winners = keys.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return keyed.join(winners, ["url", "page_id"], "left_semi")
+    return keys.groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
+def pages_normalised(pages: DataFrame, domains: DataFrame | None = None, narrow=None) -> DataFrame:
+    """One row per normalised URL, its first capture, as ``narrow`` leaves it.
+
+    ``narrow`` (a parse, say) is applied where the rows are read and has to drop
+    ``html``; by default that is all it does, so HTML is never shuffled.  Rows
+    that cannot be a first capture in scope are left out before it by a bitmap
+    of at most 8 MB; the exact join follows on what it returns.  Of captures
+    that agree in URL and ``page_id`` one stays.
+    """
+    keyed = with_capture_status(pages).withColumn("url", normalise_url(F.col("url")))
+    first = staged(first_captures(keyed, domains).withColumnRenamed("page_id", "_first"), "first-captures")
+    may_be_first = member_test(first.select(F.xxhash64("url", "_first").alias("k")), "k")
+    rows = keyed.filter(may_be_first(F.xxhash64("url", "page_id")))
+    rows = narrow(rows) if narrow is not None else rows.drop("html")
+    return rows.join(first, "url").filter(F.col("page_id").eqNullSafe(F.col("_first"))).drop("_first").dropDuplicates(["url"])
 
 
 def in_domains(keys: DataFrame, domains: DataFrame) -> DataFrame:

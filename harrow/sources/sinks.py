@@ -52,8 +52,13 @@ def run_log_report(log: DataFrame, headings: bool = False) -> DataFrame:
     return log.select(*[F.col(c).alias(h) for c, h in zip(_RUNLOG_FIELDS, C.RUN_LOG_COLUMNS)])
 
 
+def warnings_report(warnings: DataFrame) -> DataFrame:
+    """Every warning, in the order target, phase (0 seed, 1 crawl, 2 extraction), rank."""
+    return warnings.select("target_idx", "phase", F.col("rank").cast("long").alias("rank"), "text")
+
+
 def write_reports(reports: dict, out_dir: str, fmt: str = "parquet") -> None:
-    """Write the three tables (empty tables still get their schema/header)."""
+    """Write the report tables (empty tables still get their schema/header)."""
     for name, df in reports.items():
         w = df.write.mode("overwrite")
         if fmt == "csv":

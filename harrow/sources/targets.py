@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import INPUT_COLUMNS
-from ..functions.ordinal import range_ordinal
+from ..functions.ordinal import bucket_ordinal, range_ordinal
+from ..functions.staging import staged
 from ..functions.text import ustrip
 from ..functions.urls import netloc, normalise_domain, normalise_url, scheme
 
@@ -52,7 +53,9 @@ def clean_targets(df: DataFrame, order_col: str = "target_idx", validate: bool =
     t = t.withColumn("allowed_domain", F.when(F.col("allowed_domain") != "", F.col("allowed_domain"))
                      .otherwise(normalise_domain(F.col("seed_url"))))
     if order_col != "target_idx":
-        t = range_ordinal(t, order_col, "target_idx").withColumn("target_idx", F.col("target_idx") - 1).drop(order_col)
+        # One read of the file decides the ids, then their order is the file's.
+        t = bucket_ordinal(staged(t, "targets"), order_col, "target_idx").withColumn("target_idx", F.col("target_idx") - 1) \
+            .drop(order_col)
     return t.select("target_idx", "name", "country", "seed_url", "allowed_domain", "notes")
 
 
@@ -76,5 +79,12 @@ def targets_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def seed_faults(targets: DataFrame) -> DataFrame:
+    """``(target_idx, fault)`` of targets whose seed cannot be split as a URL (unbalanced brackets in its host)."""
+    net = netloc(normalise_url(F.col("seed_url")))
+    opened, closed = F.instr(net, "[") > 0, F.instr(net, "]") > 0
+    return targets.filter(opened != closed).select("target_idx", F.lit("Invalid IPv6 URL").alias("fault"))
+
+
 def target_domains(targets: DataFrame) -> DataFrame:
     return targets.select(normalise_domain(F.col("allowed_domain")).alias("domain")).distinct()

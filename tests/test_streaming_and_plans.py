@@ -35,7 +35,7 @@ def test_partitioning_invariance(spark):
         from harrow.plans import catalog
         catalog._memo.clear()
         try:
-            return sorted(map(tuple, QUERIES["crawl_visits_cap4"](spark, SF).collect()))
+            return sorted(map(tuple, QUERIES["crawl_visits_limit4"](spark, SF).collect()))
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "8")
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -47,7 +47,7 @@ def test_entry_contract(spark):
     names = set(E.queries())
     oracles = set(E.oracle_sql())
     assert oracles <= names
-    assert names - oracles <= {"near_dup_difflib"}
+    assert {n for n in names - oracles if not n.startswith("op") and n != "pipeline"} == set()
     df = E.entry(spark)
     assert df.count() > 0
     assert "programme_name" in df.columns
