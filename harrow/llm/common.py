@@ -1,40 +1,19 @@
 """Helpers shared by the corpus operators: staging, row keys, connected components."""
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..functions.staging import member_test, scratch, staged
+
+__all__ = ["components", "crc_mod", "fresh", "member_test", "mix64", "read", "runs", "scratch", "staged", "text_of"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts lineage like ``checkpoint()``, but stays columnar, so later reads take
-    only the columns that they use.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -80,31 +59,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def member_test(keys: DataFrame, column: str, bits: int = 26):
-    """A function that tells whether a 64-bit hash may be among ``keys``.
-
-    One bit for each hash modulo ``2**bits``, gathered with the bitmap
-    aggregates: at most ``2**bits / 8`` bytes (8 MB) at any size.  It says yes
-    too often when there are very many keys, never no for a key, so it is for
-    keeping rows out of a shuffle, ahead of an exact join.
-    """
-    slot = F.pmod(F.col(column), F.lit(1 << bits)) + 1  # buckets count from 1, each of 32768 bits
-    rows = keys.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")) \
-        .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        at = (r["b"] - 1) * 4096
-        table[at:at + 4096] = np.frombuffer(r["m"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def among(h: pd.Series) -> pd.Series:
-        at = np.mod(h.to_numpy(np.int64), 1 << bits)
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-    return among
-
-
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` -> ``(id, component)``.
 

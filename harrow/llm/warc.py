@@ -8,7 +8,8 @@
    compressed again as a gzip member of its own, and its offset, length and
    headers go to a sidecar index (Parquet).  The text writer needs a separator,
    so an empty gzip member (20 bytes) follows every record; any gzip reader skips it.
-3. *Read*: archives are read whole, and the index tells where each member lies.
+3. *Read*: archives are walked member by member; of single records the index
+   tells the place.
 
 All files go through Spark's readers and writers, so they can lie in any store.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -171,23 +173,30 @@ def _rewrite(batches):
                 yield pd.DataFrame({"member": rows})
 
 
+def walk(content: bytes):
+    """Offset, length and bytes of every record of a normalised archive."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        stream, k, record = zlib.decompressobj(wbits=31), at, bytearray()
+        while not stream.eof:
+            record += stream.decompress(view[k:k + 65536])
+            k += 65536
+        length = min(k, len(view)) - at - len(stream.unused_data)
+        yield at, length, bytes(record)
+        at += length + len(EMPTY_MEMBER)
+
+
 def _entries(batches):
     """Offset, length and headers of every record of normalised archives."""
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
-            name, view, at, rows = path.rsplit("/", 1)[-1], memoryview(content), 0, []
-            while at < len(view):
-                stream, k, record = zlib.decompressobj(wbits=31), at, bytearray()
-                while not stream.eof:
-                    record += stream.decompress(view[k:k + 65536])
-                    k += 65536
-                length = min(k, len(view)) - at - len(stream.unused_data)
-                fields, _ = headers(bytes(record))
+            name, rows = path.rsplit("/", 1)[-1], []
+            for at, length, record in walk(content):
+                fields, _ = headers(record)
                 page = fields.get("X-Page-ID", "")
                 rows.append((name, len(rows), at, length, fields["WARC-Record-ID"], fields["WARC-Type"],
                              fields.get("WARC-Target-URI", ""), int(page) if page else None,
                              fields["WARC-Payload-Digest"].removeprefix("sha1:")))
-                at += length + len(EMPTY_MEMBER)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64"})
 
 
@@ -208,36 +217,46 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0").select("path", "content")
 
 
-def _slices(batches):
-    for b in batches:
-        for archive, content, places in zip(b["archive"], b["content"], b["places"]):
-            rows = []
-            for p in places:
-                data = content[p["offset"]:p["offset"] + p["length"]]
-                fields, payload = headers(zlib.decompress(data, wbits=31))
-                page, to = fields.get("X-Page-ID", ""), fields.get("X-Refers-To-Page", "")
-                revisit = fields["WARC-Type"] == "revisit"
-                rows.append((archive, int(page) if page else None, fields.get("WARC-Target-URI", ""),
-                             int(fields["X-Payload-Length"]) if revisit else len(payload),
-                             fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else base32_sha1(payload),
-                             fields["WARC-Type"], int(to) if to else None, payload))
-                if len(rows) == 2000:
-                    yield pd.DataFrame(rows, columns=RECORD_NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=RECORD_NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
+def _row(archive: str, record: bytes) -> tuple:
+    fields, payload = headers(record)
+    page, to = fields.get("X-Page-ID", ""), fields.get("X-Refers-To-Page", "")
+    revisit = fields["WARC-Type"] == "revisit"
+    return (archive, int(page) if page else None, fields.get("WARC-Target-URI", ""),
+            int(fields["X-Payload-Length"]) if revisit else len(payload),
+            fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else base32_sha1(payload),
+            fields["WARC-Type"], int(to) if to else None, payload)
 
 
 RECORD = ("archive string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
           "refers_to long, payload binary")
-RECORD_NAMES = [c.split()[0] for c in RECORD.split(", ")]
 
 
-def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """The records of normalised archives, each read at the place that the index gives.
+def _records(rows):
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    for group in iter(lambda: list(itertools.islice(rows, 1000)), []):
+        yield pd.DataFrame(group, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
+def _walk(batches):
+    for b in batches:
+        for path, content in zip(b["path"], b["content"]):
+            name = path.rsplit("/", 1)[-1]
+            yield from _records(_row(name, record) for _, _, record in walk(content))
+
+
+def _slices(batches):
+    for b in batches:
+        for name, content, places in zip(b["archive"], b["content"], b["places"]):
+            yield from _records(_row(name, zlib.decompress(content[p["offset"]:p["offset"] + p["length"]], wbits=31)) for p in places)
+
+
+def read_records(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
+    """The records of normalised archives: all of them, or those in ``index``, each at its place.
 
     Responses: length and digest of the payload that was read; revisits: as their headers say.
     """
+    if index is None:
+        return _files(spark, path).mapInPandas(_walk, RECORD)
     places = index.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))
     files = _files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     return files.join(places, "archive").mapInPandas(_slices, RECORD)
@@ -248,5 +267,5 @@ def round_trip(pages: DataFrame, min_revisit: int = 0, file_bytes: int = FILE_BY
     spark = pages.sparkSession
     raw, path = scratch(spark, "warc"), scratch(spark, "archives")
     write_monolithic(classified(pages, min_revisit), raw, file_bytes)
-    index = normalise(spark, raw, path)
-    return read_records(spark, path, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    normalise(spark, raw, path)
+    return read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
