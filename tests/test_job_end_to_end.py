@@ -55,8 +55,9 @@ def test_job_statuses_robots_and_counters(spark):
     assert log.total_pages_visited == 7
     assert log.total_candidate_pages == 2
     assert log.status == "Completed with warnings"
-    assert log.warnings == ("Example University: https://www.example.test/news: 404 Client Error | "
-                            "Example University: https://www.example.test/missing: page not captured")
+    assert [w.text for w in r.warnings.orderBy("target_idx", "phase", "rank").collect()] == [
+        "Example University: https://www.example.test/news: 404 Client Error",
+        "Example University: https://www.example.test/missing: page not captured"]
 
 
 def test_job_fallback_with_separate_detail_read(spark):
