@@ -155,6 +155,15 @@ def test_chances_sum_to_one():
     assert (p1 > 0).all() and (p2 > 0).all() and (p2 < 1).all()
 
 
+def test_keys_survive_packing():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (pitmanyor.unpack_keys(pitmanyor.pack_keys(keys)) == keys).all()
+        some = rng.random(n).astype("<f4")
+        assert (pitmanyor.unplanes(pitmanyor.planes(some), "<f4") == some).all()
+
+
 def test_seating_agrees_with_one_by_one():
     rng = np.random.default_rng(0)
     for c, a, d in ((50, 2.0, 0.5), (700, 5.0, 0.3)):
