@@ -1,4 +1,4 @@
-"""Column -> Column text helpers (all JVM-side, codegen friendly).
+"""Column -> Column text helpers, all on the JVM side.
 
 Whitespace follows the Unicode definition used by Python's ``str.strip`` and
 ``re``'s ``\\s`` so that trimming and collapsing agree with the behaviour being
@@ -6,6 +6,9 @@ reproduced; Spark's ``trim`` alone only removes U+0020.
 """
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,20 +18,6 @@ WS = (r"[\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 # Letters/digits/underscore, the word class used for whole-word tests.
 WORD = r"[\p{L}\p{N}_]"
 
-# Named character references decoded in text and attribute
-# values.  Names marked legacy are also decoded without the trailing ';'.
-NAMED_ENTITIES = [
-    ("amp", "&", True), ("lt", "<", True), ("gt", ">", True), ("quot", '"', True),
-    ("apos", "'", False), ("nbsp", "\u00a0", True), ("copy", "©", True),
-    ("reg", "®", True), ("trade", "™", False), ("middot", "·", True),
-    ("ndash", "–", False), ("mdash", "—", False), ("hellip", "…", False),
-    ("lsquo", "‘", False), ("rsquo", "’", False), ("ldquo", "“", False),
-    ("rdquo", "”", False), ("laquo", "«", True), ("raquo", "»", True),
-    ("bull", "•", False), ("deg", "°", True), ("euro", "€", False),
-    ("pound", "£", True), ("yen", "¥", True), ("cent", "¢", True),
-    ("sect", "§", True), ("para", "¶", True), ("times", "×", True),
-    ("divide", "÷", True), ("plusmn", "±", True), ("shy", "\u00ad", True),
-]
 # Character-reference syntax (numeric, hex, or a run of name characters).
 ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0C <&#;]{1,32};?)"
 
@@ -36,8 +25,11 @@ ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\x0C <&#;]{1,32};?)"
 # styles are lexical (their content is not markup), so they go first and in one
 # leftmost-first pass; the element removals run on what is left.
 LEXICAL_BLOCKS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-REMOVED_ELEMENTS = r"(?is)<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>|<form\b.*?</form\s*>"
-TAG = r"<[A-Za-z/!?][^>]*>"
+REMOVED_ELEMENTS = ("noscript", "svg", "form")
+# A tag ends at the first '>' outside of quoted attribute values.
+IN_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
+TAG = f"<[A-Za-z/!?]{IN_TAG}>"
+REMOVED_TAG = f"(?i)</?(?:{'|'.join(REMOVED_ELEMENTS)})(?![A-Za-z0-9-]){IN_TAG}>"
 
 
 _EXPRS: dict = {}
@@ -77,26 +69,35 @@ def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"{WS}+", " "))
 
 
+def _named() -> tuple[Column, Column]:
+    """The standard's named references: all, and those that need no ';', as literal maps.
+
+    They come as one JSON literal each, which the optimizer folds into a map.
+    """
+    legacy = {k: v for k, v in html5.items() if not k.endswith(";")}
+    return tuple(F.from_json(F.lit(json.dumps(m)), "map<string,string>") for m in (html5, legacy))
+
+
 def _codepoint_char(cp: Column) -> Column:
-    """Code point (int) -> one-character string; invalid -> U+FFFD."""
+    """Code point (int) -> text, by the standard's rules for numeric references.
+
+    0x80-0x9F mean the Windows-1252 characters, where there is one; surrogates
+    and numbers beyond Unicode give U+FFFD; controls and noncharacters nothing.
+    """
+    windows = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)]
+    low = cp % 0x10000
+    nothing = ((cp < 0x20) & ~cp.isin(9, 10, 12, 13)) | (cp == 0x7F) | ((cp >= 0xFDD0) & (cp <= 0xFDEF)) | (low >= 0xFFFE)
     bad = (cp <= 0) | (cp > 0x10FFFF) | ((cp >= 0xD800) & (cp <= 0xDFFF))
     ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    return F.when(bad, F.lit("\ufffd")).otherwise(ch)
+    return F.when(bad, F.lit("\ufffd")).when((cp >= 0x80) & (cp <= 0x9F), F.get(F.array(*[F.lit(w) for w in windows]), cp - 0x80)) \
+        .when(nothing, F.lit("")).otherwise(ch)
 
 
 def _decode_reference(m: Column) -> Column:
     """Decode one matched character reference ``m`` (including the '&')."""
-    return let(F.regexp_replace(m, r"^&#[xX]?0*|;$", ""), lambda body: _decode_with_body(m, body))
-
-
-def _entity_maps():
-    exact, legacy = [], []
-    for ent, ch, is_legacy in NAMED_ENTITIES:
-        exact += [F.lit(ent + ";"), F.lit(ch)]
-        if is_legacy:
-            exact += [F.lit(ent), F.lit(ch)]
-            legacy += [F.lit(ent), F.lit(ch)]
-    return F.create_map(*exact), F.create_map(*legacy)
+    common = F.when(m == "&amp;", F.lit("&")).when(m == "&quot;", F.lit('"')).when(m == "&nbsp;", F.lit("\u00a0")) \
+        .when(m == "&lt;", F.lit("<")).when(m == "&gt;", F.lit(">"))
+    return common.otherwise(let(F.regexp_replace(m, r"^&#[xX]?0*|;$", ""), lambda body: _decode_with_body(m, body)))
 
 
 def _decode_with_body(m: Column, body: Column) -> Column:
@@ -107,11 +108,10 @@ def _decode_with_body(m: Column, body: Column) -> Column:
         .when(is_dec & (F.length(body) <= 7), body.cast("int"))
         .otherwise(F.lit(0x110000)))
     name = F.substring(m, 2, 64)
-    exact, legacy = _entity_maps()
-    # Legacy prefix: "&ampx" -> "&x" (longest legacy name that is a proper prefix).
-    longest = max(len(e) for e, _, lg in NAMED_ENTITIES if lg)
+    exact, legacy = cached_expr("named references", _named)
+    # A known name that needs no ';' may be run into by what follows: the longest such beginning.
     prefixed = F.lit(None).cast("string")
-    for k in range(2, longest + 1):
+    for k in range(2, max(len(n) for n in html5 if not n.endswith(";")) + 1):
         hit = F.try_element_at(legacy, F.substring(name, 1, k))
         prefixed = F.when((F.length(name) > k) & hit.isNotNull(),
                           F.concat(hit, F.substring(name, k + 1, 64))).otherwise(prefixed)
@@ -137,7 +137,34 @@ def strip_lexical(html: Column) -> Column:
 
 
 def strip_removed_elements(lexical: Column) -> Column:
-    return F.regexp_replace(lexical, REMOVED_ELEMENTS, " ")
+    """Markup without the removed elements and all that is inside them.
+
+    Their tags are read in order with the list of those that are open: an end
+    tag closes the innermost element of its name and what was opened in it, one
+    without a beginning is dropped, and an element that never ends reaches to
+    the end of the page.
+    """
+    return let(lexical, lambda m: F.when(m.rlike(REMOVED_TAG), _outside(m)).otherwise(m))
+
+
+def _outside(m: Column) -> Column:
+    tags = F.regexp_extract_all(m, F.lit(REMOVED_TAG), 0)
+    texts = F.split(m, REMOVED_TAG, -1)
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("open"), F.array(F.element_at(texts, 1)).alias("kept"))
+    steps = F.zip_with(tags, F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))),
+                       lambda t, x: F.struct(t.alias("tag"), x.alias("text")))
+
+    def step(state, s):
+        name = F.lower(F.regexp_extract(s["tag"], r"^</?([A-Za-z]+)", 1))
+        end, single = s["tag"].startswith("</"), s["tag"].endswith("/>")
+        last = F.size(state["open"]) - F.array_position(F.reverse(state["open"]), name) + 1
+        closed = F.when(F.array_contains(state["open"], name), F.slice(state["open"], 1, (last - 1).cast("int"))).otherwise(state["open"])
+        now = F.when(end, closed).when(single, state["open"]).otherwise(F.concat(state["open"], F.array(name)))
+        return let(now, lambda o: F.struct(o.alias("open"), F.when(F.size(o) == 0, F.concat(state["kept"], F.array(s["text"])))
+                                           .otherwise(state["kept"]).alias("kept")))
+
+    return F.array_join(F.aggregate(steps, start, step)["kept"], " ")
 
 
 def markup_text(fragment: Column) -> Column:
@@ -147,7 +174,7 @@ def markup_text(fragment: Column) -> Column:
 
 def element_inner(markup: Column, tag: str) -> Column:
     """Inner markup of the first ``<tag>...</tag>`` ('' when absent)."""
-    return F.regexp_extract(markup, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    return F.regexp_extract(markup, rf"(?is)<{tag}(?![A-Za-z0-9-]){IN_TAG}>(.*?)</{tag}\s*>", 1)
 
 
 def title_text(inner: Column) -> Column:

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.urls import normalise_url, resolve
 
-HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+ANCHOR = rf"(?i)<a\s{T.IN_TAG}>"
+# The first attribute named href: others before it are stepped over whole.
+HREF = (r"""(?is)^<a(?:\s+(?!href\s*=)[^\s=>]++(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+\s+href\s*=\s*"""
+        r"""("[^"]*"|'[^']*'|[^\s"'>]+)""")
 
 
 def hrefs(markup: Column) -> Column:
-    raw = F.regexp_extract_all(markup, F.lit(HREF), 1)
+    anchors = F.regexp_extract_all(markup, F.lit(ANCHOR), 0)
+    raw = F.filter(F.transform(anchors, lambda a: F.regexp_extract(a, HREF, 1)), lambda v: v != "")
     return F.transform(raw, lambda v: T.decode_entities(
         F.when(v.startswith('"') | v.startswith("'"), F.substring(v, 2, F.length(v) - 2)).otherwise(v)))
 

@@ -1,8 +1,8 @@
 """Programme rows: name, field rules, review grading, fallback rows.
 
-Every rule is a native expression: ordered regex rules become a CASE chain of
-``rlike`` tests (the first rule that *matches* wins, even if its value strips
-to nothing), labels keep Python's Unicode case-insensitivity through Java's
+Every rule is a native expression: ordered regex rules are extracted once each,
+in their order, until one finds something (that wins, even if it strips to
+nothing), labels keep Python's Unicode case-insensitivity through Java's
 ``(?iu)`` flags, and whole-word tests use explicit letter/digit look-arounds.
 """
 from __future__ import annotations
@@ -18,14 +18,12 @@ JAVA_FLAGS = "(?iu)"
 
 
 def first_match(text: Column, patterns, chars: int | None = None) -> Column:
-    """Group 1 of the first matching pattern, cleaned; ``Unknown`` if none."""
-    out = F.lit("Unknown")
-    for pat in reversed(list(patterns)):
-        jp = JAVA_FLAGS + pat
-        val = T.clipped(T.strip_chars(F.regexp_replace(F.regexp_extract(text, jp, 1), rf"{T.WS}+", " "),
-                                      C.MATCH_STRIP_CHARS), chars)
-        out = F.when(text.rlike(jp), val).otherwise(out)
-    return out
+    """Group 1 of the first pattern that finds one, cleaned; ``Unknown`` if none does."""
+    if not patterns:
+        return F.lit("Unknown")
+    raw = F.coalesce(*[F.nullif(F.regexp_extract(text, JAVA_FLAGS + p, 1), F.lit("")) for p in patterns])
+    value = T.strip_chars(F.regexp_replace(raw, rf"{T.WS}+", " "), C.MATCH_STRIP_CHARS)
+    return F.coalesce(T.clipped(value, chars), F.lit("Unknown"))
 
 
 def whole_word(text: Column, words) -> Column:

@@ -2,17 +2,32 @@
 
 Each builder returns SQL text for DuckDB over the driver's pre-registered
 views.  The rules are the same as the Spark side's, restated in DuckDB's
-dialect (RE2 regexes with the 'g' flag, ``lambda`` list functions, no
-look-behind), so the check compares two independent executions of one spec.
+dialect with expressions of their own (RE2 without look-around, ``lambda`` list
+functions), so a mistake in an expression of one side shows.
 """
 from __future__ import annotations
 
+import html.entities
 import itertools
+import json
+import urllib.parse
 
 from .. import config as C
-from ..operators.content import HREF
-from ..functions.text import ENTITY, LEXICAL_BLOCKS, NAMED_ENTITIES, REMOVED_ELEMENTS, TAG, WS
-from ..functions.urls import EMPTY_PARAMS, NETLOC_SCHEMES, PARAM_SCHEMES, SPLIT
+
+# Written for DuckDB's expressions, apart from those that Spark's side uses.
+WS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in map(chr, range(0x3001)) if c.isspace()) + "]"
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+INSIDE = "(?:[^>=]|=\\s*\"[^\"]*\"|=\\s*'[^']*'|=)*"
+MARKUP = f"<[a-zA-Z/!?]{INSIDE}>"
+SCRIPTS = "(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
+BOXES = f"(?i)</?(?:noscript|svg|form)(?:[^a-zA-Z0-9>-]{INSIDE})?>"
+ANCHORS = f"(?i)<a\\s{INSIDE}>"
+ATTRIBUTES = "\\s([^\\s=>]+)(?:\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s>]*))?"
+# Scheme, authority, path, query and fragment of a URL (RFC 3986, appendix B).
+SPLIT = "^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^?/#]*))?([^#?]*)(?:\\?([^#]*))?(?:#(.*))?$"
+LAST_PARAMS = "^((?:.*/)?[^;/]*);$"
+WITH_AUTHORITY = sorted(x for x in urllib.parse.uses_netloc if x)
+WITH_PARAMS = sorted(urllib.parse.uses_params)
 
 _ids = itertools.count()
 
@@ -40,32 +55,37 @@ def collapse(e: str) -> str:
 
 
 def _decode_ref(m: str) -> str:
+    names = html.entities.html5
+    everything = f"CAST({q(json.dumps(names))}::JSON AS MAP(VARCHAR, VARCHAR))"
+    legacy = "[" + ", ".join(q(n) for n in names if not n.endswith(";")) + "]"
+    windows = "[" + ", ".join(f"chr({ord(bytes([n]).decode('cp1252', 'ignore') or chr(n))})" for n in range(128, 160)) + "]"
+
     def with_body(b):
         is_hex = f"regexp_matches({m}, '^&#[xX]')"
         is_dec = f"(starts_with({m}, '&#') AND NOT {is_hex})"
         num = (f"(CASE WHEN length({b}) = 0 THEN 0 WHEN {is_hex} AND length({b}) <= 6 THEN ('0x' || {b})::INTEGER "
                f"WHEN {is_dec} AND length({b}) <= 7 THEN {b}::INTEGER ELSE 1114112 END)")
-        ch = let(num, lambda n: f"CASE WHEN {n} <= 0 OR {n} > 1114111 OR ({n} BETWEEN 55296 AND 57343) "
-                                f"THEN '�' ELSE chr({n}) END")
+        ch = let(num, lambda n: (
+            f"CASE WHEN {n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343 THEN chr(65533) "
+            f"WHEN {n} BETWEEN 128 AND 159 THEN {windows}[{n} - 127] "
+            f"WHEN {n} BETWEEN 1 AND 8 OR {n} = 11 OR {n} BETWEEN 14 AND 31 OR {n} = 127 OR {n} BETWEEN 64976 AND 65007 "
+            f"OR {n} & 65534 = 65534 THEN '' ELSE chr({n}) END"))
         name = f"substring({m}, 2, 64)"
-        cases = []
-        for ent, c, legacy in NAMED_ENTITIES:
-            keys = [ent + ";"] + ([ent] if legacy else [])
-            cases.append(f"WHEN {name} IN ({', '.join(q(k) for k in keys)}) THEN {q(c)}")
-        for ent, c, legacy in sorted(NAMED_ENTITIES, key=lambda e: -len(e[0])):
-            if legacy:
-                cases.append(f"WHEN length({name}) > {len(ent)} AND starts_with({name}, {q(ent)}) "
-                             f"THEN {q(c)} || substring({name}, {len(ent) + 1}, 64)")
-        named = f"CASE {' '.join(cases)} ELSE {m} END"
-        return f"CASE WHEN {is_hex} OR {is_dec} THEN {ch} ELSE {named} END"
-    return let(f"regexp_replace({m}, '^&#[xX]?0*|;$', '', 'g')", with_body)
+        k = v()
+        longest = let(f"list_max(list_filter(range(2, least(length({name}), 7)), lambda {k}: "
+                      f"list_contains({legacy}, substring({name}, 1, {k}))))",
+                      lambda x: f"CASE WHEN {x} IS NULL THEN {m} ELSE {everything}[substring({name}, 1, {x})] || substring({name}, {x} + 1, 64) END")
+        return f"CASE WHEN {is_hex} OR {is_dec} THEN {ch} ELSE coalesce({everything}[{name}], {longest}) END"
+
+    digits = let(f"regexp_replace({m}, '^&#[xX]?0*|;$', '', 'g')", with_body)
+    return f"CASE {m} WHEN '&amp;' THEN '&' WHEN '&quot;' THEN '\"' ELSE {digits} END"
 
 
 def decode(e: str) -> str:
     def body(c):
-        parts = f"regexp_split_to_array({c}, {q(ENTITY)})"
+        parts = f"regexp_split_to_array({c}, {q(REFERENCE)})"
         m = v()
-        refs = f"list_transform(regexp_extract_all({c}, {q(ENTITY)}, 0), lambda {m}: {_decode_ref(m)})"
+        refs = f"list_transform(regexp_extract_all({c}, {q(REFERENCE)}, 0), lambda {m}: {_decode_ref(m)})"
         i = v()
         joined = let(parts, lambda p: let(refs, lambda d: (
             f"array_to_string(list_transform(range(1, len({p}) + 1), lambda {i}: {p}[{i}] || coalesce({d}[{i}], '')), '')")))
@@ -74,26 +94,43 @@ def decode(e: str) -> str:
 
 
 def markup_text(e: str) -> str:
-    return collapse(decode(f"regexp_replace({e}, {q(TAG)}, ' ', 'g')"))
+    return collapse(decode(f"regexp_replace({e}, {q(MARKUP)}, ' ', 'g')"))
 
 
 def inner(e: str, tag: str) -> str:
-    return f"regexp_extract({e}, {q(f'(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>')}, 1)"
+    return f"regexp_extract({e}, {q(f'(?is)<{tag}(?:[^a-zA-Z0-9>-]{INSIDE})?>(.*?)</{tag}\\s*>')}, 1)"
 
 
 def title_text(e: str) -> str:
     s = v()
     t = v()
-    return (f"array_to_string(list_filter(list_transform(regexp_split_to_array({e}, {q(TAG)}), lambda {s}: "
+    return (f"array_to_string(list_filter(list_transform(regexp_split_to_array({e}, {q(MARKUP)}), lambda {s}: "
             f"{ustrip(decode(s))}), lambda {t}: {t} <> ''), ' ')")
 
 
 def lexical(html: str) -> str:
-    return f"regexp_replace(coalesce({html}, ''), {q(LEXICAL_BLOCKS)}, ' ', 'g')"
+    return f"regexp_replace(coalesce({html}, ''), {q(SCRIPTS)}, ' ', 'g')"
 
 
 def cleaned(lex: str) -> str:
-    return f"regexp_replace({lex}, {q(REMOVED_ELEMENTS)}, ' ', 'g')"
+    """Markup outside of noscript, svg and form, by a walk over their tags with the list of open ones."""
+    def walk(m):
+        tags, texts, state, i, x = v(), v(), v(), v(), v()
+
+        def step(tag):
+            name = f"lower(regexp_extract({tag}, '^</?([a-zA-Z]+)', 1))"
+            at = f"(len({state}.o) - list_position(list_reverse({state}.o), {name}) + 1)"
+            stack = (f"CASE WHEN starts_with({tag}, '</') THEN CASE WHEN list_contains({state}.o, {name}) THEN {state}.o[1:{at} - 1] "
+                     f"ELSE {state}.o END WHEN ends_with({tag}, '/>') THEN {state}.o ELSE list_append({state}.o, {name}) END")
+            return let(stack, lambda o: (f"struct_pack(o := {o}, kept := CASE WHEN len({o}) = 0 THEN list_append({state}.kept, {texts}[{i}.n + 1]) "
+                                         f"ELSE {state}.kept END, n := 0)"))
+        first = f"struct_pack(o := []::VARCHAR[], kept := [{texts}[1]], n := 0)"
+        steps = (f"list_prepend({first}, list_transform(range(1, len({tags}) + 1), lambda {x}: "
+                 f"struct_pack(o := []::VARCHAR[], kept := []::VARCHAR[], n := {x}::INTEGER)))")
+        fold = f"list_reduce({steps}, lambda {state}, {i}: {let(f'{tags}[{i}.n]', step)})"
+        return (f"list_transform([regexp_extract_all({m}, {q(BOXES)}, 0)], lambda {tags}: "
+                f"list_transform([regexp_split_to_array({m}, {q(BOXES)})], lambda {texts}: array_to_string(({fold}).kept, ' '))[1])[1]")
+    return let(lex, lambda m: f"CASE WHEN regexp_matches({m}, {q(BOXES)}) THEN {walk(m)} ELSE {m} END")
 
 
 def heading(lex: str) -> str:
@@ -116,7 +153,7 @@ def host(u: str) -> str:
 
 
 def assemble(sch: str, net: str, pth: str, qry: str) -> str:
-    schemes = ", ".join(q(s) for s in NETLOC_SCHEMES if s)
+    schemes = ", ".join(q(s) for s in WITH_AUTHORITY)
     body = (f"(CASE WHEN {net} <> '' THEN '//' || {net} || (CASE WHEN {pth} <> '' AND NOT starts_with({pth}, '/') "
             f"THEN '/' || {pth} ELSE {pth} END) WHEN starts_with({pth}, '//') THEN '//' || {pth} "
             f"WHEN {sch} IN ({schemes}) AND ({pth} = '' OR starts_with({pth}, '/')) THEN '//' || {pth} ELSE {pth} END)")
@@ -131,10 +168,10 @@ def parts(u: str):
 def normalise_url(u: str) -> str:
     cleaned_ = f"regexp_replace({ustrip(u)}, '[\\t\\r\\n]', '', 'g')"
     ws = let(cleaned_, lambda s: f"CASE WHEN regexp_matches({s}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {s} ELSE 'https://' || {s} END")
-    pschemes = ", ".join(q(x) for x in PARAM_SCHEMES)
+    pschemes = ", ".join(q(x) for x in WITH_PARAMS)
 
     def reasm(x):
-        p = (f"(CASE WHEN {x}.s IN ({pschemes}) THEN regexp_replace({x}.p, {q(EMPTY_PARAMS)}, '\\1') "
+        p = (f"(CASE WHEN {x}.s IN ({pschemes}) THEN regexp_replace({x}.p, {q(LAST_PARAMS)}, '\\1') "
              f"ELSE {x}.p END)")
         return assemble(f"{x}.s", f"{x}.n", p, f"{x}.q")
     asm = let(ws, lambda s: let(parts(s), reasm))
@@ -205,7 +242,7 @@ def resolve(base: str, href: str) -> str:
                 def with_rest(r):
                     rn = f"regexp_extract({r}, '^//([^/?#]*)', 1)"
                     no_auth = f"regexp_replace({r}, '^//[^/?#]*', '', 'g')"
-                    rp = f"regexp_replace(regexp_extract({no_auth}, '^([^?#]*)', 1), {q(EMPTY_PARAMS)}, '\\1')"
+                    rp = f"regexp_replace(regexp_extract({no_auth}, '^([^?#]*)', 1), {q(LAST_PARAMS)}, '\\1')"
                     rq = f"regexp_extract({no_auth}, '^[^?#]*\\?([^#]*)', 1)"
 
                     def merge(x):
@@ -227,10 +264,14 @@ def resolve(base: str, href: str) -> str:
 
 
 def hrefs(markup: str) -> str:
-    x = v()
+    a, x, n, z = v(), v(), v(), v()
+    names = f"regexp_extract_all({a}, {q(ATTRIBUTES)}, 1)"
+    values = f"regexp_extract_all({a}, {q(ATTRIBUTES)}, 2)"
+    at = f"list_position(list_transform({names}, lambda {n}: lower({n})), 'href')"
+    found = f"list_transform(regexp_extract_all({markup}, {q(ANCHORS)}, 0), lambda {a}: {values}[{at}])"
     unq = (f"CASE WHEN starts_with({x}, '\"') OR starts_with({x}, '''') THEN substring({x}, 2, length({x}) - 2) "
            f"ELSE {x} END")
-    return f"list_transform(regexp_extract_all({markup}, {q(HREF)}, 1), lambda {x}: {decode(unq)})"
+    return f"list_transform(list_filter({found}, lambda {z}: {z} <> ''), lambda {x}: {decode(unq)})"
 
 
 def links(markup: str, base: str) -> str:
