@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
     signed = staged(known.withColumn("copy", F.unhex(F.md5("text"))).mapInPandas(
         _buckets(bands, rows), "id long, copy binary, buckets array<long>"), "signatures")
-    heads = signed.groupBy("copy").agg(F.min("id").alias("id"))
+    # Written, so that the joins on it can be split where one text has very many copies.
+    heads = staged(signed.groupBy("copy").agg(F.min("id").alias("id")), "heads")
     members = staged(signed.join(heads, ["id", "copy"], "left_semi").select("id", F.explode("buckets").alias("bucket")), "members")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = staged(members.join(shared, "bucket"), "members")
