@@ -25,10 +25,10 @@ from ..operators import extract as X
 from ..operators.content import page_content
 from ..operators.dedupe import assign_groups, block_key, name_key
 from ..operators.scoring import score_columns
-from ..sources.pages import pages_normalised
+from ..sources.pages import pages_normalised, with_capture_status
 from ..sources.robots import robots_flag, robots_rules
 from ..sources.sinks import candidate_report, row_highlight, warnings_report
-from .derived import derived_edges, derived_robots, derived_targets
+from .derived import derived_captures, derived_edges, derived_robots, derived_targets
 from .job import run_job
 
 RUN_TS = _dt.datetime(2026, 1, 2, 3, 4, 5)
@@ -76,7 +76,8 @@ def _job(spark, sf, variant="main"):
         cfg = TEST.with_(max_pages=CAP_SMALL) if variant == "limit4" else TEST
         detail = _emptied_detail(pages) if variant == "fallback" else None
         robots = derived_robots(pages) if variant == "robots" else None
-        return run_job(targets, pages, cfg, edges=derived_edges(pages), detail_pages=detail, robots=robots,
+        captures = derived_captures(pages) if variant == "robots" else pages
+        return run_job(targets, captures, cfg, edges=derived_edges(pages), detail_pages=detail, robots=robots,
                        run_ts=RUN_TS, end_ts=RUN_TS)
     return _memoised(spark, sf, ("job", variant), build)
 
@@ -97,6 +98,10 @@ def q_pages_normalised(spark, sf):
     return pages_normalised(_read(spark, sf, "pages")).select("url", "page_id")
 
 
+def q_captures(spark, sf):
+    return with_capture_status(derived_captures(_read(spark, sf, "pages"))).select("page_id", "failure", "is_html")
+
+
 def q_page_text(spark, sf):
     return page_content(_read(spark, sf, "pages"), with_links=False).select("page_id", "title", "text")
 
@@ -276,7 +281,7 @@ def q_robots_gate(spark, sf):
 
 
 QUERIES = {
-    "pages_normalised": q_pages_normalised, "page_text": q_page_text, "page_heading": q_page_heading,
+    "pages_normalised": q_pages_normalised, "captures": q_captures, "page_text": q_page_text, "page_heading": q_page_heading,
     "page_links": q_page_links, "page_scores": q_page_scores, "url_skip": q_url_skip,
     "frontier_filter": q_frontier_filter, "domain_allowed": q_domain_allowed, "targets_clean": q_targets_clean,
     "pages_per_target": q_pages_per_target, "programme_name": q_programme_name, "first_match": q_first_match,

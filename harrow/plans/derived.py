@@ -15,7 +15,23 @@ from ..sources.targets import clean_targets, targets_from_pages
 
 
 def derived_targets(pages: DataFrame) -> DataFrame:
-    return clean_targets(targets_from_pages(pages), validate=False)
+    """One target per site; every third leaves its domain blank, with blanks around the name, as a file may."""
+    raw = targets_from_pages(pages)
+    third = F.col("target_idx") % 3 == 1
+    return clean_targets(raw.withColumn("allowed_domain", F.when(third, F.lit(" ")).otherwise(F.col("allowed_domain")))
+                         .withColumn("name", F.when(third, F.concat(F.lit(" "), F.col("name"), F.lit("\t"))).otherwise(F.col("name"))),
+                         validate=False)
+
+
+def derived_captures(pages: DataFrame) -> DataFrame:
+    """Captures with a status, a content type and an error text, by rule on ``page_id``."""
+    i = F.col("page_id")
+    return pages.withColumns({
+        "status": F.when(i % 11 == 5, F.lit(404)).when(i % 13 == 6, F.lit(503)).otherwise(F.lit(200)),
+        "content_type": F.when(i % 7 == 3, F.lit("application/pdf")).when(i % 5 == 1, F.lit("Application/XHTML+xml"))
+        .when(i % 17 == 2, F.lit(None).cast("string")).otherwise(F.lit("text/html; charset=utf-8")),
+        "error": F.when(i % 13 == 6, F.lit("503 Server Error")),
+    })
 
 
 def derived_edges(pages: DataFrame, fanout: int = 3) -> DataFrame:

@@ -10,6 +10,14 @@ from .catalog import CAP_SMALL, PROG_COLS, RUN_DATE, RUN_TS
 q = O.q
 
 
+STATUS = "(CASE WHEN page_id % 11 = 5 THEN 404 WHEN page_id % 13 = 6 THEN 503 ELSE 200 END)"
+KIND = ("(CASE WHEN page_id % 7 = 3 THEN 'application/pdf' WHEN page_id % 5 = 1 THEN 'Application/XHTML+xml' "
+        "WHEN page_id % 17 = 2 THEN NULL ELSE 'text/html; charset=utf-8' END)")
+FAILURE = f"(CASE WHEN page_id % 13 = 6 THEN '503 Server Error' WHEN {STATUS} >= 400 THEN 'HTTP status ' || {STATUS} END)"
+IS_HTML = (f"({FAILURE} IS NULL AND (contains(lower(coalesce({KIND}, '')), 'text/html') "
+           f"OR contains(lower(coalesce({KIND}, '')), 'application/xhtml')))")
+
+
 def _content_cte(src: str = "pages", name: str = "content") -> str:
     """Parsed + scored pages, URL normalised (all rows of ``src``)."""
     sc = O.score_cols("title", "url", "text", TEST)
@@ -29,8 +37,9 @@ def _targets_cte() -> str:
     return f"""
 sites AS (SELECT site, min(url) AS seed_url FROM (SELECT url, lower({O.part(nurl, 2)}) AS site,
     {O.scheme(nurl)} AS sch FROM pages) WHERE sch IN ('http', 'https') GROUP BY site),
-targets_raw AS (SELECT (row_number() OVER (ORDER BY site) - 1)::BIGINT AS target_idx, 'Site ' || site AS name,
-    'Testland' AS country, seed_url, {O.normalise_domain('seed_url')} AS allowed_domain, '' AS notes FROM sites),
+targets_raw AS (SELECT n AS target_idx, CASE WHEN n % 3 = 1 THEN ' Site ' || site || chr(9) ELSE 'Site ' || site END AS name,
+    'Testland' AS country, seed_url, CASE WHEN n % 3 = 1 THEN ' ' ELSE {O.normalise_domain('seed_url')} END AS allowed_domain, '' AS notes
+    FROM (SELECT *, (row_number() OVER (ORDER BY site) - 1)::BIGINT AS n FROM sites)),
 targets AS (SELECT target_idx, coalesce({O.ustrip('name')}, '') AS name, coalesce({O.ustrip('country')}, '') AS country,
     coalesce({O.ustrip('seed_url')}, '') AS seed_url,
     CASE WHEN coalesce({O.ustrip('allowed_domain')}, '') <> '' THEN {O.ustrip('allowed_domain')}
@@ -70,7 +79,7 @@ pages_emptied AS (SELECT p.page_id, p.url, CASE WHEN s.rk % 3 = 0 THEN '' ELSE p
     for depth in range(1, C.CRAWL_DEPTH_LIMIT + 1):
         levels.append(f"""
 par{depth} AS (SELECT v.target_idx, v.domain, v.url, v.visit_rank AS parent_rank, c.links
-    FROM {prev_lvl} v JOIN jc c ON v.url = c.url{f" WHERE {_allowed('v.')}" if robots else ""}),
+    FROM {prev_lvl} v JOIN jc c ON v.url = c.url WHERE c.is_html{f" AND {_allowed('v.')}" if robots else ""}),
 fr{depth} AS (SELECT target_idx, domain, parent_rank, unnest(list_filter(links, lambda {l}: {enq_l})) AS url FROM par{depth}
     UNION ALL SELECT p.target_idx, p.domain, p.parent_rank, e.dst AS url FROM par{depth} p JOIN edges e ON p.url = e.src
     WHERE {enq_e}),
@@ -101,7 +110,8 @@ vis{depth} AS (SELECT * FROM {prev_vis} UNION ALL SELECT * FROM v{depth})""")
 scope_keys AS (SELECT DISTINCT c.url, c.page_id FROM content c, (SELECT DISTINCT {O.normalise_domain('allowed_domain')} AS d FROM targets) t
     WHERE {O.scheme('c.url')} IN ('http', 'https') AND {O.host_suffix_match(f"regexp_replace({O.host('c.url')}, '^www\\.', '', 'g')", 't.d')}),
 winners AS (SELECT url, min(page_id) AS page_id FROM scope_keys GROUP BY url),
-jc AS (SELECT c.* FROM content c JOIN winners w ON c.url = w.url AND c.page_id = w.page_id),
+jc AS (SELECT c.*, {FAILURE.replace('page_id', 'c.page_id') if robots else 'NULL'} AS failure,
+    {IS_HTML.replace('page_id', 'c.page_id') if robots else 'TRUE'} AS is_html FROM content c JOIN winners w ON c.url = w.url AND c.page_id = w.page_id),
 dscope AS (SELECT DISTINCT c.url, c.page_id FROM {detail_src} c, (SELECT DISTINCT {O.normalise_domain('allowed_domain')} AS d FROM targets) t
     WHERE {O.scheme('c.url')} IN ('http', 'https') AND {O.host_suffix_match(f"regexp_replace({O.host('c.url')}, '^www\\.', '', 'g')", 't.d')}),
 dwin AS (SELECT url, min(page_id) AS page_id FROM dscope GROUP BY url),
@@ -111,7 +121,8 @@ v0 AS (SELECT target_idx, domain, url, 0 AS depth, 1 AS visit_rank FROM tt WHERE
 vis0 AS (SELECT * FROM v0),{','.join(levels)},
 visits AS (SELECT * FROM {prev_vis}),
 outcomes AS (SELECT v.*, c.page_id, c.title, c.candidate_score, c.matched_keywords, c.candidate_type, c.reason,
-    {_allowed('v.') if robots else 'TRUE'} AS allowed, c.page_id IS NOT NULL AND {_allowed('v.') if robots else 'TRUE'} AS fetched
+    {_allowed('v.') if robots else 'TRUE'} AS allowed, c.page_id IS NOT NULL AS captured, c.failure,
+    coalesce(c.is_html, FALSE) AND {_allowed('v.') if robots else 'TRUE'} AS fetched
     FROM visits v LEFT JOIN jc c ON v.url = c.url),
 cands AS (SELECT o.target_idx, t.name AS university_name, t.country, o.url, o.title AS page_title, o.candidate_score,
     o.matched_keywords, o.candidate_type, o.reason, 'Yes' AS needs_review, o.visit_rank,
@@ -152,8 +163,9 @@ marked AS (SELECT * EXCLUDE (review_status, nkey, ukey, bnet, bpath, elig, leade
     CASE WHEN gsize > 1 THEN printf('DUP-%03d', group_no) ELSE '' END AS duplicate_group,
     CASE WHEN gsize = 1 THEN 'Unique' WHEN row_idx = leader THEN 'Primary' ELSE 'Duplicate' END AS duplicate_status,
     CASE WHEN gsize > 1 AND row_idx <> leader THEN 'Needs human review' ELSE review_status END AS review_status FROM rows4),
-warn AS (SELECT o.target_idx, 1 AS phase, o.visit_rank AS rnk, t.name || ': ' || o.url || ': page not captured' AS text
-    FROM outcomes o JOIN targets t ON o.target_idx = t.target_idx WHERE NOT o.fetched AND o.allowed
+warn AS (SELECT o.target_idx, 1 AS phase, o.visit_rank AS rnk, t.name || ': ' || o.url || ': ' ||
+    CASE WHEN o.captured THEN o.failure ELSE 'page not captured' END AS text
+    FROM outcomes o JOIN targets t ON o.target_idx = t.target_idx WHERE o.allowed AND (NOT o.captured OR o.failure IS NOT NULL)
     UNION ALL SELECT r.target_idx, 2, r.candidate_rank, t.name || ': extraction failed for ' || r.url || ': page not captured'
     FROM reads r JOIN targets t ON r.target_idx = t.target_idx WHERE NOT r.read_ok
     UNION ALL SELECT t.target_idx, 0, 0, t.name || ': seed skipped: ' || t.seed_url || ' is not in the allowed domain or is on the skip list'
@@ -180,6 +192,7 @@ def build() -> dict[str, str]:
     cnt = _content_cte()
     out["pages_normalised"] = (f"SELECT url, min(page_id) AS page_id FROM (SELECT page_id, {O.normalise_url('url')} AS url "
                                f"FROM pages) GROUP BY url")
+    out["captures"] = f"SELECT page_id, {FAILURE} AS failure, {IS_HTML} AS is_html FROM pages"
     raw_text = f"""WITH l AS (SELECT page_id, html, {O.lexical('html')} AS lex FROM pages),
 c AS (SELECT *, {O.cleaned('lex')} AS clean FROM l)"""
     out["page_text"] = raw_text + f"\nSELECT page_id, {O.title_text(O.inner('clean', 'title'))} AS title, {O.markup_text('clean')} AS text FROM c"
