@@ -63,7 +63,11 @@ def derived_robots(pages: DataFrame) -> DataFrame:
     body = F.concat(
         F.lit("# robots\nUser-agent: OtherBot\nDisallow: /\n\nUser-agent: *\nAllow: "), F.col("first_sec"),
         F.lit("\nDisallow: "), F.col("last_sec"), F.lit("\n"))
+    # Every fourth file: an orphan rule, agents in a row, comments, other directives, blank lines, rules after the default group.
+    several = F.concat(
+        F.lit("Disallow: /orphan\n\nUser-agent: OtherBot\nUser-agent: HARROW # this one\nCrawl-delay: 3\nDisallow: "), F.col("last_sec"),
+        F.lit(" # note\nAllow: "), F.col("first_sec"), F.lit("\nSitemap: https://x.test/s\n\n\nUser-agent: *\nDisallow: /\nUser-agent: late\nAllow: /\n"))
     return tsite.join(per_site, "site").select(
         "target_idx",
         F.when(F.col("target_idx") % 5 == 4, F.lit(404)).otherwise(F.lit(200)).alias("status"),
-        body.alias("body"))
+        F.when(F.col("target_idx") % 4 == 1, several).otherwise(body).alias("body"))

@@ -293,6 +293,10 @@ def _robots_ctes() -> str:
     sec = f"regexp_extract({nurl}, '^[a-z]+://[^/]+(/[^/?#]*)', 1)"
     body = ("'# robots' || chr(10) || 'User-agent: OtherBot' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || "
             "'User-agent: *' || chr(10) || 'Allow: ' || first_sec || chr(10) || 'Disallow: ' || last_sec || chr(10)")
+    n = "' || chr(10) || '"
+    several = (f"'Disallow: /orphan{n}{n}User-agent: OtherBot{n}User-agent: HARROW # this one{n}Crawl-delay: 3{n}Disallow: ' || last_sec || "
+               f"' # note{n}Allow: ' || first_sec || '{n}Sitemap: https://x.test/s{n}{n}{n}User-agent: *{n}Disallow: /{n}User-agent: late{n}Allow: /{n}'")
+    body = f"CASE WHEN target_idx % 4 = 1 THEN {several} ELSE {body} END"
     token = TEST.user_agent.split("/")[0].lower()
     stripped = "trim(regexp_replace(regexp_replace(raw, '#.*$', ''), '^\\s+|\\s+$', '', 'g'))"
     return f"""
