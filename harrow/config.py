@@ -83,6 +83,7 @@ IMPORTANT_REVIEW_FIELDS = [
 FALLBACK_MISSING = ["Programme Dates", "Application Deadline", "Programme Fee", "Housing", "Eligibility"]
 #: Name that robots rules are matched with; a job passes its own.
 USER_AGENT = "harrow"
+MALFORMED = "Invalid IPv6 URL"
 INPUT_COLUMNS = ["University Name", "Country", "Seed URL", "Allowed Domain", "Notes"]
 CANDIDATE_COLUMNS = [
     "University Name", "Country", "URL", "Page Title", "Candidate Score",

@@ -121,6 +121,12 @@ def _skip_lower(low: Column, cfg) -> Column:
     return cond
 
 
+def well_formed(u: Column) -> Column:
+    """Whether a URL can be split: the brackets of its host, if any, are closed."""
+    net = netloc(u)
+    return F.when(u.contains("[") | u.contains("]"), net.contains("[") == net.contains("]")).otherwise(F.lit(True))
+
+
 def slash_count(u: Column) -> Column:
     return F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit("")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.urls import normalise_url, resolve
+from ..functions.urls import normalise_url, resolve, well_formed
 
 ANCHOR = rf"(?i)<a\s{T.IN_TAG}>"
 # The first attribute named href: others before it are stepped over whole.
@@ -26,8 +26,8 @@ def hrefs(markup: Column) -> Column:
         F.when(v.startswith('"') | v.startswith("'"), F.substring(v, 2, F.length(v) - 2)).otherwise(v)))
 
 
-def links(markup: Column, base: Column) -> Column:
-    """Resolved, normalised, distinct, code-point-sorted links of ``a[href]``."""
+def all_links(markup: Column, base: Column) -> Column:
+    """Resolved, normalised, distinct, code-point-sorted links of ``a[href]``, malformed ones too."""
     resolved = F.transform(hrefs(markup), lambda h: normalise_url(resolve(base, h)))
     return F.array_sort(F.array_distinct(resolved))
 
@@ -39,7 +39,9 @@ def heading(lexical: Column) -> Column:
 
 
 def page_content(pages: DataFrame, with_links: bool = True) -> DataFrame:
-    """``pages(url, html, ...)`` -> adds ``title, heading, text[, links]``.
+    """``pages(url, html, ...)`` -> adds ``title, heading, text[, links, bad_link]``.
+
+    Links that cannot be split as URLs are left out and noted in ``bad_link``.
 
     ``html`` is dropped so that everything downstream carries only the narrow
     derived columns.
@@ -51,8 +53,11 @@ def page_content(pages: DataFrame, with_links: bool = True) -> DataFrame:
         "title": T.title_text(T.element_inner(F.col("_clean"), "title")),
         "heading": heading(F.col("_lex")),
         "text": T.markup_text(F.col("_clean")),
-        "links": links(F.col("_clean"), F.col("url")),
+        "links": all_links(F.col("_clean"), F.col("url")),
     })
     cols = ["title", "heading", "text"] + (["links"] if with_links else [])
     out = staged.select("*", *[exprs[c].alias(c) for c in cols])
+    if with_links:
+        out = out.withColumn("bad_link", F.exists("links", lambda u: ~well_formed(u))) \
+            .withColumn("links", F.when(F.col("bad_link"), F.filter("links", well_formed)).otherwise(F.col("links")))
     return out.drop("_lex", "_clean", "html")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, MiningConfig
+from ..config import DEFAULT, MALFORMED, MiningConfig
 from ..functions.ordinal import grouped_ordinal
 from ..functions.staging import staged
 from ..operators.content import page_content
@@ -96,6 +96,7 @@ def run_job(targets: DataFrame, pages: DataFrame, cfg: MiningConfig = DEFAULT, *
     A target whose seed URL is malformed is skipped with a warning.  With
     ``strict`` it ends the run instead: targets before it are processed, the run
     log says ``Failed`` and why, and the tables hold what was found until then.
+    A malformed link is left out; with ``strict`` its page counts as a failed read.
     """
     run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     start = F.lit(run_ts).cast("timestamp")
@@ -113,6 +114,10 @@ def run_job(targets: DataFrame, pages: DataFrame, cfg: MiningConfig = DEFAULT, *
             tried = targets.filter(F.col("target_idx") <= first[0]["target_idx"])
     good = tried.join(faults, "target_idx", "left_anti")
     content = parsed_content(pages, good, cfg)
+    if strict:
+        # A page with a malformed link is lost as a failed read.
+        content = content.withColumn("failure", F.when(F.col("is_html") & F.col("bad_link"), F.lit(MALFORMED)).otherwise(F.col("failure"))) \
+            .withColumn("is_html", F.col("is_html") & ~F.col("bad_link"))
     rules = cp(robots_rules(robots, cfg), "rules") if robots is not None else None
     visits = crawl_visits(good, content, cfg, edges=edges, robots=rules, checkpoint=checkpoint)
     outcomes = cp(visit_outcomes(visits, content, rules, cfg).drop("links"), "outcomes")

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import INPUT_COLUMNS
+from ..config import INPUT_COLUMNS, MALFORMED
 from ..functions.ordinal import bucket_ordinal, range_ordinal
 from ..functions.staging import staged
 from ..functions.text import ustrip
-from ..functions.urls import netloc, normalise_domain, normalise_url, scheme
+from ..functions.urls import netloc, normalise_domain, normalise_url, scheme, well_formed
 
 TARGET_SCHEMA = "target_idx long, name string, country string, seed_url string, allowed_domain string, notes string"
 
@@ -81,9 +81,7 @@ def targets_from_pages(pages: DataFrame) -> DataFrame:
 
 def seed_faults(targets: DataFrame) -> DataFrame:
     """``(target_idx, fault)`` of targets whose seed cannot be split as a URL (unbalanced brackets in its host)."""
-    net = netloc(normalise_url(F.col("seed_url")))
-    opened, closed = F.instr(net, "[") > 0, F.instr(net, "]") > 0
-    return targets.filter(opened != closed).select("target_idx", F.lit("Invalid IPv6 URL").alias("fault"))
+    return targets.filter(~well_formed(normalise_url(F.col("seed_url")))).select("target_idx", F.lit(MALFORMED).alias("fault"))
 
 
 def target_domains(targets: DataFrame) -> DataFrame:

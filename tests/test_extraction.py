@@ -109,6 +109,15 @@ def test_strict_runs_end_at_a_malformed_target(spark):
     assert job(spark, PAGES, strict=True).run_log.first()["errors"] == ""
 
 
+def test_malformed_links(spark):
+    pages = [(SITE, HOME), (f"{SITE}/short/winter", COURSE + "<a href='http://[bad/'>x</a><a href='/short/more'>y</a>")]
+    kept = job(spark, pages)
+    assert f"{SITE}/short/more" in {r["url"] for r in kept.visits.collect()} and kept.programmes.count() == 1
+    lost = job(spark, pages, strict=True)
+    assert lost.programmes.count() == 0 and lost.run_log.first()["status"] == "Completed with warnings"
+    assert f"North College: {SITE}/short/winter: Invalid IPv6 URL" in {r["text"] for r in lost.warnings.collect()}
+
+
 def test_captures_that_agree_in_address_and_id_count_once(spark):
     twice = spark.createDataFrame([(1, SITE, HOME), (1, SITE, HOME), (2, f"{SITE}/short/winter", COURSE), (2, f"{SITE}/short/winter/", COURSE)],
                                   "page_id long, url string, html string")
