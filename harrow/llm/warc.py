@@ -19,7 +19,8 @@ to it; payloads below ``min_revisit`` bytes are always responses.
 
 Defined cases: a null html is an empty payload; a null page_id counts as the
 smallest, and among equal rows with equal ids exactly one is the response; a
-null url is written as an empty target; an empty table gives no records.
+null url is written as an empty target; an empty table gives no records.  The pages
+are read twice and have to come in the same order, as those of a stored table do.
 """
 from __future__ import annotations
 
