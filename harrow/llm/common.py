@@ -1,13 +1,16 @@
 """Helpers shared by the corpus operators: staging, row keys, connected components."""
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import member_test, scratch, staged
 
-__all__ = ["components", "crc_mod", "fresh", "member_test", "mix64", "read", "runs", "scratch", "staged", "text_of"]
+__all__ = ["components", "crc_mod", "fresh", "member_test", "mix64", "read", "runs", "scratch", "staged", "text_of",
+           "trim"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +62,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as a worker that is kept for later tasks would hold its peak."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` -> ``(id, component)``.
 
