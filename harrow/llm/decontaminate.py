@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, runs, text_of
+from .common import fresh, runs, text_of, trim
 
 BASE = np.uint64(0x100000001B3)
 BITS = 22
@@ -205,8 +205,9 @@ def _leaks(index):
     def leaks(column: pd.Series) -> pd.Series:
         texts = [normal(x) for x in column]
         got: list = []
-        for part in runs([len(t) for t in texts], 1_000_000):
+        for part in runs([len(t) for t in texts], 500_000):
             got += matches(texts[part], index.value)
+        trim()
         return pd.Series(got, dtype=object)
 
     return leaks

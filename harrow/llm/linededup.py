@@ -27,10 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, member_test, mix64, runs, staged
+from .common import fresh, member_test, mix64, runs, staged, trim
 
 CONTEXT = 8
-SUB_BATCH = 1_000_000
+SUB_BATCH = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,6 +128,7 @@ def _chunk_rows(divisor: int, seeds: int, min_lines: int):
                     frames.append(pd.DataFrame({"did": ids[part][doc[a]], "tx": tx[part][doc[a]], "line": a - lines.first[doc[a]],
                                                 "n": size, "h": h.view(np.int64)}))
                 yield pd.concat(frames).drop_duplicates(["did", "tx", "line", "n", "h"])
+        trim()
     return run
 
 
@@ -150,6 +151,7 @@ def _firsts(batches):
             for r in refs:
                 out.append((r["h"], *_piece(lines, text, r["line"], r["n"])))
         yield pd.DataFrame(out, columns=["h", "chunk", "before", "after"])
+    trim()
 
 
 def cuts(text: str, refs, min_words: int) -> list[tuple[int, int]]:

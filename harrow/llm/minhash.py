@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, fresh, member_test, mix64, staged, text_of
+from .common import components, fresh, member_test, mix64, staged, text_of, trim
 
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -127,6 +127,7 @@ def _buckets(bands: int, rows: int):
                     h = mix64(h * _A + s[:, c])
                 out.append(mix64(h + np.arange(bands, dtype=np.uint64) * _B).view(np.int64))
             yield pd.DataFrame({"id": b["id"], "copy": b["copy"], "buckets": out})
+        trim()
     return run
 
 
@@ -221,6 +222,7 @@ def _compare(threshold: float):
                 last = key
         if held and (out := flush()) is not None:
             yield out
+        trim()
     return run
 
 

@@ -31,12 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, staged, text_of
+from .common import fresh, staged, text_of, trim
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-CACHE = 400_000
+CACHE = 250_000
 # How the tokenizer cuts a text, for Latin letters (its rule for others is left to it).
 LATIN = "a-zªµºß-öø-ſ"
 TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9²³¹¼½¾]|[^\\s{LATIN}0-9²³¹¼½¾]+")
@@ -103,6 +103,7 @@ def _pieces(name: str, capacity: int):
             ids = words.encode(text) + tail
             cut = [ids[k:k + 4 * capacity] for k in range(0, len(ids), 4 * capacity)]
             out.append([(len(c) // 4, zlib.crc32(c)) for c in cut])
+        trim()
         return pd.Series(out, dtype=object)
 
     return pieces
