@@ -1,7 +1,6 @@
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from harrow.llm import decontaminate, tokencount, toxicity
