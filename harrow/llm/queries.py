@@ -80,6 +80,17 @@ ORACLES = {
             CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to, url
         FROM p JOIN b USING (h)""",
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        usable AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+            AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+            AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        least_of AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+        n AS (SELECT x, count(*) AS k FROM links GROUP BY x)
+        SELECT v.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, m AS component_id, v.vec_id = m AS kept
+        FROM v JOIN least_of ON least_of.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id""",
     # The pages hold one article each, of headings and paragraphs; their references are &amp and &quot, some cut short.
     "op10_html_text": r"""
         WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages),
