@@ -1,25 +1,35 @@
-"""Repeated passages: content-defined chunks of lines, removed after byte comparison.
+"""Repeated passages: content-defined chunks of lines and windows of words, removed after comparison.
 
 A line starts after a line break, after the end of a sentence, and at a
 capitalised word, so that a passage pasted into the middle of a paragraph has
 line starts of its own.  A rolling hash over two neighbouring line hashes
 chooses the chunk boundaries: there is one where the two lines before it or the
 two lines after it hash to zero modulo ``divisor``, so boundaries depend on
-nearby lines alone and survive shifts.  This is done for a few ``seeds``.
-
-Chunks of several lines that occur more than once in the whole corpus are
-repeated.  The first occurrence, in the order of (doc_id, place), stays.  Every
-later one is compared with it byte by byte (white space runs count as one
-space), extended over equal neighbouring lines, and cut out where the joined
-cuts of a document have at least ``min_words`` words.
+nearby lines alone and survive shifts.  This is done for ``seeds`` choices.
+
+Whole chunks don't lie inside every short passage, so windows of ``GRAM`` words
+are candidates as well: of every ``GRAM`` neighbouring windows the one with the
+least hash (winnowing).  Every passage of ``2 * GRAM - 1`` = 49 words so holds a
+window that is chosen wherever the passage stands, with or without lines, and in
+longer passages the chosen windows leave no word between them.
+
+Chunks of several lines, and windows, that occur more than once in the whole
+corpus are repeated.  The first occurrence, in the order of (doc_id, place),
+stays.  Every later one is compared with it word by word (white space runs count
+as one space) and extended over equal words, up to ``CONTEXT`` beyond its block, as
+longer equal runs hold a window of their own.  It is cut out where the joined
+cuts of a document have at least ``min_words`` words.  First occurrences travel in
+blocks of ``BLOCK`` words, each once for every document that repeats some of it.
 
 Defined cases: null texts stay null and empty ones empty; a null doc_id counts
-as the largest id; rows that agree in doc_id and text share one decision; the
-rows and all other columns stay as they are, only ``text`` changes (and
-``n_chars``, where there is such a column).
+as the largest id; rows that agree in doc_id and text share one decision; of a
+passage that overlaps its own copy the first occurrence stays whole; the rows
+and all other columns stay as they are, only ``text`` changes (and ``n_chars``,
+where there is such a column).
 """
 from __future__ import annotations
 
+import re
 import sys
 
 import numpy as np
@@ -29,9 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh, member_test, mix64, runs, staged, trim
 
-CONTEXT = 8
+GRAM = 25
+CONTEXT, BLOCK = 2 * GRAM - 2, 128
 SUB_BATCH = 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _table(test) -> np.ndarray:
@@ -48,44 +60,67 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
+    """``op`` over every ``width`` neighbours."""
+    size = 1
+    while 2 * size <= width:
+        x = op(x[:-size], x[size:])
+        size *= 2
+    return op(x[:size - width], x[width - size:]) if size < width else x
+
+
 class Lines:
-    """Lines of several texts: ``start``, ``end`` (without trailing space), ``hash``, ``words``; ``first`` of each text."""
+    """Lines of several texts: ``start``, ``hash``, ``words``; ``first`` of each text.
+
+    ``word`` are the hashes of all words, ``first_word`` the first of each text and ``at`` that of each line.
+    """
 
     def __init__(self, texts: list[str]):
         c = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(c, 0x10000)
         self.offset = np.cumsum([0] + [len(t) + 1 for t in texts])
         solid = ~SPACE[at]
-        start = solid.copy()
-        if len(c):
-            before = np.r_[True, ~solid[:-1]]
-            ended = np.r_[False, False, END[at[:-2]]] if len(c) > 1 else np.zeros(len(c), bool)
-            start &= before & (UPPER[at] | ended)
-            # First solid character after a line break.
-            breaks = np.flatnonzero(c == 10)
-            full = np.flatnonzero(solid)
-            after = np.searchsorted(full, np.r_[0, breaks])
-            start[full[after[after < len(full)]]] = True
-        self.start = np.flatnonzero(start)
-        n = len(self.start)
+        begin = np.flatnonzero(solid & np.r_[True, ~solid[:-1]]) if len(c) else np.empty(0, np.int64)
+        self.first_word = np.searchsorted(begin, self.offset)
+        n = len(begin)
         if not n:
-            self.end = self.hash = self.words = np.empty(0, np.int64)
+            self.start = self.hash = self.words = self.word = self.at = np.empty(0, np.int64)
             self.first = np.zeros(len(texts) + 1, np.int64)
             return
-        full = np.flatnonzero(solid)
-        stop = np.r_[self.start[1:], len(c)]
-        self.end = full[np.searchsorted(full, stop) - 1] + 1
-        size = self.end - self.start
-        inside = np.arange(len(c)) - np.repeat(self.start, np.diff(np.r_[self.start, len(c)]))[:len(c)] \
-            if self.start[0] == 0 else np.r_[np.zeros(self.start[0], np.int64),
-                                             np.arange(self.start[0], len(c)) - np.repeat(self.start, stop - self.start)]
-        weight = powers(int(inside.max()) + 1)[inside]
-        value = np.where(solid, c.astype(np.uint64) + np.uint64(7), np.uint64(0)) * weight
-        self.hash = mix64(np.add.reduceat(value, self.start) + size.astype(np.uint64) * _P)
-        begins = solid & np.r_[True, ~solid[:-1]]
-        self.words = np.add.reduceat(begins.astype(np.int64), self.start)
+        # A word starts a line if it is capitalised, follows the end of a sentence or is the first after a line break.
+        starts = UPPER[at[begin]]
+        starts[1:] |= END[at[begin[1:] - 2]]
+        after = np.searchsorted(begin, np.r_[0, np.flatnonzero(c == 10)])
+        starts[after[after < n]] = True
+        size = np.diff(np.r_[begin, len(c)])
+        inside = np.arange(begin[0], len(c)) - np.repeat(begin, size)
+        value = np.where(solid[begin[0]:], c[begin[0]:].astype(np.uint64) + np.uint64(7), np.uint64(0))
+        value *= powers(int(size.max()))[inside]
+        self.word = mix64(np.add.reduceat(value, begin - begin[0]))
+        self.at = np.flatnonzero(starts)
+        self.start = begin[self.at]
+        self.words = np.diff(np.r_[self.at, n])
+        inside = np.arange(n) - np.repeat(self.at, self.words)
+        self.hash = mix64(np.add.reduceat(self.word * powers(int(self.words.max()))[inside], self.at) + self.words.astype(np.uint64) * _P)
         self.first = np.searchsorted(self.start, self.offset)
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of the chosen windows of words."""
+        n = len(self.word) - GRAM + 1
+        if n < 1:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        total = np.r_[np.uint64(0), np.cumsum(self.word * powers(len(self.word)), dtype=np.uint64)]
+        back = np.full(n, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)
+        back[0] = 1
+        h = np.minimum(mix64((total[GRAM:] - total[:-GRAM]) * np.multiply.accumulate(back)), _NONE - np.uint64(1))
+        stop = np.repeat(self.first_word[1:], np.diff(self.first_word))
+        whole = np.arange(n) + GRAM <= stop[:n]
+        h[~whole] = _NONE
+        edge = np.full(GRAM - 1, _NONE, np.uint64)
+        least = sliding(np.minimum, np.r_[edge, h, edge], GRAM)
+        at = np.flatnonzero(whole & (sliding(np.maximum, least, GRAM) == h))
+        return at, h[at]
+
     def chunks(self, seed: int, divisor: int) -> np.ndarray:
         """Whether a chunk starts at each line."""
         h, n = self.hash, len(self.start)
@@ -114,8 +149,8 @@ def _chunk_rows(divisor: int, seeds: int, min_lines: int):
                 n = len(lines.start)
                 if not n:
                     continue
-                doc = np.searchsorted(lines.first, np.arange(n), "right") - 1
-                frames = []
+                at, h = lines.windows()
+                frames = [(at, np.full(len(at), GRAM), h)]
                 for seed in range(seeds):
                     at = np.flatnonzero(lines.chunks(seed, divisor))
                     stop = np.r_[at[1:], n]
@@ -124,57 +159,58 @@ def _chunk_rows(divisor: int, seeds: int, min_lines: int):
                     index = np.arange(n) - np.repeat(at, size)
                     value = mix64(lines.hash + index.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
                     h = mix64(np.add.reduceat(value, at) + size.astype(np.uint64))
-                    a, size, h = at[keep], size[keep], h[keep]
-                    frames.append(pd.DataFrame({"did": ids[part][doc[a]], "tx": tx[part][doc[a]], "line": a - lines.first[doc[a]],
-                                                "n": size, "h": h.view(np.int64)}))
-                yield pd.concat(frames).drop_duplicates(["did", "tx", "line", "n", "h"])
+                    words = np.add.reduceat(lines.words, at)
+                    frames.append((lines.at[at[keep]], words[keep], h[keep]))
+                word, size, h = (np.concatenate(x) for x in zip(*frames))
+                doc = np.searchsorted(lines.first_word, word, "right") - 1
+                out = pd.DataFrame({"did": ids[part][doc], "tx": tx[part][doc], "word": word - lines.first_word[doc],
+                                    "n": size, "h": h.view(np.int64)})
+                yield out.drop_duplicates(["did", "tx", "word", "n", "h"]) if seeds > 1 else out
         trim()
     return run
 
 
-def _spaced(text: str) -> str:
-    return " ".join(text.split())
-
-
-def _piece(lines: Lines, text: str, line: int, n: int):
-    a, z = lines.start[line], lines.end[line + n - 1]
-    h = lines.hash.view(np.int64)
-    return _spaced(text[a:z]), h[max(0, line - CONTEXT):line][::-1].tolist(), h[line + n:line + n + CONTEXT].tolist()
-
-
-def _firsts(batches):
-    """Text and neighbouring line hashes of the first occurrences in each document."""
+def _pieces(batches):
+    """The words of blocks of the first occurrences, with those around them."""
     for b in batches:
-        out: list[tuple] = []
-        for text, refs in zip(b["text"], b["refs"]):
-            lines = Lines([text])
-            for r in refs:
-                out.append((r["h"], *_piece(lines, text, r["line"], r["n"])))
-        yield pd.DataFrame(out, columns=["h", "chunk", "before", "after"])
-    trim()
+        texts = b["text"].tolist()
+        for part in runs([len(t) for t in texts], SUB_BATCH):
+            out: list[tuple] = []
+            for did, tx, text, blocks in zip(b["fdid"][part], b["ftx"][part], texts[part], b["blocks"][part]):
+                words = text.split()
+                out += [(did, tx, k, " ".join(words[max(0, k * BLOCK - CONTEXT):(k + 1) * BLOCK + CONTEXT])) for k in blocks]
+            yield pd.DataFrame(out, columns=["fdid", "ftx", "block", "piece"])
+        trim()
 
 
 def cuts(text: str, refs, min_words: int) -> list[tuple[int, int]]:
-    """Character ranges of ``text`` to cut, from references to equal earlier chunks."""
-    lines = Lines([text])
-    h = lines.hash.view(np.int64)
-    drop = np.zeros(len(lines.start), bool)
+    """Character ranges of ``text`` to cut, from references to equal earlier words.
+
+    A reference is a text of six numbers and the words of a block of an earlier text, with those around it: by how many
+    words the copy lies further on, the block, where in the earlier text the repeated words begin and end, how many of them
+    go together at least, and whether the copy lies so near to what it copies that it isn't extended.
+    """
+    words = text.split()
+    drop = np.zeros(len(words), bool)
     for r in refs:
-        a, z = r["line"], r["line"] + r["n"]
-        if _spaced(text[lines.start[a]:lines.end[z - 1]]) != r["chunk"]:
-            continue
-        for x in r["before"]:
-            if a == 0 or h[a - 1] != x:
-                break
-            a -= 1
-        for x in r["after"]:
-            if z == len(h) or h[z] != x:
-                break
-            z += 1
-        drop[a:z] = True
+        piece = r.split(" ")
+        shift, block, a, z, least, near = map(int, piece[:6])
+        del piece[:6]
+        zero = max(0, block * BLOCK - CONTEXT, -shift)
+        del piece[:zero - max(0, block * BLOCK - CONTEXT)]
+        same = np.fromiter(map(str.__eq__, piece, words[zero + shift:]), bool)
+        if near:
+            same[:a - zero] = same[z - zero:] = False
+            least = 1
+        edge = np.flatnonzero(np.diff(np.r_[False, same, False]))
+        for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if j - i >= least and i + zero < z and j + zero > a:
+                drop[i + zero + shift:j + zero + shift] = True
     edge = np.flatnonzero(np.diff(np.r_[0, drop.astype(np.int8), 0]))
-    return [(int(lines.start[a]), int(lines.start[z]) if z < len(h) else len(text))
-            for a, z in zip(edge[::2], edge[1::2]) if lines.words[a:z].sum() >= min_words]
+    if not len(edge):
+        return []
+    start = [m.start() for m in re.finditer(r"\S+", text)] + [len(text)]
+    return [(start[a], start[z]) for a, z in zip(edge[::2], edge[1::2]) if z - a >= min_words]
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -190,29 +226,43 @@ def dedup_lines(docs: DataFrame, divisor: int = 3, seeds: int = 1, min_lines: in
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(sys.maxsize))
     tx = F.hash("text")
     full = docs.filter("text is not null and text <> ''").select(did.alias("did"), tx.alias("tx"), "text")
-    chunks = staged(full.mapInPandas(_chunk_rows(divisor, seeds, min_lines), "did long, tx int, line int, n int, h long"), "chunks")
-    place = F.struct("did", "tx", "line", "n")
+    chunks = staged(full.mapInPandas(_chunk_rows(divisor, seeds, min_lines), "did long, tx int, word int, n int, h long"), "chunks")
+    place = F.struct("did", "tx", "word", "n")
+    # What occurs once is left out of the shuffles of whole rows by a bitmap of the repeated hashes, which the join then repeats exactly.
+    may_repeat = member_test(chunks.groupBy("h").count().filter("count > 1").select("h"), "h")
+    chunks = chunks.filter(may_repeat("h"))
     repeated = chunks.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1") \
         .select("h", "first")
-    later = staged(chunks.join(repeated, "h").filter(place != F.col("first")).select("h", "did", "tx", "line", "n", "first"), "later")
+    later = chunks.join(repeated, "h").filter(place != F.col("first")) \
+        .select("did", "tx", F.col("first.did").alias("fdid"), F.col("first.tx").alias("ftx"), F.col("first.word").alias("a"), "n",
+                (F.col("first.word") + F.col("n")).alias("z"), (F.col("word") - F.col("first.word")).alias("shift"))
+    # Inside one text a copy starts after the end of what it copies.
+    own = (F.col("did") == F.col("fdid")) & (F.col("tx") == F.col("ftx"))
+    later = later.withColumn("a", F.when(own, F.greatest("a", F.col("z") - F.col("shift"))).otherwise(F.col("a"))).filter("a < z") \
+        .withColumn("block", F.explode(F.expr(f"sequence(a div {BLOCK}, (z - 1) div {BLOCK})"))) \
+        .withColumn("a", F.greatest("a", F.col("block") * BLOCK)).withColumn("z", F.least("z", (F.col("block") + 1) * BLOCK))
+    parts = staged(later.groupBy("did", "tx", "fdid", "ftx", "shift", "block")
+                   .agg(F.min("a").alias("a"), F.max("z").alias("z"), F.min(F.least("n", F.lit(GRAM))).alias("least")), "parts")
     # Only documents with a repeated chunk are shuffled; the others pass straight through.
-    firsts = later.select("h", "first").distinct()
-    refs = firsts.groupBy(F.col("first.did").alias("did"), F.col("first.tx").alias("tx")) \
-        .agg(F.collect_list(F.struct("h", F.col("first.line").alias("line"), F.col("first.n").alias("n"))).alias("refs"))
-    has_first = member_test(firsts.select(F.xxhash64("first.did", "first.tx").alias("k")), "k")
-    has_later = member_test(later.select(F.xxhash64("did", "tx").alias("k")), "k")
-    texts = full.filter(has_first(F.xxhash64("did", "tx"))).dropDuplicates(["did", "tx"]).join(refs, ["did", "tx"]) \
-        .select("text", "refs").mapInPandas(_firsts, "h long, chunk string, before array<long>, after array<long>")
+    refs = parts.groupBy("fdid", "ftx").agg(F.collect_set("block").alias("blocks"))
+    has_first = member_test(parts.select(F.xxhash64("fdid", "ftx").alias("k")), "k")
+    has_later = member_test(parts.select(F.xxhash64("did", "tx").alias("k")), "k")
+    texts = full.filter(has_first(F.xxhash64("did", "tx"))).dropDuplicates(["did", "tx"]) \
+        .select(F.col("did").alias("fdid"), F.col("tx").alias("ftx"), "text").join(refs, ["fdid", "ftx"]) \
+        .mapInPandas(_pieces, "fdid long, ftx int, block long, piece string")
     _did, _tx, _hit, _refs = fresh(docs, "_did", "_tx", "_hit", "_refs")
-    found = later.select("h", "did", "tx", "line", "n").join(texts, "h").groupBy("did", "tx") \
-        .agg(F.collect_list(F.struct("line", "n", "chunk", "before", "after")).alias(_refs)) \
+    near = (own & (F.col("shift") < GRAM)).cast("int")
+    found = parts.join(texts, ["fdid", "ftx", "block"]).groupBy("did", "tx") \
+        .agg(F.collect_list(F.concat_ws(" ", "shift", "block", "a", "z", "least", near, "piece")).alias(_refs)) \
         .select(F.col("did").alias(_did), F.col("tx").alias(_tx), _refs)
     keyed = docs.withColumn(_did, did).withColumn(_tx, tx) \
         .withColumn(_hit, F.col("text").isNotNull() & has_later(F.xxhash64(_did, _tx)))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None else without(t, cuts(t, r, min_words)) for t, r in zip(texts, refs)], dtype=object)
+        out = pd.Series([t if r is None else without(t, cuts(t, r, min_words)) for t, r in zip(texts, refs)], dtype=object)
+        trim()
+        return out
 
     same = F.col(_refs).isNull()
     out = keyed.filter(F.col(_hit)).join(found, [_did, _tx], "left") \

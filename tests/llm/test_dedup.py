@@ -166,6 +166,29 @@ def test_what_is_cut_occurs_earlier(spark):
         assert all(any(g in out[j] for j in range(i + 1)) for g in gone)
 
 
+@pytest.mark.parametrize("kind", ["lines", "flat"])
+def test_every_pasted_passage_of_50_words_is_cut(spark, kind):
+    rng = random.Random(21)
+    flat = lambda n: words(rng, n, 40_000)
+    some = lambda n: " ".join(w.capitalize() + rng.choice(["", "."]) if rng.random() < 0.1 else w for w in flat(n).split())
+    text = flat if kind == "flat" else some
+    passages = [text(rng.randrange(51, 81)) for _ in range(60)] + [text(900)]
+    rows = [(100 * d + i, f"{text(40)} a{d}b{i} {p} c{d}d{i} {text(40)}") for d in range(2) for i, p in enumerate(passages)]
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    for i, p in enumerate(passages):
+        assert out[i] == rows[i][1]
+        assert out[100 + i] == rows[len(passages) + i][1].replace(p + " ", "")
+
+
+def test_a_text_that_repeats_itself_keeps_its_beginning(spark):
+    rng = random.Random(5)
+    part = words(rng, 70)
+    rows = [(1, " ".join(["tick"] * 300)), (2, " ".join([part] * 3) + " end"), (3, "A b. " * 100)]
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert out[2] == part + " end" and set(out[1].split()) == {"tick"} and 25 <= len(out[1].split()) < 100
+    assert out[3].startswith("A b. " * 5) and len(out[3]) < 250
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = odd_rows()
     got = linededup.dedup_lines(docs(spark, rows, extra=True))
