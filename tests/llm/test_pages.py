@@ -109,6 +109,21 @@ def test_text_that_articles_share_stays(spark):
     assert got == {i: f"Licensed under CC.\nn {i}" for i in range(30)}
 
 
+def test_link_blocks_that_recur_inside_articles_go(spark):
+    more = "<div class=x><p><a href=/1>Ten best</a></p><p><a href=/2>Our shop</a></p></div>"
+    rows = [(i, f"http://h/{i}", f"<body><article><p>Licensed under CC.</p><p>n {i}</p>{more}<ul><li><a href=/s{i}>Source {i}</a></ul></article></body>")
+            for i in range(30)] + [(99, "http://lone/", f"<article><p>n</p>{more}</article>")]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages(spark, rows)).collect()}
+    assert got.pop(99) == "n\nTen best\nOur shop"
+    assert got == {i: f"Licensed under CC.\nn {i}\nSource {i}" for i in range(30)}
+
+
+def test_templates_of_a_section_of_a_large_host_go(spark):
+    rows = [plain(i) for i in range(110)] + [(1000 + i, f"http://h/{i}", f"<p>page {i}</p>") for i in range(1100)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Own words {i} of page\nmore {i * 7}" for i in range(110))
+
+
 def test_odd_pages(spark):
     got = htmltext.main_text(pages(spark, ODD, extra=True)).collect()
     assert len(got) == len(ODD) and all(r["text"] is not None and r["n_chars"] == len(r["text"]) for r in got)
