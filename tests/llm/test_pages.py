@@ -124,6 +124,18 @@ def test_templates_of_a_section_of_a_large_host_go(spark):
     assert all(got[i] == f"Own words {i} of page\nmore {i * 7}" for i in range(110))
 
 
+@pytest.mark.parametrize("page", ["<html class=share><body class='has-sidebar'>{}</body>", "<body class=menu id=search><main class=related>{}</main>",
+                                  "<body><div class='sidebar widget'><div class=with-comments>{}</div></div><div class=sidebar>s</div>"])
+def test_names_never_take_the_whole_page(page):
+    def left(html):
+        return [t for t, _, role, _ in htmltext.blocks(html)[0] if not role]
+
+    assert left(page.format("<article class='post has-comments'><p>a</p><div class=comments>b</div></article>")) == ["a"]
+    assert left("<body class=has-sidebar><p class=no-comments>a</p><div class=sidebar-left>b</div></body>") == ["a"]
+    assert left("<article>a</article><div class=comments><article>b</article></div>") == ["a"]
+    assert left("<div class=widget><article>a</article></div><div class=widget><article>b</article></div>") == ["a", "b"]
+
+
 def test_odd_pages(spark):
     got = htmltext.main_text(pages(spark, ODD, extra=True)).collect()
     assert len(got) == len(ODD) and all(r["text"] is not None and r["n_chars"] == len(r["text"]) for r in got)
