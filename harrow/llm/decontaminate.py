@@ -15,8 +15,9 @@ Items are taken in blocks of at most ``block_chars`` characters, so what goes to
 every task has a fixed bound; one block usually holds a whole benchmark.
 
 Defined cases: null or empty texts and items match nothing, nor do items with a
-null id; an item shorter than ``q`` matches where it is contained; repeated items each match; repeated
-rows are treated alike; other columns are not looked at.
+null id; an item shorter than ``q`` matches where it is contained; repeated
+items each match; repeated rows are treated alike; other columns are not looked
+at.
 """
 from __future__ import annotations
 
