@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -44,10 +45,10 @@ from .common import text_of, trim
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CACHE = 250_000
-PAIRS = 2_000_000
 DONE = float("-inf")
-#: Marks, numbers and symbols (except U+2581); a piece has either some of these or others, beside its leading spaces.
-MARKS = "\\x00-@\\[-`{-\xbf\u2000-\u2580\u2582-\u2bff"
+#: Marks, numbers, symbols and white space but for the space and the line break; a piece has either some of these or others,
+#: beside its leading spaces.
+MARKS = "\\x00-\t\x0b-\x1f!-@\\[-`{-\xbf\u2000-\u2580\u2582-\u2bff"
 
 
 def _per_byte(error: UnicodeDecodeError) -> tuple[str, int]:
@@ -82,8 +83,10 @@ class Pieces:
         self.led = np.array([p.startswith(SPACE) for p in map(m.id_to_piece, ids)])
         self.control = np.array([m.is_control(i) for i in ids])
         self.steps: dict[str, tuple] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.known = {p for p in self.id if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             if self.history(p)[3]:
@@ -92,15 +95,16 @@ class Pieces:
         self.cut = re.compile(self._segments())
 
     def _segments(self) -> str:
+        """Segments that no piece crosses, of texts whose spaces aren't yet U+2581."""
         bodies = [p.lstrip(SPACE) for p in self.id]
         if any(SPACE in b for b in bodies):
             return "(?s).+"
         mark = re.compile(f"[{MARKS}]")
         if any(len({bool(mark.match(c)) for c in b}) > 1 for b in bodies):
-            return f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+"
-        line = "" if any("\n" in b for b in bodies) else "\n|"
-        other = f"(?:(?!\n)[{MARKS}])+" if line else f"[{MARKS}]+"
-        return f"{SPACE}*[^{MARKS}{SPACE}]+|{line}{SPACE}*{other}|{SPACE}+"
+            return "(?s) *[^ ]+| +"
+        if any("\n" in b for b in bodies):
+            return f" *[^{MARKS}\n ]+| *[{MARKS}\n]+| +"
+        return f" *[^{MARKS}\n ]+|\n| *[{MARKS}]+| +"
 
     def history(self, token: str) -> tuple:
         """Steps of a token's own merging: score of the next merge, first and last symbol; whether it ends as one."""
@@ -139,58 +143,59 @@ class Pieces:
     def table(self, s: str) -> list:
         """The last token of each prefix of ``s`` (position 0 has none)."""
         last: list = [None] * (len(s) + 1)
-        at, known, pairs = 0, self.id, self.pairs
-        if len(pairs) > PAIRS:
-            pairs.clear()
-
-        def close(upto: int) -> None:
-            nonlocal at
-            while at < upto:
-                c = s[at]
-                at += 1
-                if c not in known:
-                    last[at] = c
-
+        if not self.known.issuperset(s):
+            # A character outside the vocabulary is a token that goes with any other.
+            for i, c in enumerate(s):
+                if c not in self.known:
+                    last[i + 1] = c
+        pairs = self.pairs
         for end, token in self.automaton.iter(s):
             end += 1
-            close(end - 1)
-            if last[end] is not None:
-                continue
-            start = end - len(token)
-            if start:
-                before = last[start]
-                pair = (before, token)
-                fits = pairs.get(pair)
-                if fits is None:
-                    fits = pairs[pair] = before is not None and self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end] = token
-        close(len(s))
+            if last[end] is None:
+                start = end - len(token)
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    row = pairs.get(before)
+                    if row is None:
+                        row = pairs[before] = {}
+                    fits = row.get(token)
+                    if fits is None:
+                        fits = row[token] = self.compatible(before, token)
+                    if not fits:
+                        continue
+                last[end] = token
         return last
 
     def segment(self, s: str) -> bytes:
-        last, out, at = self.table(s), [], len(s)
+        s = s.replace(" ", SPACE)
+        last, out, at, ids = self.table(s), [], len(s), self.id
         while at:
             token = last[at]
-            i = self.id.get(token)
+            i = ids.get(token)
             if i is None:
                 out.extend(self.byte[b] for b in reversed(token.encode("utf-8", "surrogatepass")))
             else:
                 out.append(i)
             at -= len(token)
-        return np.array(out[::-1], "<u4").tobytes()
+        out.reverse()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, begin and end included."""
         if not text:
             return self.begin + self.end
-        parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
+        # U+2581 in a text is a space to the model.
+        parts = self.cut.findall(" " + text.replace(SPACE, " "))
         cache = self.cache
         if len(cache) > CACHE:
-            cache.clear()
+            # Those met since the last time stay within reach.
+            self.older, self.cache = cache, {}
+            cache = self.cache
+        older = self.older
         for s in set(parts).difference(cache):
-            cache[s] = self.segment(s)
+            cache[s] = older.get(s) or self.segment(s)
         return b"".join([self.begin, *map(cache.__getitem__, parts), self.end])
 
     def decode(self, ids: bytes) -> str:
