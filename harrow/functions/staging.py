@@ -1,19 +1,53 @@
-"""Intermediate tables on shared storage, and membership tests ahead of shuffles."""
+"""Intermediate tables on shared storage, size checks, and membership tests ahead of shuffles."""
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 
+class RunScope:
+    """The intermediate tables of one run, below a folder of their own that can be deleted at once.
+
+    Tables staged inside ``with scope:`` belong to it.  Results of a run are
+    read lazily from them, so ``delete()`` comes when what is wanted of it is written.
+    """
+
+    _current: ContextVar = ContextVar("harrow_run", default=None)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> "RunScope":
+        self._before = self._current.set(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self._current.reset(self._before)
+
+    def delete(self) -> None:
+        store, path = hadoop_path(self.spark, self.folder)
+        store.delete(path, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system that Spark uses for a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared checkpoint folder, or below that of the run."""
+    run = RunScope._current.get()
+    base = run.folder if run is not None else ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +61,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most so many rows; reads no more than that of each partition."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def probable_members(df: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column, bits: int = 26) -> DataFrame:
+    """Rows of ``df`` whose 64-bit hash may be among those of ``keys``, without a shuffle of ``df``.
+
+    The bitmap aggregates set one bit for each hash modulo ``2**bits``; the
+    bitmaps, at most ``2**bits / 8`` bytes (8 MB) at any size, are joined to the
+    rows by their number.  No key is lost; others pass when there are very many
+    keys, so an exact join has to follow.
+    """
+    def slot(h):
+        return F.pmod(h, F.lit(1 << bits)) + 1  # buckets count from 1, each of 32768 bits
+
+    maps = keys.select(slot(key_hash).alias("_slot")) \
+        .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    rows = df.withColumn("_slot", slot(hashed))
+    at = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_bucket")) \
+        .filter(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0) \
+        .drop("_slot", "_bucket", "_bits")
+
+
 def member_test(keys: DataFrame, column: str, bits: int = 26):
     """A function that tells whether a 64-bit hash may be among ``keys``.
 

@@ -139,32 +139,75 @@ def strip_lexical(html: Column) -> Column:
 def strip_removed_elements(lexical: Column) -> Column:
     """Markup without the removed elements and all that is inside them.
 
-    Their tags are read in order with the list of those that are open: an end
+    Their tags are read in order with the stack of those that are open: an end
     tag closes the innermost element of its name and what was opened in it, one
     without a beginning is dropped, and an element that never ends reaches to
     the end of the page.
+
+    The fold copies little per tag.  The stack is its top letter with a number,
+    and a text of the runs of equal letters below it, so any number of forms in
+    forms is one run; what is kept is joined whenever ``KEPT_AT_ONCE`` parts have come.
     """
     return let(lexical, lambda m: F.when(m.rlike(REMOVED_TAG), _outside(m)).otherwise(m))
 
 
+KEPT_AT_ONCE = 256
+_DIGITS = 9
+
+
+def _pushed(o: Column, name: Column) -> Column:
+    below = F.when(o["top"] == "", F.lit("")).otherwise(F.concat(o["rest"], o["top"], F.lpad(o["n"].cast("string"), _DIGITS, "0")))
+    same = o["top"] == name
+    return F.struct(F.when(same, o["rest"]).otherwise(below).alias("rest"), name.alias("top"), F.when(same, o["n"] + 1).otherwise(F.lit(1)).alias("n"))
+
+
+def _closed(o: Column, name: Column) -> Column:
+    # What follows the last run of that letter: its number, and the runs that go with it.
+    after = F.call_function("substring_index", o["rest"], name, F.lit(-1))
+    found = F.struct(F.left(o["rest"], F.length(o["rest"]) - F.length(after) - 1).alias("rest"), name.alias("top"),
+                     (F.left(after, F.lit(_DIGITS)).cast("int") - 1).alias("n"))
+    one_less = F.struct(o["rest"].alias("rest"), o["top"].alias("top"), (o["n"] - 1).alias("n"))
+    return let(F.when(o["top"] == name, one_less).when(o["rest"].contains(name), found).otherwise(_stack(o)), _uncovered)
+
+
+def _stack(o: Column) -> Column:
+    return F.struct(o["rest"].alias("rest"), o["top"].alias("top"), o["n"].alias("n"))
+
+
+def _uncovered(o: Column) -> Column:
+    """The stack, its top run taken from below where the last of the top run was closed."""
+    size = F.length(o["rest"])
+    below = F.struct(F.left(o["rest"], size - _DIGITS - 1).alias("rest"), F.substring(o["rest"], size - _DIGITS, F.lit(1)).alias("top"),
+                     F.right(o["rest"], F.lit(_DIGITS)).cast("int").alias("n"))
+    empty = F.struct(F.lit("").alias("rest"), F.lit("").alias("top"), F.lit(0).alias("n"))
+    return F.when((o["n"] > 0) | (o["top"] == ""), o).when(o["rest"] == "", empty).otherwise(below)
+
+
 def _outside(m: Column) -> Column:
     tags = F.regexp_extract_all(m, F.lit(REMOVED_TAG), 0)
     texts = F.split(m, REMOVED_TAG, -1)
     none = F.array().cast("array<string>")
-    start = F.struct(none.alias("open"), F.array(F.element_at(texts, 1)).alias("kept"))
+    start = F.struct(F.lit("").alias("rest"), F.lit("").alias("top"), F.lit(0).alias("n"), none.alias("done"), F.array(F.element_at(texts, 1)).alias("kept"))
     steps = F.zip_with(tags, F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))),
                        lambda t, x: F.struct(t.alias("tag"), x.alias("text")))
 
     def step(state, s):
-        name = F.lower(F.regexp_extract(s["tag"], r"^</?([A-Za-z]+)", 1))
         end, single = s["tag"].startswith("</"), s["tag"].endswith("/>")
-        last = F.size(state["open"]) - F.array_position(F.reverse(state["open"]), name) + 1
-        closed = F.when(F.array_contains(state["open"], name), F.slice(state["open"], 1, (last - 1).cast("int"))).otherwise(state["open"])
-        now = F.when(end, closed).when(single, state["open"]).otherwise(F.concat(state["open"], F.array(name)))
-        return let(now, lambda o: F.struct(o.alias("open"), F.when(F.size(o) == 0, F.concat(state["kept"], F.array(s["text"])))
-                                           .otherwise(state["kept"]).alias("kept")))
-
-    return F.array_join(F.aggregate(steps, start, step)["kept"], " ")
+        # The names begin with different letters.
+        name = F.lower(F.substring(s["tag"], F.when(end, F.lit(3)).otherwise(F.lit(2)), F.lit(1)))
+        now = let(name, lambda c: F.when(end, _closed(state, c)).when(single, _stack(state)).otherwise(_pushed(state, c)))
+
+        def keep(o):
+            out, full = o["top"] == "", F.size(state["kept"]) >= KEPT_AT_ONCE
+            return F.struct(o["rest"].alias("rest"), o["top"].alias("top"), o["n"].alias("n"),
+                            F.when(out & full, F.concat(state["done"], F.array(F.array_join(state["kept"], " ")))).otherwise(state["done"]).alias("done"),
+                            F.when(out & full, F.array(s["text"])).when(out, F.concat(state["kept"], F.array(s["text"])))
+                            .otherwise(state["kept"]).alias("kept"))
+        return let(now, keep)
+
+    def whole(state):
+        return F.array_join(F.concat(state["done"], F.array(F.array_join(state["kept"], " "))), " ")
+    return F.aggregate(steps, start, step, whole)
 
 
 def markup_text(fragment: Column) -> Column:

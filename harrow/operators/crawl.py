@@ -10,10 +10,14 @@ visited, until the limit of pages per target, if there is one.  Per level that i
       -> rank inside target by (parent rank, url) + visited so far
       -> keep rank <= max_pages, where a job sets that limit
 
-The visit set is written to the shared checkpoint folder after each level, so
-lineage stays flat and a lost executor never replays earlier levels.  The page side is the persisted,
-parsed content; AQE chooses broadcast or shuffle for each level's join from the
-measured size of the visit set.
+Evaluation is semi-naive: a level reads the level before it, and appends only
+its own rows, as one partition ``depth=d`` of the visits on the shared
+checkpoint folder; nothing is written twice, and lineage stays flat.  What a
+level needs of earlier ones is which pages its *live* targets (those with a page
+on the last level) have visited.  While there are few live targets they are
+named in a filter that reaches the Parquet scan, whose files are sorted by
+target; a target that found nothing new costs later levels nothing.  Ranks go on
+from the last level's own maximum.
 """
 from __future__ import annotations
 
@@ -22,12 +26,14 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_PATH_SLASHES, MiningConfig
 from ..functions.ordinal import rank_in_pieces
-from ..functions.staging import staged
+from ..functions.staging import scratch, staged
 from ..functions.urls import is_allowed, normalise_domain, normalise_url, should_enqueue, should_skip
 
 VISIT_COLS = ["target_idx", "domain", "url", "depth", "visit_rank"]
 PARENTS_PER_PIECE = 1 << 10
 PAGES_PER_PIECE = 1 << 16
+#: Up to so many live targets are named in the filter of the visits.
+NAMED_TARGETS = 1000
 
 
 def seeds(targets: DataFrame, cfg: MiningConfig) -> DataFrame:
@@ -40,8 +46,40 @@ def seeds(targets: DataFrame, cfg: MiningConfig) -> DataFrame:
         .select("target_idx", "domain", "url", F.lit(0).alias("depth"), F.lit(1).alias("visit_rank"))
 
 
-def _stage(df: DataFrame, enabled: bool) -> DataFrame:
-    return staged(df, "visits") if enabled else df
+class Visits:
+    """Visits by level; with ``folder`` each is written once, as a partition of one table."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.levels = folder, []
+        self.schema = None
+
+    def add(self, level: DataFrame) -> DataFrame:
+        depth = len(self.levels)
+        if self.folder is not None:
+            path = f"{self.folder}/depth={depth}"
+            self.schema = self.schema or level.schema
+            level.drop("depth").sortWithinPartitions("target_idx").write.parquet(path)
+            level = level.sparkSession.read.schema(level.drop("depth").schema).parquet(path).withColumn("depth", F.lit(depth)).select(*VISIT_COLS)
+        self.levels.append(level)
+        return level
+
+    def table(self) -> DataFrame:
+        if self.folder is not None:
+            spark = self.levels[0].sparkSession
+            return spark.read.schema(self.schema).option("basePath", self.folder).parquet(self.folder).select(*VISIT_COLS)
+        out = self.levels[0]
+        for level in self.levels[1:]:
+            out = out.unionByName(level)
+        return out
+
+    def seen_by(self, live: DataFrame) -> DataFrame:
+        """``(target_idx, url)`` of what the targets of ``live`` have visited."""
+        seen = self.table()
+        if self.folder is not None:
+            named = [r["target_idx"] for r in live.select("target_idx").distinct().limit(NAMED_TARGETS + 1).collect()]
+            if len(named) <= NAMED_TARGETS:
+                seen = seen.filter(F.col("target_idx").isin(named))
+        return seen.select("target_idx", "url")
 
 
 def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
@@ -58,9 +96,9 @@ def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
     readable = content.filter(F.col("is_html")).select("url", "links")
     if edges is not None:
         extra = edges.select(normalise_url(F.col("src")).alias("src"), normalise_url(F.col("dst")).alias("dst"))
-    level = seeds(targets, cfg)
-    visited = _stage(level, checkpoint)
-    level = visited
+        extra = staged(extra, "links") if checkpoint else extra
+    visits = Visits(scratch(targets.sparkSession, "visits") if checkpoint else None)
+    level = visits.add(seeds(targets, cfg))
     # Built once, reused at every level (expression construction is not free).
     from ..functions.text import cached_expr
     keep_link = cached_expr(("keep_link", repr(cfg)), lambda: F.filter(
@@ -82,19 +120,17 @@ def crawl_visits(targets: DataFrame, content: DataFrame, cfg: MiningConfig,
                 parents.join(extra, parents.url == extra.src)
                 .filter(keep_edge)
                 .select("target_idx", "domain", F.col("visit_rank").alias("parent_rank"), F.col("dst").alias("url")))
-        fresh = frontier.join(visited.select("target_idx", "url"), ["target_idx", "url"], "left_anti") \
+        fresh = frontier.join(visits.seen_by(level), ["target_idx", "url"], "left_anti") \
             .groupBy("target_idx", "domain", "url").agg(F.min("parent_rank").alias("parent_rank"))
-        base = visited.groupBy("target_idx").agg(F.max("visit_rank").alias("_base"))
-        level = _ranked(fresh, cfg.max_pages).join(base, "target_idx") \
+        base = level.groupBy("target_idx").agg(F.max("visit_rank").alias("_base"))
+        fresh = _ranked(fresh, cfg.max_pages).join(base, "target_idx") \
             .withColumn("visit_rank", (F.col("_base") + F.col("_rank")).cast("int"))
         if cfg.max_pages is not None:
-            level = level.filter(F.col("visit_rank") <= cfg.max_pages)
-        level = level.select("target_idx", "domain", "url", F.lit(depth).alias("depth"), "visit_rank")
-        visited = _stage(visited.unionByName(level), checkpoint)
-        level = visited.filter(F.col("depth") == depth)
-        if cfg.max_depth is None and level.isEmpty():
+            fresh = fresh.filter(F.col("visit_rank") <= cfg.max_pages)
+        level = visits.add(fresh.select("target_idx", "domain", "url", F.lit(depth).alias("depth"), "visit_rank"))
+        if level.isEmpty():
             break
-    return visited
+    return visits.table()
 
 
 def _ranked(fresh: DataFrame, limit: int | None) -> DataFrame:

@@ -13,23 +13,26 @@ Spark plan:
    partially aggregated map-side, so thousands of copies of one row never reach
    a single task) — equal keys always end in the same group;
 3. a block with one distinct key needs no comparison; the keys of other blocks
-   find their leaders in rounds of bounded batches (:func:`leaders_of`), with
-   upper bounds (length, characters) before the ratio is computed;
+   find their leaders in rounds, each over four times the keys of the one before
+   (:func:`leaders_of`).  Keys are compared tile by tile: tiles hold keys of one
+   block and length class, only classes that can be similar meet, and a matrix of
+   character counts gives the ratio's upper bound before any ratio is computed;
 4. leaders get their global ordinal from per-bucket counts and offsets (no
    single-partition window over the rows); a group's first row is its leader,
    so Primary/Duplicate needs no window over a (possibly huge) group.
 """
 from __future__ import annotations
 
-from collections import Counter
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DUPLICATE_STOP_WORDS
-from ..functions.ordinal import bucket_ordinal
+from ..functions.ordinal import bucket_ordinal, rank_in_pieces
 from ..functions.staging import staged
 from ..functions.urls import block_path, netloc, normalise_url
 
@@ -56,81 +59,146 @@ def global_ordinal(df: DataFrame, key: str, bucket_width: int, out: str = "ordin
     return bucket_ordinal(df, key, out, width=bucket_width)
 
 
-def _similar(key: str, counts: Counter, leader: str, matcher: SequenceMatcher, leader_counts: Counter, threshold: float) -> bool:
-    """``matcher`` holds ``leader`` as its second string; cheap upper bounds of the ratio come first."""
-    total = len(key) + len(leader)
-    if 2.0 * min(len(key), len(leader)) < threshold * total:
-        return False
-    if 2.0 * (counts & leader_counts).total() < threshold * total:
-        return False
-    matcher.set_seq1(key)
-    return matcher.ratio() >= threshold
-
-
-def _prepared(leader: str) -> tuple[str, SequenceMatcher, Counter]:
-    return leader, SequenceMatcher(None, "", leader), Counter(leader)
-
-
-def _scan(threshold: float):
-    """Leaders of the first keys of a block, in order, among themselves."""
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
-        leaders: list = []
-        found = []
-        for key, rep in zip(pdf["key"].tolist(), pdf["rep"].tolist()):
-            counts = Counter(key)
-            hit = next((r for r, x in leaders if _similar(key, counts, *x, threshold)), None)
-            if hit is None:
-                leaders.append((rep, _prepared(key)))
-            found.append(rep if hit is None else hit)
-        return pdf[["bnet", "bpath", "key", "rep"]].assign(leader=found)
-    return scan
-
-
-def _match(threshold: float):
-    """The smallest of the given leaders (sorted) that each key is similar to; null if none."""
-    @F.pandas_udf("long")
-    def match(keys: pd.Series, leaders: pd.Series) -> pd.Series:
-        out, last, ready = [], None, []
-        for key, own in zip(keys, leaders):
-            if own is None:
-                out.append(None)
-                continue
-            names = tuple((r["rep"], r["key"]) for r in own)
-            if names != last:
-                last, ready = names, [(rep, _prepared(k)) for rep, k in names]
-            counts = Counter(key)
-            out.append(next((rep for rep, x in ready if _similar(key, counts, *x, threshold)), None))
-        return pd.Series(out, dtype="Int64")
-    return match
-
-
-def leaders_of(keys: DataFrame, threshold: float, batch: int = 256) -> DataFrame:
+TILE = 1 << 10
+RANKS_PER_PIECE = 1 << 16
+#: So many edges of a block are settled by one ordered scan; more are thinned out first.
+EDGES_PER_SCAN = 1 << 20
+
+
+def _char_counts(keys: list[str], codes: dict[str, int], kind) -> np.ndarray:
+    out = np.zeros((len(codes), len(keys)), kind)
+    for i, k in enumerate(keys):
+        for c in k:
+            if c in codes:
+                out[codes[c], i] += 1
+    return out
+
+
+def may_be_similar(keys: list[str], leaders: list[str], threshold: float) -> np.ndarray:
+    """Matrix of the pairs whose ratio's upper bounds (lengths, then character counts) reach the threshold."""
+    lk, ll = np.array([len(k) for k in keys])[:, None], np.array([len(k) for k in leaders])[None, :]
+    least = threshold * (lk + ll)
+    fits = 2.0 * np.minimum(lk, ll) >= least
+    if fits.any():
+        kind = np.uint8 if max(lk.max(), ll.max()) < 256 else np.uint32
+        codes = {c: i for i, c in enumerate(sorted(set("".join(keys)) & set("".join(leaders))))}
+        common = np.zeros(fits.shape, kind)
+        for x, y in zip(_char_counts(keys, codes, kind), _char_counts(leaders, codes, kind)):
+            common += np.minimum(x[:, None], y[None, :])
+        fits &= 2.0 * common >= least
+    return fits
+
+
+def _compare(threshold: float, every: bool):
+    """Similar pairs of a tile of keys and a tile of earlier leaders: all of them, or the first leader of each key."""
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("rep", kind="stable")
+        keys, reps = left["key"].tolist(), left["rep"].to_numpy(np.int64)
+        leaders, lreps = right["key"].tolist(), right["rep"].to_numpy(np.int64)
+        fits = may_be_similar(keys, leaders, threshold) & (lreps[None, :] < reps[:, None])
+        found, settled = [], np.zeros(len(keys), bool)
+        for j in np.flatnonzero(fits.any(axis=0)):
+            matcher = SequenceMatcher(None, "", leaders[j])
+            for i in np.flatnonzero(fits[:, j] & ~settled):
+                matcher.set_seq1(keys[i])
+                if matcher.ratio() >= threshold:
+                    found.append((reps[i], lreps[j]))
+                    settled[i] = not every
+        return pd.DataFrame(found, columns=["rep", "leader"]).astype({"rep": "int64", "leader": "int64"})
+    return compare
+
+
+def _tiled(keys: DataFrame, threshold: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Keys with their length class ``_c`` and tile ``_s``, and how many tiles ``_m`` each class of a block has."""
+    block = ["bnet", "bpath"]
+    # Similar keys differ in length by a factor of at most (2 - t) / t, so they lie in the same class or in neighbours.
+    width = math.log((2 - threshold) / threshold) * (1 + 1e-9)
+    keys = keys.withColumn("_c", F.floor(F.log(F.length("key").cast("double")) / F.lit(width)).cast("int"))
+    sizes = keys.groupBy(*block, "_c").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_m"))
+    return keys.join(sizes, [*block, "_c"]).withColumn("_s", F.pmod(F.xxhash64("key"), F.col("_m")).cast("int")).drop("_m"), sizes
+
+
+def similar_pairs(keys: DataFrame, leaders: DataFrame, threshold: float, every: bool, tile: int = TILE) -> DataFrame:
+    """``(rep, leader)``: keys and the earlier ``leaders`` of their block that they are similar to, or the first of a tile."""
+    block = ["bnet", "bpath"]
+    left, lsize = _tiled(keys, threshold, tile)
+    right, rsize = _tiled(leaders, threshold, tile)
+    meet = lsize.select(*block, "_c", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_s")) \
+        .join(rsize.select(*block, F.col("_c").alias("_c2"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_s2")), block) \
+        .filter(F.abs(F.col("_c") - F.col("_c2")) <= 1)
+    meet = staged(meet, "tiles")
+    by = [*block, "_c", "_s", "_c2", "_s2"]
+    left = left.join(meet, [*block, "_c", "_s"]).select(*by, "key", "rep")
+    right = right.withColumnRenamed("_c", "_c2").withColumnRenamed("_s", "_s2").join(meet, [*block, "_c2", "_s2"]) \
+        .select(*[F.col(c).alias(c) for c in (*by, "key", "rep")])  # columns of its own, also where both sides are one table
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare(threshold, every), "rep long, leader long")
+
+
+def _first_come(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Follow the order of a block's edges: a key without an earlier leader beside it is a leader."""
+    pdf = pdf.sort_values(["rep", "earlier"], kind="stable")
+    follows: set[int] = set()
+    found = []
+    for rep, earlier in zip(pdf["rep"].tolist(), pdf["earlier"].tolist()):
+        if rep not in follows and earlier not in follows:
+            follows.add(rep)
+            found.append(rep)
+    return pd.DataFrame({"rep": found}, dtype="int64")
+
+
+def settled_keys(keys: DataFrame, threshold: float, tile: int = TILE, scan: int = EDGES_PER_SCAN) -> DataFrame:
+    """Leaders of ``keys`` among themselves: ``(rep, leader)``, a leader's own being itself.
+
+    The leaders are the first maximal independent set, in order, of the graph
+    of similar keys.  Rounds over all tasks take those without an earlier
+    undecided neighbour for leaders and drop their neighbours, while a block has
+    more than ``scan`` edges; what is left of it one ordered scan settles.
+    """
+    pairs = staged(similar_pairs(keys, keys, threshold, True, tile).select("rep", F.col("leader").alias("earlier")), "edges")
+    left = pairs.join(keys.select("rep", "bnet", "bpath"), "rep")
+    followers = None
+    while True:
+        busy = left.groupBy("bnet", "bpath").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > scan)
+        if busy.isEmpty():
+            break
+        # Keys that no undecided earlier key stands beside lead; what stands beside them follows.
+        leads = left.select(F.col("earlier").alias("rep")).distinct().join(left.select("rep").distinct(), "rep", "left_anti")
+        follow = staged(left.join(leads.select(F.col("rep").alias("earlier")), "earlier").select("rep").distinct(), "followers")
+        followers = follow if followers is None else followers.unionByName(follow)
+        gone = follow.unionByName(leads)
+        left = left.join(gone, "rep", "left_anti").join(gone.select(F.col("rep").alias("earlier")), "earlier", "left_anti")
+        left = staged(left, "edges")
+    last = left.groupBy("bnet", "bpath").applyInPandas(_first_come, "rep long")
+    followers = staged(last if followers is None else followers.unionByName(last), "followers")
+    of = pairs.join(followers, "rep").join(followers.select(F.col("rep").alias("earlier")), "earlier", "left_anti") \
+        .groupBy("rep").agg(F.min("earlier").alias("leader"))
+    return keys.select("rep").join(of, "rep", "left").withColumn("leader", F.coalesce("leader", "rep"))
+
+
+def leaders_of(keys: DataFrame, threshold: float, batch: int = 256, tile: int = TILE, scan: int = EDGES_PER_SCAN) -> DataFrame:
     """``keys(bnet, bpath, key, rep)``, distinct keys of each block -> the same with ``leader``.
 
-    In rounds: the first ``batch`` open keys of each block are settled among
-    themselves by one ordered scan, as all earlier leaders have been tried on
-    them; then the open keys of the block, spread over all tasks, try the new
-    leaders (at most ``batch`` to a block).  A key's leader is so always the
-    first of the earlier leaders that it is similar to, and no task sees more
-    of a block than a batch.
+    In rounds: of the keys that are still open, those among the first ``batch``
+    of their block (then four times as many, and so on) are settled among
+    themselves, and the later ones try the new leaders.  A key's leader is the first of
+    the earlier leaders that it is similar to, as in a serial scan; a block of n
+    keys takes log4(n / batch) rounds, and a task sees two tiles at a time.
     """
     block = ["bnet", "bpath"]
-    first = Window.partitionBy(*block).orderBy("rep")
-    done, left = None, keys
+    left = staged(rank_in_pieces(keys, block, [F.floor(F.col("rep") / RANKS_PER_PIECE)], ["rep"], "_n"), "ranked")
+    done = None
     while True:
-        batch_rows = staged(left.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= batch).drop("_n"), "batch")
-        settled = staged(batch_rows.groupBy(*block).applyInPandas(
-            _scan(threshold), "bnet string, bpath string, key string, rep long, leader long"), "settled")
+        now = staged(left.filter(F.col("_n") <= batch), "batch")
+        settled = staged(settled_keys(now, threshold, tile, scan), "settled")
         done = settled if done is None else done.unionByName(settled)
-        rest = left.join(batch_rows.select("rep"), "rep", "left_anti").select("bnet", "bpath", "key", "rep")
-        fresh = settled.filter("rep = leader").groupBy(*block).agg(
-            F.sort_array(F.collect_list(F.struct("rep", "key"))).alias("_leaders"))
-        tried = staged(rest.join(fresh, block, "left").withColumn("leader", _match(threshold)("key", "_leaders")).drop("_leaders"), "tried")
-        done = done.unionByName(tried.filter("leader is not null"))
-        left = tried.filter("leader is null").drop("leader")
-        if left.isEmpty():
-            return done.select("bnet", "bpath", "key", "rep", "leader")
+        rest = left.filter(F.col("_n") > batch)
+        if rest.isEmpty():
+            return keys.join(done, "rep").select(*block, "key", "rep", "leader")
+        fresh = now.join(settled.filter("rep = leader").select("rep"), "rep")
+        tried = staged(similar_pairs(rest, fresh, threshold, False, tile).groupBy("rep").agg(F.min("leader").alias("leader")), "tried")
+        done = done.unionByName(tried)
+        left = staged(rest.join(tried, "rep", "left_anti").select(*left.columns), "open")
+        batch *= 4
 
 
 def assign_groups(rows: DataFrame, threshold: float | None, bucket_width: int = 1 << 16, batch: int = 256) -> DataFrame:
@@ -154,7 +222,7 @@ def assign_groups(rows: DataFrame, threshold: float | None, bucket_width: int =
         reps = staged(reps.join(sizes, ["bnet", "bpath"]), "keys")
         single = reps.filter("_nk = 1").select("bnet", "bpath", "key", F.col("rep").alias("leader"))
         multi = reps.filter("_nk > 1").drop("_nk")
-        leader_of = single.unionByName(leaders_of(multi, threshold, batch).drop("rep"))
+        leader_of = single if multi.isEmpty() else single.unionByName(leaders_of(multi, threshold, batch).drop("rep"))
     member = elig.join(leader_of, ["bnet", "bpath", "key"]).select("row_idx", "leader")
     with_leader = keyed.join(member, "row_idx", "left") \
         .withColumn("_leader", F.coalesce(F.col("leader"), F.col("row_idx"))).drop("leader")

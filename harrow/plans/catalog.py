@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import TEST
 from ..functions.ordinal import range_ordinal
-from ..functions.staging import staged
+from ..functions.staging import scratch, staged
 from ..functions.urls import is_allowed, netloc, normalise_domain, normalise_url, should_enqueue, should_skip
 from ..operators import extract as X
 from ..operators.content import page_content
 from ..operators.dedupe import assign_groups, block_key, name_key
 from ..operators.scoring import score_columns
-from ..sources.pages import pages_normalised, with_capture_status
+from ..sources.pages import match_domains, pages_normalised, with_capture_status
 from ..sources.robots import robots_flag, robots_rules
 from ..sources.sinks import candidate_report, row_highlight, warnings_report
+from ..sources.targets import read_targets, targets_from_pages
 from .derived import derived_captures, derived_edges, derived_robots, derived_targets
 from .job import run_job
 
@@ -73,10 +74,10 @@ def _job(spark, sf, variant="main"):
     def build():
         pages = _read(spark, sf, "pages")
         targets = derived_targets(pages)
-        cfg = TEST.with_(max_pages=CAP_SMALL) if variant == "limit4" else TEST
-        detail = _emptied_detail(pages) if variant == "fallback" else None
-        robots = derived_robots(pages) if variant == "robots" else None
-        captures = derived_captures(pages) if variant == "robots" else pages
+        cfg = {"limit4": TEST.with_(max_pages=CAP_SMALL), "limits": TEST.with_(**C.CRAWL_LIMITS)}.get(variant, TEST)
+        detail = _emptied_detail(pages) if variant in ("fallback", "limits") else None
+        robots = derived_robots(pages) if variant in ("robots", "limits") else None
+        captures = derived_captures(pages) if variant in ("robots", "limits") else pages
         return run_job(targets, captures, cfg, edges=derived_edges(pages), detail_pages=detail, robots=robots,
                        run_ts=RUN_TS, end_ts=RUN_TS)
     return _memoised(spark, sf, ("job", variant), build)
@@ -153,9 +154,7 @@ def q_pages_per_target(spark, sf):
     pages = _read(spark, sf, "pages").withColumn("url", normalise_url(F.col("url")))
     t = derived_targets(_read(spark, sf, "pages")).select(
         "target_idx", normalise_domain(F.col("allowed_domain")).alias("domain"))
-    from ..functions.urls import host, host_suffixes
-    sfx = pages.select("page_id", F.explode(host_suffixes(F.regexp_replace(host(F.col("url")), r"^www\.", ""))).alias("domain"))
-    return sfx.join(t, "domain").select("target_idx", "page_id")
+    return match_domains(pages.select("page_id", "url"), staged(t, "domains")).select("target_idx", "page_id")
 
 
 def q_programme_name(spark, sf):
@@ -230,6 +229,36 @@ def q_crawl_visits_limit4(spark, sf):
     return _job(spark, sf, "limit4").visits.select("target_idx", "visit_rank", "depth", "url")
 
 
+def q_limited_visits(spark, sf):
+    """The limits of a polite live crawl are the feature here and in the other ``limited_`` queries."""
+    return _job(spark, sf, "limits").visits.select("target_idx", "visit_rank", "depth", "url")
+
+
+def q_limited_candidates(spark, sf):
+    return candidate_report(_job(spark, sf, "limits").candidates)
+
+
+def q_limited_rows(spark, sf):
+    return _job(spark, sf, "limits").programmes.select(*PROG_COLS)
+
+
+def q_limited_run_log(spark, sf):
+    """The run log's text holds the first 20 warnings."""
+    return _job(spark, sf, "limits").run_log
+
+
+def q_targets_csv(spark, sf):
+    """Targets read back from CSV files that Spark writes from ``pages``, three of them, in file order."""
+    raw = targets_from_pages(_read(spark, sf, "pages"))
+    folder = scratch(spark, "targets-csv")
+    raw.select(F.col("name").alias("University Name"), F.col("country").alias("Country"), F.col("seed_url").alias("Seed URL"),
+               F.when(F.col("target_idx") % 3 == 1, F.lit(" ")).otherwise(F.col("allowed_domain")).alias("Allowed Domain"),
+               F.concat(F.lit('a "note", '), F.col("name"), F.lit("\nin two lines")).alias("Notes"), "target_idx") \
+        .repartitionByRange(3, "target_idx").sortWithinPartitions("target_idx").drop("target_idx") \
+        .write.option("header", True).option("escape", '"').csv(folder)
+    return read_targets(spark, folder)
+
+
 def q_candidates(spark, sf):
     return _job(spark, sf).candidates.select("target_idx", "candidate_rank", "url", "candidate_score", "visit_rank")
 
@@ -291,5 +320,6 @@ QUERIES = {
     "candidates": q_candidates, "candidate_report": q_candidate_report, "programmes": q_programmes,
     "programme_rows": q_programme_rows, "fallback_rows": q_fallback_rows, "row_highlight": q_row_highlight,
     "target_summary": q_target_summary, "run_log": q_run_log, "robots_rules": q_robots_rules,
-    "robots_gate": q_robots_gate,
+    "robots_gate": q_robots_gate, "limited_visits": q_limited_visits, "limited_candidates": q_limited_candidates,
+    "limited_rows": q_limited_rows, "limited_run_log": q_limited_run_log, "targets_csv": q_targets_csv,
 }

@@ -1,16 +1,19 @@
 """Inputs derived by Spark from the captured tables (targets, extra edges).
 
 The captured pages hold almost no in-site links, so for the crawl to do real
-work each site also links a page to the next three captures of the same site
-(by ``page_id``).  Both frames are computed from ``pages`` and grow with it.
+work the seed of a site also links to hubs, and a hub to the captures after it,
+as an index page would: two levels reach every capture of a site of any size.
+All frames are computed from ``pages`` and grow with it.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordinal import bucket_ordinal
-from ..functions.urls import netloc, normalise_url
+from ..config import MAX_PATH_SLASHES, TEST
+from ..functions.ordinal import FAN, rank_in_pieces
+from ..functions.staging import staged
+from ..functions.urls import netloc, normalise_domain, normalise_url, scheme, should_enqueue
 from ..sources.targets import clean_targets, targets_from_pages
 
 
@@ -34,18 +37,29 @@ def derived_captures(pages: DataFrame) -> DataFrame:
     })
 
 
-def derived_edges(pages: DataFrame, fanout: int = 3) -> DataFrame:
-    """Page -> the next ``fanout`` captures of its site by ``page_id``.
+def derived_edges(pages: DataFrame) -> DataFrame:
+    """Seed -> every ``ceil(sqrt(n))``-th of the ``n`` captures of its site, and each of these hubs -> those up to the next.
 
-    The rank inside a site comes from per-(site, id range) pieces plus offsets,
-    and the edges from an equi-join on ``(site, rank + d)``: a site holding a
-    third of all pages is still spread over many tasks.
+    Captures that a crawl would queue come first, then the others, each in the
+    order of ``page_id``, so that a hub that isn't queued has none after it that is.
+    The rank inside a site comes from per-(site, id range) pieces plus offsets, and
+    both kinds of edges from an equi-join on ``(site, rank)`` of captures and hubs,
+    so a site with a third of all pages is still spread over many tasks.
     """
-    site = F.lower(netloc(normalise_url(F.col("url"))))
-    p = bucket_ordinal(pages.select("page_id", "url", site.alias("site")), "page_id", "rk", group=["site"])
-    src = p.select("site", F.col("url").alias("src"),
-                   F.explode(F.sequence(F.col("rk") + 1, F.col("rk") + fanout)).alias("rk"))
-    return src.join(p.select("site", "rk", F.col("url").alias("dst")), ["site", "rk"]).select("src", "dst")
+    nurl = normalise_url(F.col("url"))
+    queued = should_enqueue(F.col("nurl"), normalise_domain(F.col("nurl")), TEST, MAX_PATH_SLASHES, True)
+    p = pages.select("page_id", "url", nurl.alias("nurl")).withColumn("site", F.lower(netloc(F.col("nurl")))) \
+        .withColumn("late", (~queued).cast("int"))
+    ranked = rank_in_pieces(p.select("page_id", "url", "site", "late"), ["site"],
+                            [F.col("late"), F.floor(F.col("page_id") / FAN)], ["page_id"], "rk").withColumn("rk", F.col("rk") - 1)
+    per_site = p.filter(scheme(F.col("nurl")).isin("http", "https")).groupBy("site").agg(F.min("url").alias("seed"))
+    sizes = p.groupBy("site").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("step"))
+    ranked = staged(ranked.join(sizes, "site"), "captures")
+    hubs = ranked.filter(F.col("rk") % F.col("step") == 0).select("site", F.col("rk").alias("hub"), F.col("url").alias("src"))
+    from_seed = hubs.join(per_site, "site").select(F.col("seed").alias("src"), F.col("src").alias("dst"))
+    later = ranked.filter(F.col("rk") % F.col("step") != 0) \
+        .select("site", (F.col("rk") - F.col("rk") % F.col("step")).alias("hub"), F.col("url").alias("dst"))
+    return from_seed.unionByName(later.join(hubs, ["site", "hub"]).select("src", "dst"))
 
 
 def derived_robots(pages: DataFrame) -> DataFrame:

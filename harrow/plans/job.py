@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MALFORMED, MiningConfig
 from ..functions.ordinal import grouped_ordinal
-from ..functions.staging import staged
+from ..functions.staging import RunScope, staged
 from ..operators.content import page_content
 from ..operators.crawl import candidates as rank_candidates
 from ..operators.crawl import crawl_visits, visit_outcomes
@@ -49,6 +49,8 @@ class JobResult:
     warnings: DataFrame
     run_log: DataFrame
     summary: DataFrame
+    #: The run's intermediate tables, which all of the above read; ``scope.delete()`` when they are written.
+    scope: RunScope | None = None
 
 
 def parsed_content(pages: DataFrame, targets: DataFrame | None, cfg: MiningConfig, with_links: bool = True,
@@ -98,6 +100,13 @@ def run_job(targets: DataFrame, pages: DataFrame, cfg: MiningConfig = DEFAULT, *
     log says ``Failed`` and why, and the tables hold what was found until then.
     A malformed link is left out; with ``strict`` its page counts as a failed read.
     """
+    with RunScope(pages.sparkSession) as scope:
+        result = _run(targets, pages, cfg, robots, detail_pages, edges, run_ts, end_ts, similarity, checkpoint, strict)
+    result.scope = scope
+    return result
+
+
+def _run(targets, pages, cfg, robots, detail_pages, edges, run_ts, end_ts, similarity, checkpoint, strict) -> JobResult:
     run_ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     start = F.lit(run_ts).cast("timestamp")
     run_date = F.date_format(start, "yyyy-MM-dd")

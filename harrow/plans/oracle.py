@@ -314,7 +314,7 @@ def hits(hay: str, terms) -> str:
 
 def score_cols(title: str, url: str, text: str, cfg: C.MiningConfig) -> str:
     """SELECT-list fragment: candidate_score, matched_keywords(list), candidate_type, reason."""
-    hay = f"lower(concat_ws(' ', coalesce({title}, ''), {url}, coalesce({text}, '')))"
+    hay = f"lower(concat_ws(' ', coalesce({title}, ''), {url}, {clipped(f"coalesce({text}, '')", cfg.score_text_chars)}))"
     def body(h):
         lurl = f"lower({url})"
         nh, nl, nu = contains_count(h, cfg.high_keywords), contains_count(h, cfg.low_keywords), contains_count(lurl, cfg.url_hints)
@@ -334,12 +334,16 @@ def strip_chars(e: str, chars: str) -> str:
     return f"regexp_replace({e}, {q(f'^[{cls}]+|[{cls}]+$')}, '', 'g')"
 
 
-def first_match(text: str, patterns) -> str:
+def clipped(e: str, chars) -> str:
+    return e if chars is None else f"left({e}, {chars})"
+
+
+def first_match(text: str, patterns, chars=None) -> str:
     out = "'Unknown'"
     for pat in reversed(list(patterns)):
         rp = "(?i)" + pat
         grp = f"regexp_replace(regexp_extract({text}, {q(rp)}, 1), {q(WS + '+')}, ' ', 'g')"
-        val = strip_chars(grp, C.MATCH_STRIP_CHARS)
+        val = clipped(strip_chars(grp, C.MATCH_STRIP_CHARS), chars)
         out = f"(CASE WHEN regexp_matches({text}, {q(rp)}) THEN {val} ELSE {out} END)"
     return out
 
@@ -388,8 +392,8 @@ def infer_name(title: str, heading_: str, url: str, cfg: C.MiningConfig) -> str:
     """struct(name, inferred)"""
     def pick(h, t):
         from_url = let(url_name(url), lambda n: f"CASE WHEN {n} <> '' THEN {n} ELSE 'Unknown Programme' END")
-        return (f"CASE WHEN length({h}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := {h}, inferred := FALSE) "
-                f"WHEN length({t}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := {t}, inferred := TRUE) "
+        return (f"CASE WHEN length({h}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := {clipped(h, cfg.name_chars)}, inferred := FALSE) "
+                f"WHEN length({t}) >= {C.MIN_NAME_CHARS} THEN struct_pack(name := {clipped(t, cfg.name_chars)}, inferred := TRUE) "
                 f"ELSE struct_pack(name := {from_url}, inferred := TRUE) END")
     return let(clean_name(f"coalesce({heading_}, '')", cfg),
                lambda h: let(clean_name(f"coalesce({title}, '')", cfg), lambda t: pick(h, t)))

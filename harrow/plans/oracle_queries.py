@@ -18,9 +18,12 @@ IS_HTML = (f"({FAILURE} IS NULL AND (contains(lower(coalesce({KIND}, '')), 'text
            f"OR contains(lower(coalesce({KIND}, '')), 'application/xhtml')))")
 
 
-def _content_cte(src: str = "pages", name: str = "content") -> str:
+LIMITED = TEST.with_(**C.CRAWL_LIMITS)
+
+
+def _content_cte(src: str = "pages", name: str = "content", cfg=TEST) -> str:
     """Parsed + scored pages, URL normalised (all rows of ``src``)."""
-    sc = O.score_cols("title", "url", "text", TEST)
+    sc = O.score_cols("title", "url", "text", cfg)
     return f"""
 {name}_n AS (SELECT page_id, {O.normalise_url('url')} AS url, html FROM {src}),
 {name}_l AS (SELECT page_id, url, html, {O.lexical('html')} AS lex FROM {name}_n),
@@ -48,18 +51,21 @@ targets AS (SELECT target_idx, coalesce({O.ustrip('name')}, '') AS name, coalesc
 
 
 def _edges_cte() -> str:
-    nurl = O.normalise_url("url")
+    """Seed -> each k-th capture of the site, and these -> the captures up to the next; k is the rounded up root of the number."""
+    queued = O.should_enqueue("nurl", "dom", TEST)
     return f"""
-pg_site AS (SELECT page_id, url, lower({O.part(nurl, 2)}) AS site FROM pages),
-nexts AS (SELECT url AS src, lead(url, 1) OVER w AS n1, lead(url, 2) OVER w AS n2, lead(url, 3) OVER w AS n3
-    FROM pg_site WINDOW w AS (PARTITION BY site ORDER BY page_id)),
-edges_raw AS (SELECT src, n1 AS dst FROM nexts WHERE n1 IS NOT NULL UNION ALL
-              SELECT src, n2 FROM nexts WHERE n2 IS NOT NULL UNION ALL
-              SELECT src, n3 FROM nexts WHERE n3 IS NOT NULL),
-edges AS (SELECT {O.normalise_url('src')} AS src, {O.normalise_url('dst')} AS dst FROM edges_raw)"""
+pg0 AS (SELECT page_id, url, {O.normalise_url('url')} AS nurl FROM pages),
+pg1 AS (SELECT *, lower({O.part('nurl', 2)}) AS site, {O.normalise_domain('nurl')} AS dom, {O.scheme('nurl')} IN ('http', 'https') AS web FROM pg0),
+pg2 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY CASE WHEN {queued} THEN 0 ELSE 1 END, page_id) - 1 AS rk,
+    ceil(sqrt(count(*) OVER (PARTITION BY site)))::BIGINT AS k, min(url) FILTER (web) OVER (PARTITION BY site) AS seed FROM pg1),
+edges_raw AS (SELECT seed AS src, url AS dst FROM pg2 WHERE rk % k = 0 AND seed IS NOT NULL UNION ALL
+    SELECT last_value(CASE WHEN rk % k = 0 THEN url END IGNORE NULLS) OVER (PARTITION BY site ORDER BY rk) AS src,
+        CASE WHEN rk % k <> 0 THEN url END AS dst FROM pg2),
+edges AS (SELECT {O.normalise_url('src')} AS src, {O.normalise_url('dst')} AS dst FROM edges_raw WHERE dst IS NOT NULL)"""
 
 
-def _job_ctes(cap: int | None = None, fallback: bool = False, robots: bool = False) -> str:
+def _job_ctes(cap: int | None = None, fallback: bool = False, robots: bool = False, cfg=TEST) -> str:
+    cap = cap or cfg.max_pages
     l = O.v()
     enq_l = O.should_enqueue(l, "domain", TEST)
     enq_e = O.should_enqueue("e.dst", "p.domain", TEST)
@@ -71,7 +77,7 @@ def _job_ctes(cap: int | None = None, fallback: bool = False, robots: bool = Fal
 site_rank AS (SELECT site, (dense_rank() OVER (ORDER BY site) - 1) AS rk FROM (SELECT DISTINCT lower({O.part(nurl, 2)}) AS site FROM pages)),
 pages_emptied AS (SELECT p.page_id, p.url, CASE WHEN s.rk % 3 = 0 THEN '' ELSE p.html END AS html
     FROM pages p JOIN site_rank s ON lower({O.part(O.normalise_url('p.url'), 2)}) = s.site),
-{_content_cte('pages_emptied', 'dcontent')[1:]}"""
+{_content_cte('pages_emptied', 'dcontent', cfg)[1:]}"""
         detail_src = "dcontent"
     levels = []
     prev_vis = "vis0"
@@ -92,7 +98,7 @@ v{depth} AS (SELECT * FROM (SELECT f.target_idx, f.domain, f.url, {depth} AS dep
     FROM fresh{depth} f JOIN base{depth} b ON f.target_idx = b.target_idx){f" WHERE visit_rank <= {cap}" if cap else ""}),
 vis{depth} AS (SELECT * FROM {prev_vis} UNION ALL SELECT * FROM v{depth})""")
         prev_vis, prev_lvl = f"vis{depth}", f"v{depth}"
-    fields = ",\n    ".join(f"{O.first_match('detail_text', TEST.field_patterns.get(f, []))} AS {f}" for f in FIELD_ORDER)
+    fields = ",\n    ".join(f"{O.first_match('detail_text', TEST.field_patterns.get(f, []), cfg.match_chars)} AS {f}" for f in FIELD_ORDER)
     review = [("Programme Name", "nm.name"), ("Programme Dates", "programme_dates"),
               ("Application Deadline", "application_deadline"), ("Programme Fee", "programme_fee"),
               ("Housing", "housing"), ("Eligibility", "eligibility"), ("Source URL", "url")]
@@ -102,9 +108,9 @@ vis{depth} AS (SELECT * FROM {prev_vis} UNION ALL SELECT * FROM v{depth})""")
     unknown_cols = ", ".join(f"'Unknown' AS {c}" for c in [
         "programme_type", "target_students", "language", "duration_period", "programme_dates",
         "application_deadline", "programme_fee", "housing", "credits_certificate", "main_contents", "eligibility"])
-    fb_name = O.infer_name("page_title", "''", "url", TEST)
+    fb_name = O.infer_name("page_title", "''", "url", cfg)
     return f"""
-{_content_cte()[1:]},
+{_content_cte(cfg=cfg)[1:]},
 {_targets_cte()[1:]},
 {_edges_cte()[1:]}{extra},{_robots_ctes()[1:] + "," if robots else ""}
 scope_keys AS (SELECT DISTINCT c.url, c.page_id FROM content c, (SELECT DISTINCT {O.normalise_domain('allowed_domain')} AS d FROM targets) t
@@ -131,7 +137,7 @@ cands AS (SELECT o.target_idx, t.name AS university_name, t.country, o.url, o.ti
 reads AS (SELECT k.*, d.page_id IS NOT NULL AS read_ok, coalesce(d.page_id IS NOT NULL AND d.has_html, FALSE) AS detail_has_html,
     d.title AS detail_title, d.heading AS detail_heading, d.text AS detail_text FROM cands k LEFT JOIN dc d ON k.url = d.url),
 h0 AS (SELECT *, CASE WHEN detail_title <> '' THEN detail_title ELSE page_title END AS stitle FROM reads WHERE detail_has_html),
-h1 AS (SELECT *, {O.infer_name('stitle', 'detail_heading', 'url', TEST)} AS nm,
+h1 AS (SELECT *, {O.infer_name('stitle', 'detail_heading', 'url', cfg)} AS nm,
     {O.programme_type('detail_text', 'url', TEST)} AS programme_type, {O.language('detail_text', TEST)} AS language,
     {O.housing('detail_text', TEST)} AS housing,
     {fields},
@@ -153,7 +159,7 @@ fb AS (SELECT target_idx, university_name, country, ({fb_name}).name AS programm
     url AS source_url, page_title AS source_page_title, least(candidate_score, {C.FALLBACK_CONFIDENCE_CAP})::INTEGER AS confidence_score,
     {q(', '.join(C.FALLBACK_MISSING))} AS missing_fields, 'Needs human review' AS review_status, {q(RUN_DATE)} AS last_checked,
     'fallback' AS extraction_method, {q(C.FALLBACK_NOTE)} AS notes, candidate_rank
-    FROM cands WHERE target_idx NOT IN (SELECT DISTINCT target_idx FROM heur)),
+    FROM cands WHERE target_idx NOT IN (SELECT DISTINCT target_idx FROM heur){f' AND candidate_rank <= {cfg.fallback_top}' if cfg.fallback_top else ''}),
 rows0 AS (SELECT *, row_number() OVER (ORDER BY target_idx, candidate_rank) AS row_idx FROM (SELECT * FROM heur UNION ALL BY NAME SELECT * FROM fb)),
 rows1 AS (SELECT *, {O.name_key('programme_name')} AS nkey,
     CASE WHEN coalesce(source_url, '') <> '' THEN {O.normalise_url('source_url')} ELSE '' END AS ukey FROM rows0),
@@ -175,8 +181,8 @@ warn AS (SELECT o.target_idx, 1 AS phase, o.visit_rank AS rnk, t.name || ': ' ||
 def _allowed(p: str) -> str:
     """Whether the robots rules let the visit be read (``p`` prefixes its columns)."""
     path = f"({O.part(p + 'url', 3)} || CASE WHEN {O.part(p + 'url', 4)} <> '' THEN '?' || {O.part(p + 'url', 4)} ELSE '' END)"
-    return (f"coalesce((SELECT arg_min(r.allow, r.rule_pos) FROM rrules r WHERE r.target_idx = {p}target_idx AND (r.rule_path = '*' "
-            f"OR starts_with(CASE WHEN {path} = '' THEN '/' ELSE {path} END, r.rule_path))), TRUE)")
+    return (f"coalesce((SELECT arg_min(r.allow, r.rule_pos) FROM rrules r WHERE r.target_idx = {p}target_idx "
+            f"AND starts_with(CASE WHEN {path} = '' THEN '/' ELSE {path} END, r.rule_path)), TRUE)")
 
 
 def _with(ctes: str, body: str) -> str:
@@ -187,6 +193,22 @@ def _job_query(body: str, **kw) -> str:
     return _with(_job_ctes(**kw), body)
 
 
+def _run_log_sql(warnings: str) -> str:
+    ts = RUN_TS.strftime("%Y-%m-%d %H:%M:%S UTC")
+    return f"""SELECT {q(ts)} AS start_time, {q(ts)} AS end_time,
+    (SELECT count(*) FROM targets)::BIGINT AS universities_processed,
+    (SELECT count(DISTINCT target_idx) FROM cands)::BIGINT AS universities_with_candidates,
+    (SELECT count(DISTINCT target_idx) FROM marked)::BIGINT AS universities_with_extracted_programmes,
+    (SELECT count(*) FROM visits)::BIGINT AS total_pages_visited,
+    (SELECT count(*) FROM cands)::BIGINT AS total_candidate_pages,
+    (SELECT count(*) FROM reads WHERE read_ok)::BIGINT AS candidate_pages_read,
+    (SELECT count(*) FROM marked)::BIGINT AS total_programme_rows,
+    (SELECT count(*) FROM marked WHERE extraction_method = 'fallback')::BIGINT AS fallback_rows,
+    (SELECT count(*) FROM marked WHERE duplicate_status = 'Duplicate')::BIGINT AS duplicate_rows,
+    CASE WHEN (SELECT count(*) FROM warn) > 0 THEN 'Completed with warnings' ELSE 'Completed' END AS status,
+    {warnings} AS warnings, '' AS errors"""
+
+
 def build() -> dict[str, str]:
     out: dict[str, str] = {}
     cnt = _content_cte()
@@ -268,20 +290,18 @@ named2 AS (SELECT *, {O.part('ukey', 2)} AS bnet, {O.block_path('ukey')} AS bpat
     LEFT JOIN (SELECT target_idx, count(*) AS n FROM cands GROUP BY 1) c ON t.target_idx = c.target_idx
     LEFT JOIN (SELECT target_idx, count(*) AS n, sum(CASE WHEN extraction_method = 'fallback' THEN 1 ELSE 0 END) AS f
                FROM marked GROUP BY 1) r ON t.target_idx = r.target_idx""")
-    ts = RUN_TS.strftime("%Y-%m-%d %H:%M:%S UTC")
-    out["run_log"] = _job_query(f"""SELECT {q(ts)} AS start_time, {q(ts)} AS end_time,
-    (SELECT count(*) FROM targets)::BIGINT AS universities_processed,
-    (SELECT count(DISTINCT target_idx) FROM cands)::BIGINT AS universities_with_candidates,
-    (SELECT count(DISTINCT target_idx) FROM marked)::BIGINT AS universities_with_extracted_programmes,
-    (SELECT count(*) FROM visits)::BIGINT AS total_pages_visited,
-    (SELECT count(*) FROM cands)::BIGINT AS total_candidate_pages,
-    (SELECT count(*) FROM reads WHERE read_ok)::BIGINT AS candidate_pages_read,
-    (SELECT count(*) FROM marked)::BIGINT AS total_programme_rows,
-    (SELECT count(*) FROM marked WHERE extraction_method = 'fallback')::BIGINT AS fallback_rows,
-    (SELECT count(*) FROM marked WHERE duplicate_status = 'Duplicate')::BIGINT AS duplicate_rows,
-    CASE WHEN (SELECT count(*) FROM warn) > 0 THEN 'Completed with warnings' ELSE 'Completed' END AS status,
-    CASE WHEN (SELECT count(*) FROM warn) > 0 THEN (SELECT count(*) FROM warn) || ' in the warnings table' ELSE '' END AS warnings,
-    '' AS errors""")
+    out["run_log"] = _job_query(_run_log_sql("""CASE WHEN (SELECT count(*) FROM warn) > 0
+        THEN (SELECT count(*) FROM warn) || ' in the warnings table' ELSE '' END"""))
+    limits = {"cfg": LIMITED, "fallback": True, "robots": True}
+    out["limited_visits"] = _job_query("SELECT target_idx, visit_rank, depth, url FROM visits", **limits)
+    out["limited_candidates"] = _job_query(
+        "SELECT target_idx, candidate_rank, university_name, country, url, page_title, candidate_score, "
+        "array_to_string(matched_keywords, ', ') AS matched_keywords, candidate_type, reason, needs_review FROM cands", **limits)
+    out["limited_rows"] = _job_query(f"SELECT {cols} FROM marked", **limits)
+    out["limited_run_log"] = _job_query(_run_log_sql(f"""coalesce((SELECT string_agg(text, ' | ' ORDER BY target_idx, phase, rnk)
+        FROM (SELECT * FROM warn ORDER BY target_idx, phase, rnk LIMIT {LIMITED.warnings_kept})), '')"""), **limits)
+    out["targets_csv"] = _with(_targets_cte(), """SELECT target_idx, trim(name, ' ' || chr(9)) AS name, country, seed_url, allowed_domain,
+    'a "note", Site ' || split_part(trim(name, ' ' || chr(9)), ' ', 2) || chr(10) || 'in two lines' AS notes FROM targets""")
     out.update(build_robots())
     return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.staging import member_test, staged
+from ..functions.staging import few, probable_members, staged
 from ..functions.urls import host, host_suffixes, normalise_url, scheme
 
 
@@ -59,18 +59,38 @@ def pages_normalised(pages: DataFrame, domains: DataFrame | None = None, narrow=
     """
     keyed = with_capture_status(pages).withColumn("url", normalise_url(F.col("url")))
     first = staged(first_captures(keyed, domains).withColumnRenamed("page_id", "_first"), "first-captures")
-    may_be_first = member_test(first.select(F.xxhash64("url", "_first").alias("k")), "k")
-    rows = keyed.filter(may_be_first(F.xxhash64("url", "page_id")))
+    rows = probable_members(keyed, F.xxhash64("url", "page_id"), first, F.xxhash64("url", "_first"))
     rows = narrow(rows) if narrow is not None else rows.drop("html")
     return rows.join(first, "url").filter(F.col("page_id").eqNullSafe(F.col("_first"))).drop("_first").dropDuplicates(["url"])
 
 
-def in_domains(keys: DataFrame, domains: DataFrame) -> DataFrame:
+#: So many domain names go to all tasks: at most 253 bytes each, 13 MB together.
+FEW_DOMAINS = 50_000
+LONGEST_HOST = 253
+SALTS = 16
+
+
+def match_domains(keys: DataFrame, domains: DataFrame, few_domains: int = FEW_DOMAINS) -> DataFrame:
+    """``keys(url, ...)`` joined with the ``domains(domain, ...)`` that are its host (less ``www.``) or a dot-suffix of it.
+
+    A suffix like ``com`` that ends most hosts is no domain: it must not reach a
+    shuffle.  A few names are broadcast, so nothing is shuffled at all.  More of
+    them first leave out, by a bitmap, the suffixes that are none of them; the
+    rest is joined on (suffix, salt), so that rows of a domain with a third of
+    all pages go to ``SALTS`` tasks.
+    """
+    sfx = keys.withColumn("domain", F.explode(host_suffixes(F.regexp_replace(host(F.col("url")), r"^www\.", ""))))
+    if few(domains.filter(F.length("domain") <= LONGEST_HOST), few_domains) and domains.filter(F.length("domain") > LONGEST_HOST).isEmpty():
+        return sfx.join(F.broadcast(domains), "domain")
+    sfx = probable_members(sfx, F.xxhash64("domain"), domains, F.xxhash64("domain"))
+    salted = domains.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return sfx.withColumn("_salt", F.pmod(F.xxhash64(*keys.columns), F.lit(SALTS)).cast("int")).join(salted, ["domain", "_salt"]).drop("_salt")
+
+
+def in_domains(keys: DataFrame, domains: DataFrame, few_domains: int = FEW_DOMAINS) -> DataFrame:
     """Rows of ``keys(url, ...)`` whose http(s) host is a domain or below one.
 
     A row may match several nested domains; callers aggregate or semi-join.
     """
-    sfx = keys.withColumn("_sfx", F.explode(host_suffixes(F.regexp_replace(host(F.col("url")), r"^www\.", "")))) \
-        .filter(scheme(F.col("url")).isin("http", "https"))
-    d = domains.select(F.col("domain").alias("_sfx")).distinct()
-    return sfx.join(d, "_sfx", "left_semi").drop("_sfx")
+    web = keys.filter(scheme(F.col("url")).isin("http", "https"))
+    return match_domains(web, domains.select("domain").distinct(), few_domains).drop("domain")

@@ -82,11 +82,20 @@ def _request_path(url):
 
 
 def robots_flag(visits: DataFrame, rules: DataFrame, cfg: MiningConfig) -> DataFrame:
-    """Adds ``allowed``: the first matching rule of the target decides."""
+    """Adds ``allowed``: the first matching rule of the target decides.
+
+    An equi-join on (target, beginning of the request): each visit is cut to the
+    lengths that occur among its target's rules, so it gives one row per length,
+    not per rule, and meets at most one rule for each.
+    """
+    first = rules.select("target_idx", F.col("rule_path").alias("_path"), "rule_pos", "allow").groupBy("target_idx", "_path") \
+        .agg(F.min("rule_pos").alias("_pos"), F.min_by("allow", "rule_pos").alias("_rule"))
+    lengths = first.groupBy("target_idx").agg(F.collect_set(F.length("_path")).alias("_lengths"))
     keyed = visits.withColumn("_req", _request_path(F.col("url")))
-    hit = keyed.select("target_idx", "url", "_req").join(rules, "target_idx") \
-        .filter((F.col("rule_path") == "*") | F.col("_req").startswith(F.col("rule_path"))) \
-        .groupBy("target_idx", "url").agg(F.min_by("allow", "rule_pos").alias("_allow"))
+    cut = keyed.select("target_idx", "url", "_req").join(lengths, "target_idx") \
+        .select("target_idx", "url", "_req", F.explode(F.filter("_lengths", lambda n: n <= F.length("_req"))).alias("_n")) \
+        .select("target_idx", "url", F.substring(F.col("_req"), F.lit(1), F.col("_n")).alias("_path"))
+    hit = cut.join(first, ["target_idx", "_path"]).groupBy("target_idx", "url").agg(F.min_by("_rule", "_pos").alias("_allow"))
     return keyed.join(hit, ["target_idx", "url"], "left") \
         .withColumn("allowed", F.coalesce(F.col("_allow"), F.lit(True))).drop("_req", "_allow")
 

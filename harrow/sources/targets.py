@@ -1,7 +1,7 @@
 """Targets: the table of sites to explore.
 
 ``read_targets`` reads the CSV form (UTF-8, optional BOM, quoted multi-line
-fields, header).  Columns are bound by header name; validation errors are
+fields, header), or a folder of such files in the order of their names.  Columns are bound by header name; validation errors are
 raised on the driver before anything is written, with a bounded probe
 (``limit(1)``) rather than a collect of the table.
 """
@@ -24,12 +24,17 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError("Please select target_universities.csv. Excel input is not supported yet.")
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
            .option("encoding", "UTF-8").option("inferSchema", False).csv(path))
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
     raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     missing = [c for c in INPUT_COLUMNS if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} is missing required column(s): {', '.join(missing)}")
-    # File order: monotonically increasing ids follow input split order.
-    indexed = raw.withColumn("_pos", F.monotonically_increasing_id())
+    # File order: files by name, rows as they stand.  A file with multi-line fields is read whole by one
+    # task, whichever others are with it, and the ids of a task grow by one, from a multiple of 2**33.
+    rows = staged(raw, "targets")
+    files = range_ordinal(rows.select("_file").distinct(), "_file", "_no").withColumnRenamed("_file", "_name")
+    indexed = rows.join(files, rows["_file"] == files["_name"]) \
+        .withColumn("_pos", F.col("_no") * F.lit(1 << 33) + F.pmod("_row", F.lit(1 << 33)))
     return clean_targets(indexed.select(
         "_pos",
         F.col("`University Name`").alias("name"), F.col("Country").alias("country"),
