@@ -66,25 +66,34 @@ def few(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def probable_members(df: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column, bits: int = 26) -> DataFrame:
-    """Rows of ``df`` whose 64-bit hash may be among those of ``keys``, without a shuffle of ``df``.
+def with_membership(df: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column, out: str, bits: int = 26) -> DataFrame:
+    """``df`` with a boolean: whether its 64-bit hash may be among those of ``keys``; ``df`` isn't shuffled.
 
     The bitmap aggregates set one bit for each hash modulo ``2**bits``; the
     bitmaps, at most ``2**bits / 8`` bytes (8 MB) at any size, are joined to the
-    rows by their number.  No key is lost; others pass when there are very many
-    keys, so an exact join has to follow.
+    rows by their number.  It is true for every key, and for some others when
+    there are very many keys, so an exact join has to follow.
     """
-    def slot(h):
+    taken = {c.lower() for c in df.columns}
+    tail = next(t for t in ("_" * n for n in range(len(taken) + 1)) if not {f"_slot{t}", f"_bucket{t}", f"_bits{t}"} & taken)
+    slot, bucket, bitmap = f"_slot{tail}", f"_bucket{tail}", f"_bits{tail}"
+
+    def numbered(h):
         return F.pmod(h, F.lit(1 << bits)) + 1  # buckets count from 1, each of 32768 bits
 
-    maps = keys.select(slot(key_hash).alias("_slot")) \
-        .groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-    rows = df.withColumn("_slot", slot(hashed))
-    at = F.bitmap_bit_position("_slot")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_bucket")) \
-        .filter(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0) \
-        .drop("_slot", "_bucket", "_bits")
+    maps = keys.select(numbered(key_hash).alias(slot)) \
+        .groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bitmap))
+    rows = df.withColumn(slot, numbered(hashed))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col(bucket), "left") \
+        .withColumn(out, F.coalesce(bit, F.lit(False))).drop(slot, bucket, bitmap)
+
+
+def probable_members(df: DataFrame, hashed: Column, keys: DataFrame, key_hash: Column, bits: int = 26) -> DataFrame:
+    """Rows of ``df`` whose 64-bit hash may be among those of ``keys``; see :func:`with_membership`."""
+    return with_membership(df, hashed, keys, key_hash, "_member", bits).filter("_member").drop("_member")
 
 
 def member_test(keys: DataFrame, column: str, bits: int = 26):

@@ -4,9 +4,16 @@ Every rule is a native expression: ordered regex rules are extracted once each,
 in their order, until one finds something (that wins, even if it strips to
 nothing), labels keep Python's Unicode case-insensitivity through Java's
 ``(?iu)`` flags, and whole-word tests use explicit letter/digit look-arounds.
+
+A rule can only match where its label stands.  The letters that every match of a
+rule has to hold (its *anchors*) are read off the rule, and sought as plain text in the
+folded page text; only rules with an anchor there run their expression.
 """
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,29 +24,82 @@ from ..functions.urls import path_tail
 JAVA_FLAGS = "(?iu)"
 
 
-def first_match(text: Column, patterns, chars: int | None = None) -> Column:
-    """Group 1 of the first pattern that finds one, cleaned; ``Unknown`` if none does."""
+#: The letters beside A to Z that a case-insensitive match takes for a letter from a to z, and that letter.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def folded(text: Column) -> Column:
+    """Lower-case text in which the anchors of case-insensitive rules are sought."""
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def _longest(sequence) -> tuple[str, ...]:
+    """Texts one of which is in every match of a parsed sequence: those whose shortest is longest; none if there are none."""
+    found: list[tuple[str, ...]] = []
+    run = ""
+    for op, arg in [*sequence, (None, None)]:
+        name = str(op)
+        if name == "LITERAL" and arg < 128:
+            run += chr(arg).lower()
+            continue
+        found.append((run,) if run else ())
+        run = ""
+        if name == "SUBPATTERN":
+            found.append(_longest(arg[-1]))
+        elif name == "BRANCH":
+            ways = [_longest(way) for way in arg[1]]
+            found.append(tuple(x for way in ways for x in way) if all(ways) else ())
+        elif name in ("MAX_REPEAT", "POSSESSIVE_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            found.append(_longest(arg[2]))
+    return max(found, key=lambda f: min(map(len, f), default=0))
+
+
+@lru_cache(maxsize=1000)
+def anchors(pattern: str) -> tuple[str, ...]:
+    """Lower-case texts one of which every match of ``pattern`` holds; empty where that can't be told."""
+    try:
+        return _longest(re._parser.parse(pattern))
+    except (re.error, AttributeError):
+        return ()
+
+
+def _extracted(text: Column, low: Column, pattern: str) -> Column:
+    value = F.regexp_extract(text, JAVA_FLAGS + pattern, 1)
+    near = anchors(pattern)
+    return F.nullif(F.when(T.contains_any(low, near), value) if near else value, F.lit(""))
+
+
+def first_match(text: Column, patterns, chars: int | None = None, low: Column | None = None) -> Column:
+    """Group 1 of the first pattern that finds one, cleaned; ``Unknown`` if none does.
+
+    ``low`` is the folded text, where several calls share it.
+    """
     if not patterns:
         return F.lit("Unknown")
-    raw = F.coalesce(*[F.nullif(F.regexp_extract(text, JAVA_FLAGS + p, 1), F.lit("")) for p in patterns])
+    raw = F.coalesce(*[_extracted(text, folded(text) if low is None else low, p) for p in patterns])
     value = T.strip_chars(F.regexp_replace(raw, rf"{T.WS}+", " "), C.MATCH_STRIP_CHARS)
     return F.coalesce(T.clipped(value, chars), F.lit("Unknown"))
 
 
-def whole_word(text: Column, words) -> Column:
+def whole_word(text: Column, words, low: Column | None = None) -> Column:
+    """Whether one of the words (expressions) stands in the text; they are sought as plain text first where they are plain."""
     alt = "|".join(words)
-    return text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{alt})(?![\p{{L}}\p{{N}}_])")
+    found = text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{alt})(?![\p{{L}}\p{{N}}_])")
+    near = [anchors(w) for w in words]
+    if not all(near):
+        return found
+    return F.when(T.contains_any(folded(text) if low is None else low, [x for n in near for x in n]), found).otherwise(F.lit(False))
 
 
-def language(text: Column, cfg: C.MiningConfig) -> Column:
+def language(text: Column, cfg: C.MiningConfig, low: Column | None = None) -> Column:
     out = F.lit("Unknown")
     for label, word in reversed(cfg.language_words):
-        out = F.when(whole_word(text, [word]), F.lit(label)).otherwise(out)
+        out = F.when(whole_word(text, [word], low), F.lit(label)).otherwise(out)
     return out
 
 
-def housing(text: Column, cfg: C.MiningConfig) -> Column:
-    return F.when(whole_word(text, cfg.housing_words), F.lit("Available")).otherwise(F.lit("Unknown"))
+def housing(text: Column, cfg: C.MiningConfig, low: Column | None = None) -> Column:
+    return F.when(whole_word(text, cfg.housing_words, low), F.lit("Available")).otherwise(F.lit("Unknown"))
 
 
 def programme_type(text: Column, url: Column, cfg: C.MiningConfig) -> Column:
@@ -95,13 +155,14 @@ def extract_programmes(cands: DataFrame, cfg: C.MiningConfig, run_date: Column)
     d = cands.filter(F.col("detail_has_html"))
     d = d.withColumn("_title", F.when(F.col("detail_title") != "", F.col("detail_title")).otherwise(F.col("page_title")))
     d = d.withColumn("_name", infer_name(F.col("_title"), F.col("detail_heading"), F.col("url"), cfg))
-    text = F.col("detail_text")
-    fields = {f: first_match(text, cfg.field_patterns.get(f, []), cfg.match_chars) for f in FIELD_ORDER}
+    text, low = F.col("detail_text"), F.col("_low")
+    d = d.withColumn("_low", folded(text))
+    fields = {f: first_match(text, cfg.field_patterns.get(f, []), cfg.match_chars, low) for f in FIELD_ORDER}
     d = d.select(
         "*",
         programme_type(text, F.col("url"), cfg).alias("programme_type"),
-        language(text, cfg).alias("language"),
-        housing(text, cfg).alias("housing"),
+        language(text, cfg, low).alias("language"),
+        housing(text, cfg, low).alias("housing"),
         *[fields[f].alias(f) for f in FIELD_ORDER],
         T.count_contained(F.lower(text), cfg.high_keywords).alias("_kw"),
     )

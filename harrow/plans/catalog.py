@@ -24,7 +24,7 @@ from ..functions.urls import is_allowed, netloc, normalise_domain, normalise_url
 from ..operators import extract as X
 from ..operators.content import page_content
 from ..operators.dedupe import assign_groups, block_key, name_key
-from ..operators.scoring import score_columns
+from ..operators.scoring import score_by_table, score_columns
 from ..sources.pages import match_domains, pages_normalised, with_capture_status
 from ..sources.robots import robots_flag, robots_rules
 from ..sources.sinks import candidate_report, row_highlight, warnings_report
@@ -122,6 +122,26 @@ def q_page_scores(spark, sf):
                                       "candidate_type", "reason")
 
 
+def site_lexicon(content: DataFrame) -> DataFrame:
+    """A lexicon of thousands of terms, made of the pages' own titles and hosts.
+
+    High: titles' words of 8 letters and more; low: those of 5 to 7; url: the host names; action: the last two letters of titles.
+    """
+    words = content.select(F.explode(F.split(F.lower("title"), "[^\\p{L}]+")).alias("term"))
+    high = words.filter(F.length("term") >= 8).select(F.lit("high").alias("kind"), "term")
+    low = words.filter(F.length("term").between(5, 7)).select(F.lit("low").alias("kind"), "term")
+    url = content.select(F.lit("url").alias("kind"), F.lower(netloc(F.col("url"))).alias("term"))
+    action = content.filter("length(title) > 40").select(F.lit("action").alias("kind"), F.lower(F.substring("title", -2, 2)).alias("term"))
+    terms = high.unionByName(low).unionByName(url).unionByName(action).distinct()
+    return range_ordinal(terms.withColumn("_t", F.concat_ws(" ", "kind", "term")), "_t", "pos").select("kind", F.col("pos").cast("int").alias("pos"), "term")
+
+
+def q_page_scores_lexicon(spark, sf):
+    content = _content(spark, sf).drop("candidate_score", "matched_keywords", "candidate_type", "reason")
+    return score_by_table(content, staged(site_lexicon(content), "lexicon"), "page_id", TEST).select(
+        "page_id", "candidate_score", F.array_join("matched_keywords", ", ").alias("matched_keywords"), "candidate_type", "reason")
+
+
 def _exploded_links(spark, sf):
     return _content(spark, sf).select("page_id", "url", F.explode("links").alias("link"))
 
@@ -163,8 +183,8 @@ def q_programme_name(spark, sf):
 
 
 def q_first_match(spark, sf):
-    c = _content(spark, sf)
-    return c.select("page_id", *[X.first_match(F.col("text"), TEST.field_patterns[f]).alias(f) for f in X.FIELD_ORDER])
+    c = _content(spark, sf).withColumn("_low", X.folded(F.col("text")))
+    return c.select("page_id", *[X.first_match(F.col("text"), TEST.field_patterns[f], low=F.col("_low")).alias(f) for f in X.FIELD_ORDER])
 
 
 def q_language_flag(spark, sf):
@@ -322,4 +342,5 @@ QUERIES = {
     "target_summary": q_target_summary, "run_log": q_run_log, "robots_rules": q_robots_rules,
     "robots_gate": q_robots_gate, "limited_visits": q_limited_visits, "limited_candidates": q_limited_candidates,
     "limited_rows": q_limited_rows, "limited_run_log": q_limited_run_log, "targets_csv": q_targets_csv,
+    "page_scores_lexicon": q_page_scores_lexicon,
 }

@@ -31,7 +31,7 @@ from ..operators.crawl import crawl_visits, visit_outcomes
 from ..operators.dedupe import mark_duplicates
 from ..operators.extract import PROGRAMME_OUT, extract_programmes, fallback_rows
 from ..operators.runlog import run_log, target_summary
-from ..operators.scoring import score_columns
+from ..operators.scoring import score_pages
 from ..sources.pages import pages_normalised
 from ..sources.robots import robots_flag, robots_rules
 from ..sources.targets import seed_faults, target_domains
@@ -63,7 +63,7 @@ def parsed_content(pages: DataFrame, targets: DataFrame | None, cfg: MiningConfi
     level reads URLs and links alone, and a lost executor never re-parses HTML.
     """
     domains = target_domains(targets) if targets is not None else None
-    content = score_columns(pages_normalised(pages, domains, lambda p: page_content(p, with_links)), cfg)
+    content = score_pages(pages_normalised(pages, domains, lambda p: page_content(p, with_links)), cfg, "url")
     return staged(content, "content") if persist else content
 
 

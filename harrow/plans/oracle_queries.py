@@ -222,6 +222,23 @@ c AS (SELECT *, {O.cleaned('lex')} AS clean FROM l)"""
     out["page_links"] = _with(cnt, "SELECT page_id, array_to_string(links, ' ') AS links, len(links) AS n_links FROM content")
     out["page_scores"] = _with(cnt, "SELECT page_id, url, candidate_score, array_to_string(matched_keywords, ', ') AS matched_keywords, "
                                     "candidate_type, reason FROM content")
+    points = (f"least(100, high * {C.HIGH_WEIGHT} + low * {C.LOW_WEIGHT} + urls * {C.URL_WEIGHT})")
+    tier = "CASE WHEN high > 0 THEN {0} WHEN low > 0 OR urls > 0 THEN {1} ELSE {2} END"
+    out["page_scores_lexicon"] = _with(cnt, f"""
+, words AS (SELECT unnest(regexp_split_to_array(lower(title), '[^\\p{{L}}]+')) AS term FROM content),
+lex AS (SELECT DISTINCT 'high' AS kind, term FROM words WHERE length(term) >= 8
+    UNION SELECT 'low', term FROM words WHERE length(term) BETWEEN 5 AND 7
+    UNION SELECT 'url', lower({O.part('url', 2)}) FROM content
+    UNION SELECT 'action', lower(right(title, 2)) FROM content WHERE length(title) > 40),
+hay AS (SELECT page_id, lower(concat_ws(' ', coalesce(title, ''), url, coalesce(text, ''))) AS h, lower(url) AS u FROM content),
+hit AS (SELECT page_id, kind, term FROM hay JOIN lex ON contains(CASE WHEN kind = 'url' THEN u ELSE h END, term)),
+n AS (SELECT page_id, count(*) FILTER (kind = 'high') AS high, count(*) FILTER (kind = 'low') AS low, count(*) FILTER (kind = 'url') AS urls,
+    count(*) FILTER (kind = 'action') AS act, string_agg(term, ', ' ORDER BY kind, term) FILTER (kind IN ('high', 'low')) AS terms FROM hit GROUP BY page_id),
+p AS (SELECT hay.page_id, coalesce(high, 0) AS high, coalesce(low, 0) AS low, coalesce(urls, 0) AS urls, coalesce(act, 0) AS act, coalesce(terms, '') AS terms
+    FROM hay LEFT JOIN n ON n.page_id = hay.page_id)
+SELECT page_id, (CASE WHEN act > 0 THEN least(100, {points} + {C.ACTION_BONUS}) ELSE {points} END)::INTEGER AS candidate_score,
+    terms AS matched_keywords, {tier.format(*[q(k[0]) for k in (C.STRONG, C.POSSIBLE, C.LOW)])} AS candidate_type,
+    {tier.format(*[q(k[1]) for k in (C.STRONG, C.POSSIBLE, C.LOW)])} AS reason FROM p""")
     ex = cnt + ",\nex AS (SELECT page_id, url, unnest(links) AS link FROM content)"
     out["url_skip"] = _with(ex, f"SELECT page_id, link, {O.should_skip('link', TEST)} AS skip FROM ex")
     out["frontier_filter"] = _with(ex, f"SELECT page_id, link, {O.should_enqueue('link', O.normalise_domain('url'), TEST)} AS enqueue FROM ex")
