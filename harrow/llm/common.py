@@ -2,15 +2,17 @@
 from __future__ import annotations
 
 import ctypes
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import member_test, scratch, staged
 
-__all__ = ["components", "crc_mod", "fresh", "member_test", "mix64", "read", "runs", "scratch", "staged", "text_of",
-           "trim"]
+__all__ = ["bitmap", "components", "crc_mod", "frames", "fresh", "member_test", "mix64", "read", "runs", "scratch", "sorted_groups",
+           "staged", "text_of", "trim"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +64,38 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each number below ``2**bits`` in the column ``slot``: ``2**bits / 8`` bytes at any size."""
+    slot = F.col("slot") + 1  # buckets count from 1, each of 32768 bits
+    rows = slots.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")) \
+        .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        at = (r["b"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def sorted_groups(batches, keys: int):
+    """``(key, rows)`` of rows that arrive sorted by their first ``keys`` columns, in batches."""
+    def rows():
+        for b in batches:
+            yield from zip(*(b[c].tolist() for c in b.columns))
+    return groupby(rows(), key=lambda r: r[:keys])
+
+
+def frames(rows, columns: list[str], size: int = 2000):
+    """Frames of ``size`` rows each."""
+    held: list = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= size:
+            yield pd.DataFrame(held, columns=columns)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def trim() -> None:
     """Give freed memory back to the system, as a worker that is kept for later tasks would hold its peak."""
     release = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -92,5 +126,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     out = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("id"), "component").distinct())

@@ -35,13 +35,11 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import frames, sorted_groups, staged
 
 TURNS = 1 << 10
 PIECE = 1 << 15
@@ -193,25 +191,6 @@ def _spans(rows: list) -> tuple[str, int, int, int, int]:
     return "".join(kinds), blank, duplicate, truncated, illegal
 
 
-def _grouped(batches, keys: int):
-    """``(key, rows)`` of sorted rows that arrive in batches."""
-    def rows():
-        for b in batches:
-            yield from zip(*(b[c].tolist() if b[c].dtype != object else b[c] for c in b.columns))
-    return groupby(rows(), key=lambda r: r[:keys])
-
-
-def _frames(rows, columns: list[str], size: int = 2000):
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=columns)
-
-
 PIECES = ("c string, p string, rows long, cells array<string>, blank long, duplicate long, truncated long, illegal long, "
           "first string, last string")
 
@@ -230,11 +209,11 @@ def read_cells(lines) -> Cells:
 
 def _parse(batches):
     def out():
-        for (c, p), group in _grouped(batches, 2):
+        for (c, p), group in sorted_groups(batches, 2):
             group = [r[2:] for r in group]
             kinds, *counts = _spans(group)
             yield c, p, len(kinds), written(parse(kinds)), *counts, group[0][0], group[-1][0]
-    yield from _frames(out(), ["c", "p", "rows", "cells", "blank", "duplicate", "truncated", "illegal", "first", "last"], 500)
+    yield from frames(out(), ["c", "p", "rows", "cells", "blank", "duplicate", "truncated", "illegal", "first", "last"], 500)
 
 
 SLICES = "array<struct<p:string,audit:string,before:long>>"
@@ -244,7 +223,7 @@ ANSWERS = f"c string, blank long, duplicate long, truncated long, illegal long,
 def _fold(batches):
     """Combine the cells of a conversation's pieces, in order and evenly, and cut its audit at the pieces."""
     def out():
-        for (c,), group in _grouped(batches, 1):
+        for (c,), group in sorted_groups(batches, 1):
             stack, sizes, sums, last = [], [], [0, 0, 0, 0], None
             for _, p, rows, cells, blank, duplicate, truncated, illegal, first, end in group:
                 level, cells = 0, read_cells(cells)
@@ -268,13 +247,13 @@ def _fold(batches):
                 parts.append({"p": p, "audit": audit[start:at], "before": before})
                 before += at - start - audit.count("D", start, at)
             yield c, *sums, cost, audit, before % 2, parts
-    yield from _frames(out(), ["c", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "system", "slices"], 500)
+    yield from frames(out(), ["c", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "system", "slices"], 500)
 
 
 def _letters(batches):
     """Give every row of a piece its edit; a piece's first row is its part of the audit."""
     def out():
-        for (c, _), group in _grouped(batches, 2):
+        for (c, _), group in sorted_groups(batches, 2):
             head = next(group)
             todo = edits(head[7], bool(head[8]), head[9])
             for _, _, t, h, kind, n, new, *_ in group:
@@ -288,7 +267,7 @@ def _letters(batches):
                         yield c, t, h, place, role, e
             for e, place, role in todo:
                 yield c, None, None, place, role, e
-    yield from _frames(out(), ["c", "t", "h", "place", "role", "edit"], 5000)
+    yield from frames(out(), ["c", "t", "h", "place", "role", "edit"], 5000)
 
 
 def repairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,12 +304,12 @@ def repairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _hash(batches):
     def out():
-        for (c,), group in _grouped(batches, 1):
+        for (c,), group in sorted_groups(batches, 1):
             h = hashlib.sha256()
             for k, (_, role, text) in enumerate(group):
                 h.update(f"{chr(10) if k else ''}{role}:{text}".encode("utf-8", "surrogatepass"))
             yield c, h.hexdigest()
-    yield from _frames(out(), ["c", "repaired_sha256"])
+    yield from frames(out(), ["c", "repaired_sha256"])
 
 
 def gaps(rows: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, staged, text_of, trim
+from .common import bitmap, mix64, staged, text_of, trim
 
 CUTS = ".,;:!?\n\x0b\x0c\r"
 BREAK = b"."
@@ -199,15 +199,8 @@ def _merge(least: int):
 
 
 def _marks(merged: DataFrame):
-    """Bitmap of the phrases in ``merged``, at most ``2**BITS / 8`` bytes, for all tasks."""
-    slot = F.col("slot") + 1
-    rows = merged.select(F.explode("slots").alias("slot")).groupBy(F.bitmap_bucket_number(slot).alias("b")) \
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
-    bits = np.zeros((1 << BITS) // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        at = (r["b"] - 1) * 4096
-        bits[at:at + 4096] = np.frombuffer(r["m"], np.uint8)
-    return merged.sparkSession.sparkContext.broadcast(bits)
+    """Bitmap of the phrases in ``merged``, for all tasks."""
+    return merged.sparkSession.sparkContext.broadcast(bitmap(merged.select(F.explode("slots").alias("slot")), BITS))
 
 
 def merged_stripes(docs: DataFrame, least: int = 10, slices: int = SLICES, flush: int = FLUSH) -> tuple[DataFrame, DataFrame, DataFrame]:
