@@ -1,19 +1,23 @@
 """Toxicity scores from a weighted finite-state pattern grammar.
 
-Five small transducers read the tokens of a clause in lock-step (their product
-is the grammar):
+Four small transducers read the kinds of a clause's tokens (threat verb, target,
+negation, verb of saying), each with states and arcs of its own:
 
-* *insult*: a token with a weight in the lexicon emits that weight;
-* *threat*: a threat verb arms the machine; a target in the next tokens fires it;
-* *target*: remembers that somebody is addressed in the clause;
-* *negation*: open for a few tokens after a negation word;
+* *threat*: a threat verb arms it for ``REACH`` tokens; a target on an armed state fires;
+* *target*: goes to "addressed" at a target and stays;
+* *negation*: open for ``REACH`` tokens after a negation word;
 * *reported speech*: open from a verb of saying to the end of the clause.
 
-A clause scores the sum of its emissions, each multiplied by the factors of the
-machines that are open; a document scores the sum over its clauses, and a
+They are composed once, into one transducer whose states are the reachable tuples
+of theirs and whose arcs carry all outputs.  The fifth, *insult*, is composed with
+it token by token: a token of the lexicon emits its weight.  An arc multiplies
+what it emits by the weights of the machines that are open on it; "addressed" is a final
+weight of the clause.  A document scores the sum over its clauses, and a
 logistic curve turns that into 0..1.  Isolated words therefore count through the
 clause that they stand in.
 
+The arc weights (negated, reported, addressed, threat) are fitted on the training
+rows together with the curve, towards start values that hold where the rows say nothing.
 The lexicon is learnt: words and word beginnings whose document frequency in
 toxic rows exceeds that in clean rows by a log-likelihood test.  It is fitted on
 a bounded sample of labelled training rows (``max_train``, split evenly between
@@ -31,7 +35,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -55,9 +59,58 @@ CLAUSE = re.compile(r"[.,;:!?|\n\r\"()\[\]]+")
 PREFIXES = (4, 5, 6)
 
 
+REACH = 3
+THREAT, TARGET, NEGATION, REPORT = 1, 2, 4, 8
+KINDS: dict[str, int] = {}
+for _words, _kind in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+    for _w in _words:
+        KINDS[_w] = KINDS.get(_w, 0) | _kind
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs ``(state, kind) -> (state, output)`` over token kinds; the start is state 0."""
+
+    arcs: dict[tuple[int, int], tuple[int, bool]]
+
+    @classmethod
+    def of(cls, states: int, step) -> Transducer:
+        return cls({(q, k): step(q, k) for q in range(states) for k in range(16)})
+
+
+# A machine's output tells whether it is open on the arc, or fires on it.
+MACHINES = (
+    Transducer.of(REACH + 1, lambda q, k: (REACH if k & NEGATION else max(0, q - 1), q > 0)),
+    Transducer.of(2, lambda q, k: (1 if k & REPORT else q, q > 0)),
+    Transducer.of(REACH + 1, lambda q, k: (REACH if k & THREAT else 0 if k & TARGET else max(0, q - 1), q > 0 and bool(k & TARGET))),
+    Transducer.of(2, lambda q, k: (1 if k & TARGET else q, False)),
+)
+
+
+def compose(machines) -> tuple[list[tuple[int, ...]], list[list[tuple[int, tuple[bool, ...]]]]]:
+    """One transducer that runs all of them: its states (tuples of theirs), and for each state and kind the next state and outputs."""
+    states, number, arcs = [(0,) * len(machines)], {(0,) * len(machines): 0}, []
+    for state in states:
+        row = []
+        for kind in range(16):
+            steps = [m.arcs[q, kind] for m, q in zip(machines, state)]
+            to = tuple(q for q, _ in steps)
+            if to not in number:
+                number[to] = len(states)
+                states.append(to)
+            row.append((number[to], tuple(out for _, out in steps)))
+        arcs.append(row)
+    return states, arcs
+
+
+STATES, ARCS = compose(MACHINES)
+#: Where a clause's emissions go: insults by (negated, reported, addressed), then fired threats by (negated, reported).
+USES = 12
+
+
 @dataclass(frozen=True)
 class Grammar:
-    """Lexicon, factors and the logistic curve."""
+    """Lexicon, arc weights and the logistic curve."""
 
     weights: dict[str, float] = field(default_factory=dict)
     prefixes: dict[str, float] = field(default_factory=dict)
@@ -65,7 +118,6 @@ class Grammar:
     negated: float = 0.4
     reported: float = 0.5
     threat: float = 3.0
-    reach: int = 3
     ceiling: float = 12.0
     intercept: float = -3.0
     slope: float = 1.5
@@ -77,30 +129,27 @@ class Grammar:
                 w = max(w, self.prefixes.get(token[:n], 0.0))
         return w
 
-    def clause(self, tokens: list[str]) -> float:
-        """One run of the composed transducers over a clause."""
-        addressed = reported = False
-        negation = armed = 0
-        plain, total = 0.0, 0.0
+    def use_weights(self) -> np.ndarray:
+        return _use_weights(self.negated, self.reported, self.addressed, self.threat)
+
+    def clause_uses(self, tokens: list[str]) -> list[float]:
+        """One run of the composed transducer over a clause: what each kind of arc emits, not yet weighted."""
+        state, uses = 0, [0.0] * USES
         for t in tokens:
-            w = self.insult(t)
-            factor = (self.negated if negation else 1.0) * (self.reported if reported else 1.0)
-            plain += w * factor
-            if t in _TARGETS:
-                addressed = True
-                if armed:
-                    total += self.threat * factor
-                    armed = 0
-            negation, armed = max(0, negation - 1), max(0, armed - 1)
-            if t in _THREATS:
-                armed = self.reach
-            if t in _NEGATIONS:
-                negation = self.reach
-            if t in _REPORTS:
-                reported = True
-        return total + plain * (self.addressed if addressed else 1.0)
+            state, (negated, reported, fired, _) = ARCS[state][KINDS.get(t, 0)]
+            if fired:
+                uses[8 + 2 * negated + reported] += 1.0
+            if w := self.insult(t):
+                uses[4 * negated + 2 * reported] += w
+        if STATES[state][3]:
+            uses[0:8:2], uses[1:8:2] = [0.0] * 4, uses[0:8:2]
+        return uses
 
-    def evidence(self, text: str) -> float:
+    def clause(self, tokens: list[str]) -> float:
+        return float(self.use_weights() @ self.clause_uses(tokens))
+
+    def uses(self, text: str) -> np.ndarray | None:
+        """Emissions of a whole text; None if no word of it can emit."""
         low = text.lower()
         seen = set(WORD.findall(low))
         hit = not seen.isdisjoint(self.weights) or not seen.isdisjoint(_THREATS)
@@ -109,14 +158,23 @@ class Grammar:
                 hit = True
                 break
         if not hit:
-            return 0.0
-        return min(self.ceiling, sum(self.clause(WORD.findall(c)) for c in CLAUSE.split(low)))
+            return None
+        return np.sum([self.clause_uses(WORD.findall(c)) for c in CLAUSE.split(low)], axis=0)
+
+    def evidence(self, text: str) -> float:
+        uses = self.uses(text)
+        return 0.0 if uses is None else min(self.ceiling, float(self.use_weights() @ uses))
 
     def score(self, text: str) -> float:
         return 1.0 / (1.0 + math.exp(-(self.intercept + self.slope * self.evidence(text))))
 
 
-_TARGETS, _THREATS, _NEGATIONS, _REPORTS = map(frozenset, (TARGETS, THREATS, NEGATIONS, REPORTS))
+def _use_weights(negated: float, reported: float, addressed: float, threat: float) -> np.ndarray:
+    both = [n * r for n in (1.0, negated) for r in (1.0, reported)]
+    return np.array([b * a for b in both for a in (1.0, addressed)] + [threat * b for b in both])
+
+
+_THREATS = frozenset(THREATS)
 SEED = Grammar(weights=dict.fromkeys(INSULTS, 2.0))
 
 
@@ -196,15 +254,42 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_lexic
                 if r["feature"][0] == "^" and whole[r["feature"][1:]] < 0.7 * r["t"]}
     grammar = Grammar(weights=weights, prefixes=prefixes)
 
-    def evidence(batches):
+    def uses(batches):
         for b in batches:
-            yield pd.DataFrame({"x": [grammar.evidence(x) for x in b["text"]], "y": b["toxic"].astype(float)})
+            found = [grammar.uses(x) for x in b["text"]]
+            yield pd.DataFrame({"u": [[0.0] * USES if u is None else [round(x, 6) for x in u.tolist()] for u in found], "y": b["toxic"].astype(float)})
 
-    points = rows.mapInPandas(evidence, "x double, y double").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    points = rows.mapInPandas(uses, "u array<double>, y double").groupBy("u", "y").agg(F.count(F.lit(1)).alias("n")).collect()
     if not any(r["y"] for r in points) or all(r["y"] for r in points):
         return grammar
-    a, b = _curve(np.array([r["x"] for r in points]), np.array([r["y"] for r in points]), np.array([r["n"] for r in points], float))
-    return Grammar(weights=weights, prefixes=prefixes, intercept=a, slope=b)
+    return fitted(grammar, np.array([r["u"] for r in points]), np.array([r["y"] for r in points]), np.array([r["n"] for r in points], float))
+
+
+def fitted(grammar: Grammar, u: np.ndarray, y: np.ndarray, n: np.ndarray, hold: float = 20.0, rounds: int = 12) -> Grammar:
+    """``grammar`` with arc weights and curve fitted to uses ``u`` of ``n`` rows each with label ``y``.
+
+    The weights' logarithms move by descent on the logistic loss, ``hold`` times their squared distance from the start
+    added, as far as the loss falls; the curve is fitted anew for each trial.
+    """
+    start = np.log([grammar.negated, grammar.reported, grammar.addressed, grammar.threat])
+    balance = np.where(y > 0, n / n[y > 0].sum(), n / n[y == 0].sum()) * 200
+
+    def trial(theta):
+        x = np.minimum(grammar.ceiling, u @ _use_weights(*np.exp(theta)))
+        a, b = _curve(x, y, n)
+        margin = np.where(y > 0, 1, -1) * (a + b * x)
+        return float(balance @ np.logaddexp(0, -margin)) + hold * float(((theta - start) ** 2).sum()), a, b
+
+    theta, best, step = start.copy(), trial(start), 0.4
+    for _ in range(rounds):
+        moves = [(trial(theta + d), theta + d) for k in range(4) for d in (step * np.eye(4)[k], -step * np.eye(4)[k])]
+        found, to = min(moves, key=lambda m: m[0][0])
+        if found[0] < best[0] - 1e-9:
+            best, theta = found, to
+        else:
+            step /= 2
+    negated, reported, addressed, threat = (float(x) for x in np.exp(theta))
+    return replace(grammar, negated=negated, reported=reported, addressed=addressed, threat=threat, intercept=best[1], slope=best[2])
 
 
 def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:

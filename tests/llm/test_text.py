@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from harrow.llm import decontaminate, tokencount, toxicity
@@ -57,6 +58,39 @@ def test_clauses_are_weighed_by_the_grammar():
     assert g.score("") == g.score("nothing here") < 0.2
 
 
+def test_the_composed_transducer_is_all_machines_in_step():
+    rng = random.Random(2)
+    some = ["kill", "you", "not", "said", "idiot", "moron", "x", "y", "hurt", "they"]
+    g = toxicity.SEED
+    for _ in range(500):
+        tokens = [rng.choice(some) for _ in range(rng.randrange(14))]
+        armed = negation = 0
+        addressed = reported = False
+        plain = total = 0.0
+        for t in tokens:
+            factor = (g.negated if negation else 1) * (g.reported if reported else 1)
+            plain += 2.0 * factor * (t in ("idiot", "moron"))
+            if t in ("you", "they"):
+                addressed, total, armed = True, total + g.threat * factor * (armed > 0), 0
+            armed, negation = max(0, armed - 1), max(0, negation - 1)
+            armed = 3 if t in ("kill", "hurt") else armed
+            negation = 3 if t == "not" else negation
+            reported |= t == "said"
+        assert abs(g.clause(tokens) - (total + plain * (g.addressed if addressed else 1))) < 1e-9, tokens
+    assert len(toxicity.STATES) == len(set(toxicity.STATES)) == len(toxicity.ARCS)
+
+
+def test_arc_weights_follow_the_rows():
+    import numpy as np
+    g = toxicity.SEED
+    texts = [("you idiot", 1.0), ("not an idiot", 0.0), ("he said idiot", 1.0), ("fine", 0.0)]
+    u = np.array([[0.0] * toxicity.USES if g.uses(t) is None else g.uses(t) for t, _ in texts])
+    got = toxicity.fitted(g, u, np.array([y for _, y in texts]), np.full(4, 50.0))
+    # Negated insults stand in clean rows only, reported ones in toxic rows; no row says anything of threats.
+    assert got.negated < 0.8 * g.negated and got.reported > 1.2 * g.reported and got.threat == pytest.approx(g.threat)
+    assert got.score("he said idiot") > 0.5 > got.score("not an idiot")
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = odd_rows()
     labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 1, 1), (7, 0, 0), (7, 0, 1)], LABELS).withColumn("text", F.lit("x"))
