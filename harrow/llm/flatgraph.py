@@ -17,9 +17,10 @@
 
 Equal vectors are collapsed before and counted with their number.
 
-Defined cases: vectors that are null, empty, zero, of another length than most,
-or hold null or non-finite components link with nothing; rows with equal ids are
-one vector each for the counts and share the smallest component of them.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite
+components link with nothing; vectors of different lengths have no cosine, so each
+length has cells of its own; rows with equal ids are one vector each for the counts
+and share the smallest component of them.
 """
 from __future__ import annotations
 
@@ -35,11 +36,11 @@ SHARD_ROWS = 2000
 SAMPLE = 20_000
 
 
-def usable(vectors: DataFrame, dimension: int) -> DataFrame:
+def usable(vectors: DataFrame) -> DataFrame:
     """Rows whose vector can link with others, as doubles in ``x``."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0.0)
-    return vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") == dimension)).filter(F.coalesce(fine, F.lit(False))) \
+    return vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).filter(F.coalesce(fine, F.lit(False))) \
         .select(F.col("vec_id").cast("long").alias("id"), x.alias("x"))
 
 
@@ -61,14 +62,20 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarr
     return c
 
 
-def _cells(centers: np.ndarray, overlap: int):
+def _cells(centers: dict[int, tuple[int, np.ndarray | None]], overlap: int):
+    """Adds the nearest cells; ``centers`` has the first cell and the centroids of each length, none where one cell is enough."""
     def run(batches):
         for b in batches:
-            x = unit_rows(np.array(b["x"].tolist(), float))
-            m = min(overlap, len(centers))
-            s = x @ centers.T
-            near = np.sort(np.argpartition(-s, m - 1, axis=1)[:, :m], axis=1)
-            yield pd.DataFrame({"id": b["id"], "x": list(x), "copies": b["copies"], "cells": list(near.astype(np.int32))})
+            size = b["x"].map(len)
+            for length, rows in b.groupby(size, sort=False):
+                first, c = centers[length]
+                x = unit_rows(np.array(rows["x"].tolist(), float))
+                if c is None:
+                    yield rows.assign(x=list(x), cells=[[first]] * len(rows))
+                    continue
+                m = min(overlap, len(c))
+                near = np.sort(np.argpartition(-(x @ c.T), m - 1, axis=1)[:, :m], axis=1) + first
+                yield rows.assign(x=list(x), cells=list(near.astype(np.int32)))
     return run
 
 
@@ -230,22 +237,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int
                  sample: int = SAMPLE, max_cells: int = 1024, degree: int = 24, candidates: int = 48,
                  alpha: float = 1.2) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
-    common = vectors.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("k")).filter("n > 0") \
-        .orderBy(F.desc("k"), "n").first()
     alone = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if common is None:
-        return alone.withColumn("n_links", F.lit(0).cast("long")).withColumn("component_id", F.col("vec_id")).withColumn("kept", F.lit(True))
-    dimension = common["n"]
-    rows = usable(vectors, dimension).withColumn("copy", F.sha2(F.concat_ws(",", F.transform("x", lambda v: (v + 0.0).cast("string"))), 256))
+    rows = usable(vectors).withColumn("copy", F.sha2(F.concat_ws(",", F.transform("x", lambda v: (v + 0.0).cast("string"))), 256))
     copies = staged(rows.select("id", "copy"), "copies")
     heads = copies.groupBy("copy").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     distinct = rows.join(heads, ["copy", "id"]).dropDuplicates(["id", "copy"]).select("id", "x", "copies")
     distinct = staged(distinct, "vectors")
-    n = distinct.count()
-    share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 30)))
-    picked = np.array([r["x"] for r in distinct.filter(share).select("x").collect()], float).reshape(-1, dimension)
-    cells = max(1, min(max_cells, -(-n * overlap // shard_rows), max(1, len(picked) // 8)))
-    centers = centroids(unit_rows(picked), cells) if len(picked) else np.eye(1, dimension)
+    numbers = {r["size"]: r["n"] for r in distinct.groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Lengths with many vectors get centroids, from a sample that they share; the others get one cell.
+    many = {k: v for k, v in numbers.items() if v > shard_rows}
+    share = min(1.0, sample / max(1, sum(many.values())))
+    drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    picked: dict[int, list] = {}
+    for r in distinct.filter(F.size("x").isin(list(many)) & drawn).select("x").collect() if many else ():
+        picked.setdefault(len(r["x"]), []).append(r["x"])
+    centers, total = {}, 0
+    for length in sorted(numbers):
+        own = np.array(picked.get(length, ()), float).reshape(-1, length)
+        cells = max(1, min(max_cells, -(-numbers[length] * overlap // shard_rows), max(1, len(own) // 8)))
+        centers[length] = (total, centroids(unit_rows(own), cells) if len(own) else None)
+        total += cells if len(own) else 1
     placed = staged(distinct.mapInPandas(_cells(centers, overlap), "id long, x array<double>, copies long, cells array<int>"), "cells")
     parts = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")) \
         .select("cell", F.ceil(F.col("n") / (2.0 * shard_rows)).alias("parts"))
@@ -271,16 +282,20 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int
 
 def recall(vectors: DataFrame, result: DataFrame, threshold: float = THRESHOLD, queries: int = 200) -> float:
     """Share of the links of a hash sample of queries, by brute force over all rows in blocks, that ``result`` counts."""
-    dimension = vectors.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count")).first()["n"]
-    rows = usable(vectors, dimension)
+    rows = usable(vectors)
     asked = rows.orderBy(F.xxhash64("id", F.lit(11))).limit(queries).collect()
-    ids = np.array([r["id"] for r in asked])
-    q = unit_rows(np.array([r["x"] for r in asked], float))
+    by_length: dict[int, list] = {}
+    for r in asked:
+        by_length.setdefault(len(r["x"]), []).append(r)
+    q = {k: (np.array([r["id"] for r in v]), unit_rows(np.array([r["x"] for r in v], float))) for k, v in by_length.items()}
 
     def block(batches):
         for b in batches:
-            s = unit_rows(np.array(b["x"].tolist(), float)) @ q.T >= threshold
-            yield pd.DataFrame({"id": ids, "n": s.sum(axis=0)})
+            for length, own in b.groupby(b["x"].map(len), sort=False):
+                if length in q:
+                    ids, x = q[length]
+                    s = unit_rows(np.array(own["x"].tolist(), float)) @ x.T >= threshold
+                    yield pd.DataFrame({"id": ids, "n": s.sum(axis=0)})
 
     true = rows.mapInPandas(block, "id long, n long").groupBy("id").agg((F.sum("n") - 1).alias("n"))
     both = true.join(result.select(F.col("vec_id").alias("id"), "n_links"), "id") \

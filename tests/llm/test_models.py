@@ -86,6 +86,19 @@ def test_odd_vectors(spark):
     assert flatgraph.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vectors_of_every_length_link_with_their_own(spark):
+    rows = []
+    for dim, n, base in ((12, 150, 0), (5, 90, 1000), (3, 4, 2000), (1, 3, 3000)):
+        rows += [(base + i, v[:dim] if len(v) >= dim else v + [0.0] * (dim - len(v)), 0) for i, v, _ in clouds(dim, n)[:n]]
+    want = {}
+    for dim in (12, 5, 3, 1):
+        want |= brute([r for r in rows if len(r[1]) == dim])
+    df = spark.createDataFrame(rows, VECTORS)
+    out = flatgraph.near_vectors(df, shard_rows=100)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()} == want
+    assert flatgraph.recall(df, out) == 1.0
+
+
 def tokens(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", low) + [None]
