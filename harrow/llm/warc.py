@@ -116,6 +116,11 @@ def write_monolithic(records: DataFrame, path: str, file_bytes: int = FILE_BYTES
         .option("maxRecordsPerFile", max(1, int(file_bytes / size))).text(path)
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """Header fields, line by line: what a value holds is no field."""
+    return dict(line.split(": ", 1) for line in head.decode("utf-8", "surrogateescape").split(CRLF))
+
+
 def members(content: bytes):
     """Record bytes (with terminator) of a monolithic archive, inflated as one stream."""
     stream = zlib.decompressobj(wbits=31)
@@ -132,7 +137,7 @@ def members(content: bytes):
             data = stream.flush()
         buffer += data
         while (m := HEAD.match(buffer, at)) is not None:
-            length = int(re.search(rb"Content-Length: (\d+)", m[1])[1])
+            length = int(fields_of(m[1])["Content-Length"])
             stop = m.end() + length + len(TERMINATOR)
             if stop > len(buffer):
                 break
@@ -148,7 +153,7 @@ def members(content: bytes):
 
 def headers(record: bytes) -> tuple[dict[str, str], bytes]:
     m = HEAD.match(record)
-    fields = dict(line.split(": ", 1) for line in m[1].decode("utf-8", "surrogateescape").split(CRLF))
+    fields = fields_of(m[1])
     return fields, record[m.end():m.end() + int(fields["Content-Length"])]
 
 

@@ -150,3 +150,31 @@ def test_broken_markup_never_fails():
             "<a href=x>", "</a>", "<table><tr><td>", "</span>", "<span hidden>", "<", ">", "&#xZZ;", "<br/>", "<b", "\n"]
     for _ in range(2000):
         htmltext.blocks("".join(rng.choice(bits) for _ in range(25)))
+
+
+@pytest.mark.parametrize("part", ["<section id='related-work'><p>x</p></section>", "<div class='social-science'>x</div>", "<p class='share-price'>x</p>",
+                                  "<h2 id='search'>x</h2>", "<div class='ad-hoc-query'>x</div>", "<blockquote class='comment'>x</blockquote>"])
+def test_names_of_an_articles_own_parts_stay(part):
+    def left(html):
+        return [t for t, _, role, _ in htmltext.blocks(html)[0] if not role]
+
+    assert left(f"<body><article><p>a</p>{part}<p>b</p></article></body>") == ["a", "x", "b"]
+
+
+def test_comments_and_forms():
+    def left(html):
+        return [t for t, _, role, _ in htmltext.blocks(html)[0] if not role]
+
+    assert left("<article><p>a</p><article class='comment'><p>c</p></article><article class='comment-12 reply'>d</article></article>") == ["a"]
+    assert left("<article><p>a</p><article class='case-study'><p>c</p></article></article>") == ["a", "c"]
+    assert left("<article><p>a</p><div class='share-buttons'>s</div><div id='related-posts'>r</div><div class='comments-area'>c</div></article>") == ["a"]
+    assert left("<form><div><p>a</p><p>b</p></div></form>") == ["a", "b"]
+    assert left("<form action=x><article><p>a</p></article><div class=sidebar>s</div></form>") == ["a"]
+    assert left("<p>a</p><form>f</form>") == ["a"] and left("<form><nav>n</nav><p>a</p></form>") == ["a"]
+
+
+def test_addresses_that_look_like_headers(spark):
+    rows = [(1, "http://a/?Content-Length: 999999", "<p>x"), (2, "Content-Length: 2", "<p>long enough</p>"), (3, "x\r\nContent-Length: 1\r\n\r\nWARC/1.1", "y"),
+            (4, "http://a/WARC-Type: revisit", "<p>x")]
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages(spark, rows)).collect()}
+    assert got == {1: (4, "revisit", 4), 2: (18, "response", None), 3: (1, "response", None), 4: (4, "response", None)}
