@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harrow import config as C
 from harrow.config import DEFAULT, TEST
 from harrow.operators.extract import JAVA_FLAGS, anchors, first_match, folded, whole_word
-from harrow.operators.scoring import lexicon_table, score_by_table, score_columns, score_pages
+from harrow.operators.scoring import contained_terms, lexicon_table, score_by_table, score_columns, score_pages
 
 PAGES = "page_id long, title string, url string, text string"
 
@@ -55,6 +55,19 @@ def test_ten_thousand_terms(spark):
     assert size(out) < 1.2 * size(few)
 
 
+def test_terms_meet_beginnings_without_the_texts(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab\u00e9\U0001f600 ") for _ in range(n))
+    texts = [(i, rng.choice([None, "", word(5000), word(40), word(300) + "x" * 90])) for i in range(50)]
+    terms = [("high", i, t) for i, t in enumerate([word(n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12) * 30] + ["", "x" * 64, "x" * 65, "x" * 91, texts[-1][1] or "a"])]
+    df = spark.createDataFrame(texts, "id long, t string")
+    found = contained_terms(df, "id", "t", spark.createDataFrame(terms, "kind string, pos int, term string"))
+    assert {tuple(r) for r in found.collect()} == {(i, *x) for i, t in texts if t is not None for x in terms if x[2] in t}
+    # A row for each gram of a text must not hold the text.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Generate explode\((?!filter\()", plan)
+
+
 def test_every_match_holds_an_anchor(spark):
     assert anchors(r"Fees?[:\s]+(.+)") == ("fee",) and anchors(r"(?:Start|End) date[:\s]+(x)") == (" date",) and anchors(r"(a|b?)c*") == ()
     assert set(anchors(r"(?:Housing|Dormitory)[:\s]+(.*)")) == {"housing", "dormitory"} and anchors(r"(?<bad") == ()
