@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MAX_PATH_SLASHES, TEST
-from ..functions.ordinal import FAN, rank_in_pieces
+from ..functions.ordinal import FAN, bucket_ordinal, rank_in_pieces
 from ..functions.staging import staged
 from ..functions.urls import netloc, normalise_domain, normalise_url, scheme, should_enqueue
 from ..sources.targets import clean_targets, targets_from_pages
@@ -37,7 +37,7 @@ def derived_captures(pages: DataFrame) -> DataFrame:
     })
 
 
-def derived_edges(pages: DataFrame) -> DataFrame:
+def derived_edges(pages: DataFrame, following: int = 0) -> DataFrame:
     """Seed -> every ``ceil(sqrt(n))``-th of the ``n`` captures of its site, and each of these hubs -> those up to the next.
 
     Captures that a crawl would queue come first, then the others, each in the
@@ -45,6 +45,9 @@ def derived_edges(pages: DataFrame) -> DataFrame:
     The rank inside a site comes from per-(site, id range) pieces plus offsets, and
     both kinds of edges from an equi-join on ``(site, rank)`` of captures and hubs,
     so a site with a third of all pages is still spread over many tasks.
+
+    With ``following`` each capture also links to that many after it by ``page_id``,
+    so that what hangs on a hub which can't be read, and what hubs' neighbours link to, is reached by these.
     """
     nurl = normalise_url(F.col("url"))
     queued = should_enqueue(F.col("nurl"), normalise_domain(F.col("nurl")), TEST, MAX_PATH_SLASHES, True)
@@ -59,7 +62,12 @@ def derived_edges(pages: DataFrame) -> DataFrame:
     from_seed = hubs.join(per_site, "site").select(F.col("seed").alias("src"), F.col("src").alias("dst"))
     later = ranked.filter(F.col("rk") % F.col("step") != 0) \
         .select("site", (F.col("rk") - F.col("rk") % F.col("step")).alias("hub"), F.col("url").alias("dst"))
-    return from_seed.unionByName(later.join(hubs, ["site", "hub"]).select("src", "dst"))
+    edges = from_seed.unionByName(later.join(hubs, ["site", "hub"]).select("src", "dst"))
+    if not following:
+        return edges
+    chain = staged(bucket_ordinal(p.select("page_id", "url", "site"), "page_id", "at", group=["site"]), "chain")
+    src = chain.select("site", F.col("url").alias("src"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + following)).alias("at"))
+    return edges.unionByName(src.join(chain.select("site", "at", F.col("url").alias("dst")), ["site", "at"]).select("src", "dst"))
 
 
 def derived_robots(pages: DataFrame) -> DataFrame:

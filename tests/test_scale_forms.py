@@ -63,6 +63,14 @@ def test_two_levels_of_hubs_reach_every_capture(spark):
         assert set(queued) <= reached and all(len(v) <= 2 * step + 2 for u, v in edges.items() if u in own)
 
 
+def test_following_captures_are_linked_beside_the_hubs(spark):
+    rows = [(i, f"https://s.test/en/{(i * 7) % 30}") for i in range(30)] + [(100 + i, f"https://t.test/en/{i}") for i in range(2)]
+    df = spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string").repartition(4)
+    pairs = {tuple(r) for r in derived_edges(df, 3).collect()}
+    chain = {(u, v) for i, u in rows for j, v in rows if u[:14] == v[:14] and 0 < j - i <= 3}
+    assert pairs == chain | {tuple(r) for r in derived_edges(df).collect()} and len(chain) == 27 * 3 + 2 + 1 + 1
+
+
 # -- robots --------------------------------------------------------------------
 def test_many_rules_of_few_lengths_match_stdlib(spark):
     rng = random.Random(8)
