@@ -54,16 +54,17 @@ class JobResult:
 
 
 def parsed_content(pages: DataFrame, targets: DataFrame | None, cfg: MiningConfig, with_links: bool = True,
-                   persist: bool = True) -> DataFrame:
+                   persist: bool = True, urls: DataFrame | None = None) -> DataFrame:
     """Normalised, in-scope, parsed and scored pages (one row per URL).
 
     The parse runs where the pages are read, on the rows that may count; only
     its result is shuffled.  It feeds every crawl level, the detail read and the
     reports, so it is written once to the shared folder, in columns: a crawl
     level reads URLs and links alone, and a lost executor never re-parses HTML.
+    With ``urls`` only these pages are parsed.
     """
     domains = target_domains(targets) if targets is not None else None
-    content = score_pages(pages_normalised(pages, domains, lambda p: page_content(p, with_links)), cfg, "url")
+    content = score_pages(pages_normalised(pages, domains, lambda p: page_content(p, with_links), urls), cfg, "url")
     return staged(content, "content") if persist else content
 
 
@@ -129,7 +130,8 @@ def _run(targets, pages, cfg, robots, detail_pages, edges, run_ts, end_ts, simil
             .withColumn("is_html", F.col("is_html") & ~F.col("bad_link"))
     rules = cp(robots_rules(robots, cfg), "rules") if robots is not None else None
     visits = crawl_visits(good, content, cfg, edges=edges, robots=rules, checkpoint=checkpoint)
-    outcomes = cp(visit_outcomes(visits, content, rules, cfg).drop("links"), "outcomes")
+    # Texts stay in the content: an outcome is what became of a visit.
+    outcomes = cp(visit_outcomes(visits, content.drop("links", "heading", "text"), rules, cfg), "outcomes")
     cands = cp(rank_candidates(outcomes, good, cfg).select(
         "target_idx", "university_name", "country", "url", F.col("title").alias("page_title"),
         "candidate_score", "matched_keywords", "candidate_type", "reason", "needs_review", "visit_rank",
@@ -137,7 +139,8 @@ def _run(targets, pages, cfg, robots, detail_pages, edges, run_ts, end_ts, simil
     if detail_pages is None:
         detail = content
     else:
-        detail = parsed_content(detail_pages, good, cfg, with_links=False)
+        # The second read is that of the candidates; other pages of ``detail_pages`` are not parsed.
+        detail = parsed_content(detail_pages, good, cfg, with_links=False, urls=cands)
     reads = cp(detail_reads(cands, detail, rules, cfg), "reads")
     heur = cp(extract_programmes(reads, cfg, run_date), "extracted")
     fb = fallback_rows(cands, heur, cfg, run_date)

@@ -48,17 +48,20 @@ def first_captures(pages: DataFrame, domains: DataFrame | None = None) -> DataFr
     return keys.groupBy("url").agg(F.min("page_id").alias("page_id"))
 
 
-def pages_normalised(pages: DataFrame, domains: DataFrame | None = None, narrow=None) -> DataFrame:
+def pages_normalised(pages: DataFrame, domains: DataFrame | None = None, narrow=None, urls: DataFrame | None = None) -> DataFrame:
     """One row per normalised URL, its first capture, as ``narrow`` leaves it.
 
     ``narrow`` (a parse, say) is applied where the rows are read and has to drop
     ``html``; by default that is all it does, so HTML is never shuffled.  Rows
     that cannot be a first capture in scope are left out before it by a bitmap
     of at most 8 MB; the exact join follows on what it returns.  Of captures
-    that agree in URL and ``page_id`` one stays.
+    that agree in URL and ``page_id`` one stays.  With ``urls(url)`` only these are of interest.
     """
     keyed = with_capture_status(pages).withColumn("url", normalise_url(F.col("url")))
-    first = staged(first_captures(keyed, domains).withColumnRenamed("page_id", "_first"), "first-captures")
+    first = first_captures(keyed, domains).withColumnRenamed("page_id", "_first")
+    if urls is not None:
+        first = first.join(urls.select("url").distinct(), "url", "left_semi")
+    first = staged(first, "first-captures")
     rows = probable_members(keyed, F.xxhash64("url", "page_id"), first, F.xxhash64("url", "_first"))
     rows = narrow(rows) if narrow is not None else rows.drop("html")
     return rows.join(first, "url").filter(F.col("page_id").eqNullSafe(F.col("_first"))).drop("_first").dropDuplicates(["url"])

@@ -1,5 +1,8 @@
 """The whole job on a small hand-made site: statuses, content types, robots, fallback."""
 import datetime as dt
+import os
+
+from pyspark.sql import functions as F
 
 from harrow.config import DEFAULT
 from harrow.plans.job import run_job
@@ -76,3 +79,20 @@ def test_job_fallback_with_separate_detail_read(spark):
     assert rows[0].confidence_score <= 45
     log = r.run_log.collect()[0]
     assert log.fallback_rows == 1 and log.candidate_pages_read == 1
+
+
+def test_second_read_parses_candidates_and_outcomes_hold_no_texts(spark):
+    targets = clean_targets(spark.createDataFrame(
+        [(0, "Example University", "Testland", "https://www.example.test/", "", "")],
+        "target_idx long, name string, country string, seed_url string, allowed_domain string, notes string"))
+    rows = [(1, "https://www.example.test/", HOME), (2, "https://www.example.test/summer", SUMMER),
+            *[(10 + i, f"https://www.example.test/other/{i}", "<p>other</p>") for i in range(20)]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    detail = pages.withColumn("html", F.concat("html", F.lit("<p>Duration: 3 weeks.</p>")))
+    r = run_job(targets, pages, DEFAULT, detail_pages=detail)
+    assert [c.url for c in r.candidates.collect()] == ["https://www.example.test/summer"]
+    assert [p.duration_period for p in r.programmes.collect()] == ["3 weeks"]
+    parsed = sorted(spark.read.parquet(f"{r.scope.folder}/{d}").count() for d in os.listdir(r.scope.folder) if d.startswith("content-"))
+    assert parsed == [1, 22]
+    assert not {"text", "heading", "links"} & set(r.outcomes.columns)
+    r.scope.delete()
