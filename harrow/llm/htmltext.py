@@ -12,9 +12,12 @@ only where the whole name says furniture, not on headings and paragraphs.  An ar
 a comment goes, and so do forms, unless all text of the page, or all its articles, is in them.  Of the blocks left, those in an article
 are the text; without an article those in the main element; else all.
 
-Inside an article, only subtrees with most of their text in links are templates
-(by their texts, not by their shape): notes that many articles share belong to
-them, and lists of sources look alike.
+Inside an article, subtrees count by their texts, not by their shape, as lists
+of sources look alike: those with most of their text in links, and the
+containers (``CONTAINERS``) that hold at most half of the article and lie in no quote.
+The latter are counted over different articles of the host, so that copies of
+a page are no templates.  Paragraphs, lists and quotes that an article itself
+holds belong to it, however many articles share them.
 
 Defined cases: a null or empty html gives the empty text; unclosed elements end
 where an enclosing one ends, or where HTML implies their end; a comment or
@@ -55,6 +58,11 @@ FORM_WORDS = frozenset("area bar block body box btn button buttons container con
                        "main outer post posts right row section thread unit wrap wrapper".split())
 # These are named after their text, for links to them.
 TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
+# Elements inside an article that only hold others: those that recur are the site's, what they stand beside is the article's.
+CONTAINERS = frozenset("div section center details fieldset header address".split())
+QUOTES = frozenset("blockquote pre figure".split())
+# Tells counts over different articles from those over pages.
+INSIDE = 0x5DEECE66D
 # With one of these in it, a class or id tells about a part or a state of the element, not what it is.
 ABOUT = frozenset("has have with without no not is hide hides show shows open closed enabled disabled on off".split())
 WHOLE = frozenset("html body main article".split())
@@ -109,7 +117,7 @@ def named(tag: str, at: dict[str, str], inside: bool, article: bool = False) ->
 
 
 class Element:
-    __slots__ = ("article", "articles", "chars", "furniture", "key", "linked", "main", "named", "shape", "sign", "tag", "up")
+    __slots__ = ("article", "articles", "chars", "furniture", "key", "linked", "main", "named", "quote", "shape", "sign", "tag", "up")
 
     def __init__(self, tag: str, up: Element | None, at: dict[str, str]):
         self.tag, self.up = tag, up
@@ -118,6 +126,7 @@ class Element:
         inside = up is not None and (up.article or up.main)
         self.furniture = up is not None and up.furniture or furniture(tag, at, inside)
         self.named = named(tag, at, inside, up is not None and up.article)
+        self.quote = up is not None and up.quote or tag in QUOTES
         self.articles = 0
         if tag == "article" and not up.article and not self.furniture:
             while up is not None:
@@ -133,14 +142,25 @@ class Element:
             self.shape = zlib.crc32(shape.encode(), self.shape)
 
 
-def blocks(html: str) -> tuple[list[tuple[str, int, bool, list[int]]], list[int]]:
-    """Blocks of a page, as ``(text, rank, furniture, subtree hashes)``, and all subtree hashes.
+def held(e: Element) -> bool:
+    """Whether ``e`` is a container in an article, with text of its own and at most half of the article's; all are closed."""
+    if not e.up.article or e.tag not in CONTAINERS or e.quote or not e.chars or e.linked * 2 > e.chars:
+        return False
+    whole = e.up
+    while whole.up.article:
+        whole = whole.up
+    return e.chars * 2 <= whole.chars
+
+
+def blocks(html: str) -> tuple[list[tuple[str, int, bool, list[int]]], list[int], list[int]]:
+    """Blocks of a page, as ``(text, rank, furniture, subtree hashes)``, all subtree hashes, and those of containers inside articles.
 
     ``rank`` is 2 in an article, 1 in the main element, 0 elsewhere.
     """
     top = Element("#", None, {})
     now, out, pending, anchors = top, [], [], 0
     marks: set[int] = set()
+    containers: list[Element] = []
 
     def flush() -> None:
         text = " ".join("".join(pending).split())
@@ -157,6 +177,8 @@ def blocks(html: str) -> tuple[list[tuple[str, int, bool, list[int]]], list[int]
                 e.key &= (1 << 63) - 1
                 if e.tag in BLOCKS and e.linked * 2 > e.chars:
                     marks.add(e.key)
+                elif e.tag in CONTAINERS:
+                    containers.append(e)
                 up.add(f"{e.key:x}", "")
                 up.chars += e.chars
                 up.linked += e.linked
@@ -247,6 +269,7 @@ def blocks(html: str) -> tuple[list[tuple[str, int, bool, list[int]]], list[int]
     flush()
     while now is not top:
         now = close(now)
+    inner = {e.key ^ INSIDE for e in containers if held(e)}
 
     def called(e: Element, least: int) -> bool:
         """Whether ``e`` lies in an element named as furniture that holds fewer than ``least`` articles."""
@@ -273,13 +296,15 @@ def blocks(html: str) -> tuple[list[tuple[str, int, bool, list[int]]], list[int]
         while e.article:
             if e.up.article and e.tag in BLOCKS and e.linked * 2 > e.chars:
                 chain.append(e.key)
+            elif held(e):
+                chain.append(e.key ^ INSIDE)
             e = e.up
         while e is not top and rank < 2:
             if e.tag in BLOCKS and e.tag not in ("html", "body"):
                 chain += [e.key, -e.shape - 1] if e.linked * 2 > e.chars else [e.key]
             e = e.up
         rows.append((t, rank, role, chain))
-    return rows, sorted(marks)
+    return rows, sorted(marks), sorted(inner)
 
 
 PARSED = "array<struct<text:string,rank:int,chain:array<long>>>"
@@ -290,7 +315,7 @@ def _parse(column: str, with_text: bool):
 
     With ``with_text`` nothing but the text.
     """
-    kind = "string" if with_text else f"struct<decided:boolean,blocks:{PARSED},marks:array<long>>"
+    kind = "string" if with_text else f"struct<decided:boolean,blocks:{PARSED},marks:array<long>,containers:array<long>,article:long>"
 
     def article(rows):
         """Text blocks of the articles, none where one lies in a subtree that may be a template."""
@@ -303,14 +328,17 @@ def _parse(column: str, with_text: bool):
 
     @F.pandas_udf(kind)
     def tree(html: pd.Series) -> pd.DataFrame:
-        decided, left, marks = [], [], []
+        decided, left, marks, containers, whole = [], [], [], [], []
         for h in html:
-            rows, m = blocks(h)
+            rows, m, inner = blocks(h)
             known = bool(article(rows))
             decided.append(known)
             left.append([] if known else [(t, rank, chain) for t, rank, role, chain in rows if not role])
             marks.append(m)
-        return pd.DataFrame({"decided": decided, "blocks": left, "marks": marks})
+            containers.append(inner)
+            own = "\n".join(t for t, rank, _, _ in rows if rank == 2).encode("utf-8", "surrogatepass")
+            whole.append(zlib.crc32(own) << 31 ^ zlib.adler32(own))
+        return pd.DataFrame({"decided": decided, "blocks": left, "marks": marks, "containers": containers, "article": whole})
 
     return (text if with_text else tree)(F.col(column))
 
@@ -327,8 +355,10 @@ def main_text(pages: DataFrame, min_pages: int = 5, share: float = 0.05) -> Data
     tree = staged(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host)
                   .select("row", "page_id", "url", "host", _parse("html", False).alias("p"))
                   .select("row", "page_id", "url", "host", "p.*"), "trees")
-    often = tree.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")) \
-        .filter(F.col("n") >= min_pages) \
+    # A container inside an article counts once for all copies of the article.
+    inner = tree.select("host", "article", F.explode("containers").alias("mark")).distinct()
+    often = tree.select("host", F.explode("marks").alias("mark")).unionByName(inner.drop("article")) \
+        .groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages) \
         .join(tree.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "host").filter(F.col("n") >= share * F.col("pages")) \
         .select("host", "mark")
     open_ = tree.filter("not decided").select("row", "page_id", "url", "host", "blocks")
