@@ -69,6 +69,21 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_TABLE: list[np.ndarray] = []
+
+
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, at least ``n`` of them; up to ``SUB_BATCH`` and some are kept."""
+    if not _TABLE or len(_TABLE[0]) < n:
+        back = np.full(max(n, SUB_BATCH), pow(int(_P), -1, 1 << 64), np.uint64)
+        back[0] = 1
+        made = [powers(len(back)), np.multiply.accumulate(back)]
+        if n > 4 * SUB_BATCH:
+            return made[0], made[1]
+        _TABLE[:] = made
+    return _TABLE[0], _TABLE[1]
+
+
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     """``op`` over every ``width`` neighbours."""
     size = 1
@@ -104,11 +119,12 @@ class Lines:
         starts[1:] |= END[at[begin[1:] - 2]]
         after = np.searchsorted(begin, np.r_[0, np.flatnonzero(c == 10)])
         starts[after[after < n]] = True
-        size = np.diff(np.r_[begin, len(c)])
-        inside = np.arange(begin[0], len(c)) - np.repeat(begin, size)
-        value = np.where(solid[begin[0]:], c[begin[0]:].astype(np.uint64) + np.uint64(7), np.uint64(0))
-        value *= powers(int(size.max()))[inside]
-        self.word = mix64(np.add.reduceat(value, begin - begin[0]))
+        # Letters times the power of their place in the batch; taking the word's place out again leaves that in the word.
+        power, back = power_table(len(c))
+        value = (c + np.uint32(7)).astype(np.uint64)
+        value *= power[:len(c)]
+        value *= solid
+        self.word = mix64(np.add.reduceat(value, begin) * back[begin])
         self.at = np.flatnonzero(starts)
         self.start = begin[self.at]
         self.words = np.diff(np.r_[self.at, n])
@@ -129,10 +145,9 @@ class Lines:
         n = len(self.word) - GRAM + 1
         if n < 1:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        total = np.r_[np.uint64(0), np.cumsum(self.word * powers(len(self.word)), dtype=np.uint64)]
-        back = np.full(n, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)
-        back[0] = 1
-        h = np.minimum(mix64((total[GRAM:] - total[:-GRAM]) * np.multiply.accumulate(back)), _NONE - np.uint64(1))
+        power, back = power_table(len(self.word))
+        total = np.r_[np.uint64(0), np.cumsum(self.word * power[:len(self.word)], dtype=np.uint64)]
+        h = np.minimum(mix64((total[GRAM:] - total[:-GRAM]) * back[:n]), _NONE - np.uint64(1))
         stop = np.repeat(self.first_word[1:], np.diff(self.first_word))
         whole = np.arange(n) + GRAM <= stop[:n]
         h[~whole] = _NONE
